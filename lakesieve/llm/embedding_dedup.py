@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,20 +94,17 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.select("id", "copies", "v").mapInArrow(run, f"id long, copies long, v {df.schema['v'].dataType.simpleString()}, codes array<bigint>")
 
 
-def compare(rows: pd.DataFrame, bucket: int, i: int, j: int, least: float = LEAST) -> pd.DataFrame:
-    """Links within a block (i = j) or between two (by column ``block``): id, found (linked vectors here), to (a linked id that leads to the block's other linked ones; null: none).
+def compare(v: np.ndarray, ids: np.ndarray, copies: np.ndarray, codes: np.ndarray, block: np.ndarray, bucket: int, i: int, j: int, least: float = LEAST):
+    """Links within a block (i = j) or between two: (ids, links found here, an id that leads to what each is linked with), or None.
 
     ``bucket`` is the place of this comparison; pairs whose least common bucket is another one are left to that one.
     """
-    v = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    v = v.astype(np.float64)
     v /= np.abs(v).max(1, keepdims=True)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids, copies, codes = rows["id"].to_numpy(), rows["copies"].to_numpy(), np.stack(rows["codes"].to_numpy())
-    block = rows["block"].to_numpy()
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
-    found = np.zeros(len(rows), dtype=np.int64)
-    parent = np.arange(len(rows))
+    found = parent = None
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -129,17 +125,67 @@ def compare(rows: pd.DataFrame, bucket: int, i: int, j: int, least: float = LEAS
                 code = codes[x, k]
                 both = (codes[y] == code[:, None]).any(1)
                 first = np.where(both & (code < first), code, first)
-            ours = first == bucket
-            x, y = x[ours], y[ours]
+            x, y = x[first == bucket], y[first == bucket]
+            if not len(x):
+                continue
+            if found is None:
+                found, parent = np.zeros(len(v), dtype=np.int64), list(range(len(v)))
             np.add.at(found, x, copies[y])
             np.add.at(found, y, copies[x])
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 p, q = root(p), root(q)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
+    if found is None:
+        return None
     linked = np.flatnonzero(found)
-    to = [ids[root(int(k))] for k in linked]
-    return pd.DataFrame({"id": ids[linked], "found": found[linked], "to": np.array(to, dtype=np.int64)})
+    return ids[linked], found[linked], ids[[root(k) for k in linked.tolist()]]
+
+
+def compare_sorted(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """``compare`` for each (bucket, i, j) of a frame sorted by these within partitions: id, found, to.
+
+    Streams: the group that a batch breaks off in is held over, at most two blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups(t: pa.Table, last: bool):
+            t = t.combine_chunks()
+            names = {n: t.column(n).combine_chunks() for n in t.column_names}
+            bucket, i, j, ids, copies, block = (names[n].to_numpy(zero_copy_only=False) for n in ("bucket", "i", "j", "id", "copies", "block"))
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            bounds = [0, *change.tolist(), *([t.num_rows] if last else [])]
+            flat, sizes = names["v"].flatten().to_numpy(zero_copy_only=False), names["v"].value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(sizes)]
+            codes = names["codes"].flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            out = []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if b - a > 1:
+                    v = flat[ends[a] : ends[b]].reshape(b - a, -1)
+                    if (got := compare(v, ids[a:b], copies[a:b], codes[a:b], block[a:b], int(bucket[a]), int(i[a]), int(j[a]), least)) is not None:
+                        out.append(got)
+            return out, bounds[-1]
+
+        def batch_of(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "found", "to"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            out, done = groups(t, False)
+            held = t.slice(done)
+            if out:
+                yield batch_of(out)
+        if held is not None and held.num_rows:
+            out, _ = groups(held, True)
+            if out:
+                yield batch_of(out)
+
+    return rows.mapInArrow(run, "id long, found long, to long")
 
 
 def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -161,8 +207,7 @@ def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "v", "codes", "block")
-    met = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda key, pdf: compare(pdf, int(key[0]), int(key[1]), int(key[2]), least), "id long, found long, to long")
-    met = checkpoint(met)
+    met = checkpoint(compare_sorted(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), least))
     counts = met.groupBy("id").agg(F.sum("found").alias("found"))
     classes = connected_components(met.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "_cid")
     of_vector = distinct.select("id", "copies", F.col("v").alias("_v")).join(counts, "id", "left").join(classes, F.col("id") == F.col("_cid"), "left")
