@@ -21,7 +21,7 @@ from .common import checkpoint, project
 from .components import connected_components
 
 LEAST = 0.95
-TABLES, TURNS, PROBES = 10, 2, 3
+TABLES, TURNS, PROBES = 8, 2, 3
 #: Vectors of a block; two blocks at a time are in a task's memory.
 BLOCK = 1024
 
