@@ -35,7 +35,9 @@ SHARD = 16_384
 #: Large pieces are longer than capacity / LARGE, so a configuration has fewer than LARGE of them.
 LARGE = 5
 #: Groups of equal cardinality.
-GROUPS = 24
+GROUPS = 128
+#: A configuration that leaves so few tokens is not improved on.
+SLACK = 4
 
 
 class WordIds:
@@ -118,7 +120,7 @@ def token_pieces(df: DataFrame, path: str, end_id: int = 1, capacity: int = CAPA
 
 
 def best_configuration(sizes: list[int], left: list[int], room: int) -> tuple[int, ...]:
-    """Indices (rising) of the sizes, with repetition within ``left``, whose sum is the largest that ``room`` holds."""
+    """Indices (rising) of the sizes, with repetition within ``left``, whose sum is the largest that ``room`` holds, or at most SLACK from full."""
     best, found = 0, ()
     usable = [i for i, n in enumerate(left) if n and sizes[i] <= room]
 
@@ -127,7 +129,7 @@ def best_configuration(sizes: list[int], left: list[int], room: int) -> tuple[in
         used = room - room_left
         if used > best:
             best, found = used, chosen
-            if best == room:
+            if best >= room - SLACK:
                 return True
         for k in range(first, len(usable)):
             i = usable[k]
