@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, project
+from .common import checkpoint, map_sorted_groups, project
 from .components import connected_components
 
 LEAST = 0.95
@@ -142,52 +142,6 @@ def compare(v: np.ndarray, ids: np.ndarray, copies: np.ndarray, codes: np.ndarra
     return ids[linked], found[linked], ids[[root(k) for k in linked.tolist()]]
 
 
-def compare_sorted(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """``compare`` for each (bucket, i, j) of a frame sorted by these within partitions: id, found, to.
-
-    Streams: the group that a batch breaks off in is held over, at most two blocks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(t: pa.Table, last: bool):
-            t = t.combine_chunks()
-            names = {n: t.column(n).combine_chunks() for n in t.column_names}
-            bucket, i, j, ids, copies, block = (names[n].to_numpy(zero_copy_only=False) for n in ("bucket", "i", "j", "id", "copies", "block"))
-            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = [0, *change.tolist(), *([t.num_rows] if last else [])]
-            flat, sizes = names["v"].flatten().to_numpy(zero_copy_only=False), names["v"].value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.r_[0, np.cumsum(sizes)]
-            codes = names["codes"].flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            out = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a > 1:
-                    v = flat[ends[a] : ends[b]].reshape(b - a, -1)
-                    if (got := compare(v, ids[a:b], copies[a:b], codes[a:b], block[a:b], int(bucket[a]), int(i[a]), int(j[a]), least)) is not None:
-                        out.append(got)
-            return out, bounds[-1]
-
-        def batch_of(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "found", "to"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            out, done = groups(t, False)
-            held = t.slice(done)
-            if out:
-                yield batch_of(out)
-        if held is not None and held.num_rows:
-            out, _ = groups(held, True)
-            if out:
-                yield batch_of(out)
-
-    return rows.mapInArrow(run, "id long, found long, to long")
-
-
 def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row: vec_id, n_links (other rows whose vector has a cosine of ``least`` and more, as far as they meet in a bucket), component_id (the least vec_id reachable by links), kept (vec_id = component_id).
 
@@ -207,7 +161,11 @@ def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "v", "codes", "block")
-    met = checkpoint(compare_sorted(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), least))
+
+    def work(key: tuple, t: dict[str, np.ndarray]):
+        return compare(t["v"], t["id"], t["copies"], t["codes"], t["block"], int(key[0]), int(key[1]), int(key[2]), least)
+
+    met = checkpoint(map_sorted_groups(dealt, ["bucket", "i", "j"], work, "id long, found long, to long", lists=("v", "codes")))
     counts = met.groupBy("id").agg(F.sum("found").alias("found"))
     classes = connected_components(met.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "_cid")
     of_vector = distinct.select("id", "copies", F.col("v").alias("_v")).join(counts, "id", "left").join(classes, F.col("id") == F.col("_cid"), "left")
