@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, project, text_key
+from .common import map_rows, project, text_key, written
 
 #: Words of the shortest passage, and of a minimiser.
 WINDOW, GRAM = 50, 10
@@ -35,6 +35,11 @@ def word_hashes(text: str = "text"):
     return F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def part_of(key: str):
+    """The first 64 bits of a key as a long."""
+    return F.conv(F.substring(F.hex(key), 1, 16), 16, -10).cast("bigint")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -98,7 +103,7 @@ def retained(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 
 def stretches(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """From (doc_id, key, text, words, places): h1, h2 (the content), doc_id, key, at (word), start, stop (characters) of the stretches whose minimiser is in ``places``.  Narrow."""
+    """From (doc_id, key, text, words, places): h1, h2 (the content), doc_id, part (64 bits of the key, to tell texts of one id apart), at (word), start, stop (characters) of the stretches whose minimiser is in ``places``.  Narrow."""
 
     def make():
         def row(doc_id, key, text, words, places):
@@ -107,15 +112,15 @@ def stretches(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             ours = np.flatnonzero(np.isin(at, np.array(places, dtype=np.int64)))
             if not len(ours):
                 return
-            ends = [m.span() for m in _WORD.finditer(text)]
+            ends, part = [m.span() for m in _WORD.finditer(text)], int.from_bytes(key[:8], "big", signed=True)
             h1, h2 = rolling(words, window, _ODD[1])[ours].view(np.int64), rolling(mixed(words), window, _ODD[2])[ours].view(np.int64)
             for j, x, y in zip(ours.tolist(), h1.tolist(), h2.tolist(), strict=True):
-                yield x, y, doc_id, key, j, ends[j][0], ends[j + window - 1][1]
+                yield x, y, doc_id, part, j, ends[j][0], ends[j + window - 1][1]
 
         return row
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return map_rows(df, make, f"h1 long, h2 long, doc_id {kind}, key binary, at int, start int, stop int")
+    return map_rows(df, make, f"h1 long, h2 long, doc_id {kind}, part long, at int, start int, stop int")
 
 
 def equal_neighbours(sorted_rows: DataFrame) -> DataFrame:
@@ -156,21 +161,23 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     size = F.size("words")
     narrow = docs.where(size >= window).select("doc_id", "key", size.alias("n_words"), F.length("text").alias("stop"))
     copied = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    whole = narrow.join(copied, "key", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"), F.col("n_words").cast("int").alias("n_words"), F.lit(True).alias("whole"))
+    whole = narrow.join(copied, "key", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"), F.col("n_words").cast("int").alias("n_words"), F.lit(True).alias("whole"), part_of("key").alias("part"))
 
-    suffixes = checkpoint(retained(docs, window, gram))
+    suffixes = written(retained(docs, window, gram))
     more = F.max(F.size("places")) > 1
-    again = suffixes.groupBy("gram").agg(((F.min("key") != F.max("key")) | more).alias("again")).where("again").select("gram")
+    text = F.xxhash64("key")  # numbers aggregate in place
+    again = suffixes.groupBy("gram").agg(((F.min(text) != F.max(text)) | more).alias("again")).where("again").select("gram")
     left = suffixes.join(again, "gram", "left_semi").select("key", "doc_id", F.explode("places").alias("place"))
     # equal texts retain equal suffixes: the copy with the least id goes on
-    left = left.groupBy("key", "place").agg(F.min(F.struct("doc_id")).alias("doc")).groupBy("key").agg(F.min("doc")["doc_id"].alias("_id"), F.collect_list("place").alias("places"))
+    left = left.groupBy("key", "place").agg(F.min("doc_id").alias("doc")).groupBy("key").agg(F.min("doc").alias("_id"), F.collect_list("place").alias("places"))
     texts = project(df, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("key"), "text").withColumnRenamed("key", "_key")
     met = texts.join(left.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("key"))).select("doc_id", "key", "text", word_hashes().alias("words"), "places")
     ordered = stretches(met, window, gram).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
     same = equal_neighbours(ordered)
-    by_place = Window.partitionBy("doc_id", "key").orderBy("at")
+    by_place = Window.partitionBy("doc_id", "part").orderBy("at")
     fresh = F.coalesce(F.col("at") - F.lag("at").over(by_place) > window, F.lit(True))
     runs = same.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + window).alias("n_words"))
-    part = runs.join(copied, "key", "left_anti").select("doc_id", "start", "stop", "n_words", F.lit(False).alias("whole"))
-    return part.unionByName(whole)
+    runs = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + window).alias("n_words"))
+    ours = whole.select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"))
+    passages = runs.join(ours, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")), "left_anti").select("doc_id", "start", "stop", "n_words", F.lit(False).alias("whole"))
+    return passages.unionByName(whole.drop("part"))
