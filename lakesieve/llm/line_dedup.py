@@ -5,6 +5,9 @@ least hash is the window's fingerprint; equal windows choose the same line, so e
 to share one with its earlier copy.  Fingerprints found at one place only fall out; the positions that remain are
 joined through the windows they stand for, by a digest of the window's lines, and all but the first place of a digest
 are repeats.  Overlapping repeated windows of a text extend each other both ways to the whole run.
+
+With ``words``, windows of fewer lines that hold over so many words take part as well, each with its own fingerprint
+and digest: lines hold no line break, so windows of different numbers of lines never have equal digests' texts.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import checkpoint, map_rows, project, text_key
 
 #: Lines of a window, and so the shortest run that is deleted.
 RUN = 3
+#: Runs of fewer lines are deleted too, where asked for, if they hold over so many words.
+WORDS = 50
 
 
 def solid_lines(text: str) -> list[str]:
@@ -35,48 +40,56 @@ def fingerprints(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
     return (len(hashes) - 1 - (np.arange(len(windows)) + windows.argmin(1)))[::-1]
 
 
-def anchored_windows(df: DataFrame, run: int = RUN) -> DataFrame:
-    """From (doc_id, key, text): fp, doc_id, key, windows (at, digest) of every selected line.  Narrow."""
+def anchored_windows(df: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """From (doc_id, key, text): fp, doc_id, key, windows (at, lines, digest) of every selected line.  Narrow."""
 
     def make():
         def row(doc_id, key, text):
-            lines = solid_lines(text or "")
-            if len(lines) < run:
+            lines = [x.encode("utf-8", "replace") for x in solid_lines(text or "")]
+            if words is None and len(lines) < run or not lines:
                 return
-            at_line = fingerprints(np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in lines], dtype=np.uint64), run)
+            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64)
+            before = np.r_[0, np.cumsum([len(x.split()) for x in lines])] if words is not None else None  # bytes split at code points 9 to 13 and 32
             by_line: dict[int, list] = {}
-            for at, line in enumerate(at_line.tolist()):
-                digest = hashlib.blake2b("\n".join(lines[at : at + run]).encode("utf-8", "replace"), digest_size=16).digest()
-                by_line.setdefault(line, []).append({"at": at, "digest": digest})
+            for size in (run,) if words is None else range(1, run + 1):
+                if len(lines) < size:
+                    break
+                for at, line in enumerate(fingerprints(hashes, size).tolist()):
+                    if size == run or before[at + size] - before[at] > words:
+                        digest = hashlib.blake2b(b"\n".join(lines[at : at + size]), digest_size=16).digest()
+                        by_line.setdefault(line, []).append({"at": at, "lines": size, "digest": digest})
             for line, windows in by_line.items():
-                yield xxhash.xxh3_64_intdigest(lines[line].encode("utf-8", "replace")) - (1 << 63), doc_id, key, windows
+                yield int(hashes[line]) - (1 << 63), doc_id, key, windows
 
         return row
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return map_rows(df, make, f"fp long, doc_id {kind}, key binary, windows array<struct<at:int,digest:binary>>")
+    return map_rows(df, make, f"fp long, doc_id {kind}, key binary, windows array<struct<at:int,lines:int,digest:binary>>")
 
 
-def repeated_windows(df: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, key, starts (of the windows of solid lines that came earlier), for texts that have any."""
-    anchored = checkpoint(anchored_windows(df, run))
+def repeated_windows(df: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """doc_id, key, starts (at and number of solid lines of the windows that came earlier), for texts that have any."""
+    anchored = checkpoint(anchored_windows(df, run, words))
     again = anchored.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     windows = anchored.join(again, "fp", "left_semi").select("doc_id", "key", F.inline("windows"))
     first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first, "digest").where(~F.struct("doc_id", "key", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "lines")).alias("starts"))
 
 
-def line_dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """``df`` with the text cut, and n_lines (solid lines before) and n_removed added; existing columns of these names are replaced.
 
+    ``words``: later repeats of runs of fewer lines are deleted too if they hold over so many words (maximal runs of
+    characters other than code points 9 to 13 and 32); None: ``run`` lines are the shortest, however long they are.
+
     A place is earlier by (doc_id, the text's digest, line).  A deleted line goes with its line break; white lines stay.
     Null texts stay null with 0 lines; a text whose every line is deleted becomes empty; rows that repeat both id and
     text count as one document, and all get its result; null ids come first; an empty table gives no rows.  Texts are
     shuffled once, to meet their decisions (unless these are small enough for AQE to broadcast).
     """
     docs = project(df, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("key"), "text")
-    starts = repeated_windows(docs, run).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
+    starts = repeated_windows(docs, run, words).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -89,7 +102,7 @@ def line_dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col:
                 if at is None:
                     out.append((text, len(solid_lines(text)), 0))
                     continue
-                gone = {i for s in at.tolist() for i in range(s, s + run)}
+                gone = {i for s in at.tolist() for i in range(s["at"], s["at"] + s["lines"])}
                 kept, n = [], 0
                 for line in text.split("\n"):
                     if line.strip(" \t\x0b\x0c\r"):
@@ -119,3 +132,21 @@ g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 """
+
+#: The same with WORDS: repeated windows of one and two lines of over 50 words go too.
+WORDS_ORACLE_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+solid AS (SELECT doc_id, p, l, len(regexp_extract_all(l, '[^ \x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM lines WHERE regexp_matches(l, '[^ \x09-\x0D]')),
+win AS (
+  SELECT doc_id, i, 1 AS k, l AS x FROM solid WHERE w > 50
+  UNION ALL SELECT a.doc_id, a.i, 2, a.l || chr(10) || b.l FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 WHERE a.w + b.w > 50
+  UNION ALL SELECT a.doc_id, a.i, 3, a.l || chr(10) || b.l || chr(10) || c.l FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN solid c ON c.doc_id = a.doc_id AND c.i = a.i + 2
+),
+later AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, k, row_number() OVER (PARTITION BY k, x ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT s.doc_id, s.p FROM solid s JOIN later t ON s.doc_id = t.doc_id AND s.i BETWEEN t.i AND t.i + t.k - 1),
+kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM solid GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
