@@ -50,7 +50,22 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
-    """``make()`` is called once a task and returns a function from one row's values to its output rows.
+    """``make()`` is called once a task and returns a function from one row's values to its output rows."""
+
+    def parts():
+        convert = make()
+
+        def rows(*columns: list) -> Iterator[tuple]:
+            for row in zip(*columns, strict=True):
+                yield from convert(*row)
+
+        return rows
+
+    return map_parts(df, parts, schema)
+
+
+def map_parts(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, most: int = 256) -> DataFrame:
+    """``make()`` is called once a task and returns a function from the columns of at most ``most`` rows, as lists, to output rows.
 
     Rows stream through in Arrow batches (64 MB at most by Spark's own setting) and leave in batches of OUT_ROWS.
     """
@@ -65,10 +80,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    out.extend(convert(*row))
+            for start in range(0, batch.num_rows, most):
+                for row in convert(*[c.to_pylist() for c in batch.slice(start, most).columns]):
+                    out.append(row)
                     if len(out) >= OUT_ROWS:
                         yield flush()
                         out = []

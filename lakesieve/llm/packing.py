@@ -16,10 +16,12 @@ A shard costs at most one partly filled sequence, so the loss to sharding is abo
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _LETTER, _NUMBER, _WHITE, RARE
-from .common import checkpoint, map_rows, project
+from .common import checkpoint, map_parts, project
 
 CAPACITY = 4096
 #: Pieces of a shard, about.
@@ -43,13 +45,13 @@ SLACK = 4
 class WordIds:
     """A lower-casing word BPE's ids as little-endian bytes, through the tokenizers library.
 
-    Its words never reach over white space, so a text's ids are those of its white-space separated chunks, and a
-    chunk's are those of its words.  A text's words that are new go through the library in one call and are
-    remembered, up to a bound; each word ends with the one id that has the end-of-word mark.  Texts with rare
-    characters (for which lower case may depend on the neighbours) or with special tokens' strings go there whole.
+    Its words never reach over white space and are encoded each by itself, so a text's ids are those of its words.
+    The words of many texts that are new go through the library in lots and are remembered in two generations, up to a
+    bound; each word ends with the one id that has the end-of-word mark.  Texts with rare characters (for which
+    lower case may depend on the neighbours) or with special tokens' strings go there whole.
     """
 
-    MOST = 300_000
+    MOST = 250_000
     #: Fixed value: the public pattern of word_bpe_49k.json's words, for characters below U+0250.
     WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
 
@@ -63,60 +65,70 @@ class WordIds:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        lots = [" ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False) for i in e.ids], dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):  # not one mark a word: ask for each
             return {w: self._ids(w) for w in words}
         raw, starts = ids.tobytes(), [0, *(stops[:-1] * 4).tolist()]
         return {w: raw[a:b] for w, a, b in zip(words, starts, (stops * 4).tolist(), strict=True)}
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        words = [None if RARE.search(t) or any(s in t for s in self.special) else self.WORDS.findall(t.lower()) for t in texts]
+        known, older = self.known, self.older
+        new = set().union(*filter(None, words)).difference(known)
+        fresh = [w for w in new if w not in older]
+        found = {w: older[w] for w in new if w in older}
+        if fresh:
+            found |= self._learn(fresh)
+        if len(known) + len(found) > self.MOST and known:
+            self.older, self.known = known, {}
+            found |= {w: known[w] for w in set().union(*filter(None, words)).intersection(known)}
+            known = self.known
+        known.update(found)
+        out = [self._ids(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        for w in found:
+            if len(w) > 64:
+                del known[w]
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if RARE.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        chunks, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > self.MOST:
-            known.clear()
-        parts = {c: [c] if c.isalpha() else self.WORDS.findall(c) for c in set(chunks) if c not in known}
-        words = {w for p in parts.values() for w in p if w not in known}
-        here = self._learn(list(words)) if words else {}
-        known.update((w, i) for w, i in here.items() if len(w) <= 64)
-        longer = {}
-        for chunk, p in parts.items():
-            ids = b"".join([here[w] if w in here else known[w] for w in p])
-            if len(chunk) <= 32:
-                known[chunk] = ids
-            else:
-                longer[chunk] = ids
-        return b"".join([longer[c] if c in longer else known[c] for c in chunks])
+        return self.many([text])[0]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """Once a Python worker, not once a task; the executors' cores are busy with other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
 
 
 def token_pieces(df: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document's pieces.  Narrow."""
 
     def make():
-        ids_of, end = WordIds(path), array("I", [end_id]).tobytes()
+        ids_of, end = word_ids(path), array("I", [end_id]).tobytes()
 
-        def row(doc_id, text):
-            ids = ids_of(text or "") + end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                more = (array("I", part).tolist(),) if with_ids else ()
-                yield doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *more
+        def rows(doc_ids, texts):
+            for doc_id, own in zip(doc_ids, ids_of.many([t or "" for t in texts]), strict=True):
+                ids = own + end
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    more = (array("I", part).tolist(),) if with_ids else ()
+                    yield doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *more
 
-        return row
+        return rows
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids array<long>" if with_ids else ""
-    return map_rows(project(df, doc_id=id_col, text=text_col), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{more}")
+    return map_parts(project(df, doc_id=id_col, text=text_col), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{more}")
 
 
 def best_configuration(sizes: list[int], left: list[int], room: int) -> tuple[int, ...]:
