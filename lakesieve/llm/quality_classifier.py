@@ -1,9 +1,10 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
 A text is cut into blocks; each block is compressed with the dictionary built from good texts, with the one from bad
-texts and with none.  The feature is the normalised difference (bad - good) / plain of the summed sizes, for the
-whole text and for its worst block; logistic regression, fitted on labelled rows that the dictionaries haven't seen,
-turns it into a calibrated score.
+texts and with none.  The features are the normalised difference (bad - good) / plain of the summed sizes, for the
+whole text and for its worst block, and the log of plain size / length, the text's compressibility without a
+dictionary.  Logistic regression on these and their squares, fitted on labelled rows that the dictionaries haven't
+seen, turns them into a calibrated score.  The README has the figures with and without the third feature.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, project
+from .common import map_rows, project, written
 
-#: Bounds of the labelled sample: rows a class, characters of each that training reads (scoring reads whole texts).
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8192
+#: Bound of the labelled sample: rows a class.  Whole texts of these are read, by the executors.
+SAMPLE_ROWS = 1500
 #: Bytes of each dictionary, of a block, and the compression level.
 DICTIONARY, BLOCK, LEVEL = 112_640, 1024, 3
 
@@ -29,10 +30,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content: equal shares of the texts, so that many texts are seen; a prefix dictionary is never out of samples."""
-    share = max(200, DICTIONARY // max(1, len(texts)))
-    return b"\n".join(t[:share] for t in texts)[:DICTIONARY]
+def even_share(lengths: list[int], room: int = DICTIONARY) -> int:
+    """The most bytes of each text, so that all of them together (with a line break each) fit into ``room``: short texts whole, the others alike."""
+    left, share = room - len(lengths), 0
+    for k, n in enumerate(sorted(lengths)):
+        share = left // (len(lengths) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return max(share, 1)
+
+
+def piece(raw: bytes, share: int, mark: int) -> bytes:
+    """``share`` bytes of a text in one piece, at a place that ``mark`` (any number) chooses; a shorter text whole."""
+    at = mark % (len(raw) - share + 1) if len(raw) > share else 0
+    return raw[at : at + share]
 
 
 @dataclass(frozen=True)
@@ -76,19 +89,37 @@ class Measure:
         return ((bad - good) / plain, worst, math.log(plain / len(raw)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weighted logistic regression by Newton's method; the last weight is the intercept."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
+    """Weighted logistic regression with a ridge of ``ridge`` a row's mean weight; the last weight is the intercept, which the ridge spares.
+
+    Newton's method, each step halved until the loss falls.  The loss is convex and the ridge keeps it from being
+    flat, so it converges also where the classes can be separated; an error if it didn't.
+    """
     x = np.c_[x, np.ones(len(x))]
+    total = weight.sum()
+    penalty = ridge * total * np.r_[np.ones(x.shape[1] - 1), 1e-6]
+    sign = 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, -sign * (x @ w)) + 0.5 * penalty @ w**2)
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w))
-        move = np.linalg.solve(curvature, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (weight * (p - y)) + penalty * w
+        if np.abs(gradient).max() <= 1e-7 * total:
+            return w
+        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-12 * total), gradient)
+        step = 1.0
+        while (new := loss(w - step * move)) > now - 1e-4 * step * (gradient @ move) and step > 1e-10:
+            step /= 2
+        if step <= 1e-10 or now - new <= 1e-13 * abs(now):  # as low as doubles tell
+            if np.abs(gradient).max() <= 1e-4 * total:
+                return w
             break
-    return w
+        w, now = w - step * move, new
+    raise RuntimeError("the calibration did not converge")
 
 
 def _terms(features: np.ndarray) -> np.ndarray:
@@ -96,29 +127,19 @@ def _terms(features: np.ndarray) -> np.ndarray:
     return np.c_[features, features**2]
 
 
-def train(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
-    """From (text, label) pairs, in an order that doesn't depend on the label: half of each class makes the dictionaries, half the calibration.
-
-    ``totals``: rows of each class before sampling; the calibration weighs the classes by them.
+def calibrated(good: bytes, bad: bytes, features: dict[int, list[tuple[float, ...]]], totals: dict[int, int]) -> Model:
+    """The model of two dictionaries and the features of each class's calibration texts, weighed by the classes' rows (``totals``).
 
     With one class only, or no rows, the score is that class's smoothed share everywhere.
     """
-    parts: dict[int, list[bytes]] = {0: [], 1: []}
-    for text, label in rows:
-        parts[int(label)].append((text or "").encode("utf-8", "replace"))
-    first = {k: v[: len(v) // 2] for k, v in parts.items()}
-    rest = {k: v[len(v) // 2 :] for k, v in parts.items()}
-    good, bad = _dictionary(first[1]), _dictionary(first[0])
-    n = {k: len(v) for k, v in rest.items()}
+    n = {k: len(features.get(k, [])) for k in (0, 1)}
     if not n[0] or not n[1]:
-        odds = math.log((len(parts[1]) + 1) / (len(parts[0]) + 1))
+        odds = math.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
         return Model(good, bad, (0.0,) * 6 + (odds,), (0.0,) * 6, (1.0,) * 6)
-    measure = Measure(good, bad)
-    x = _terms(np.array([measure(t.decode("utf-8", "replace")) for k in (0, 1) for t in rest[k]]))
+    x = _terms(np.array([f for k in (0, 1) for f in features[k]]))
     y = np.r_[np.zeros(n[0]), np.ones(n[1])]
     centre, scale = x.mean(0), x.std(0) + 1e-9
-    share = totals if totals and totals.get(0) and totals.get(1) else {k: len(v) for k, v in parts.items()}
-    each = np.where(y == 1, share[1] / n[1], share[0] / n[0])
+    each = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
     w = _fit((x - centre) / scale, y, each * len(y) / each.sum())
     return Model(good, bad, tuple(w), tuple(centre), tuple(scale))
 
@@ -136,18 +157,49 @@ def scorer(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Train on a bounded sample: of each class the ``rows`` training rows that come first by a hash of their id.
 
-    ``docs``: doc_id, text.  ``labels``: doc_id and the label (0 or 1; other values and null don't count; of several
-    labels of an id the smallest holds).  The driver sees at most 2 * rows texts of SAMPLE_CHARS characters and the
-    two class counts; the join broadcasts at most 2 * rows ids.
+    ``docs``: doc_id, text (null: empty).  ``labels``: doc_id and the label (0 or 1; other values and null don't count;
+    of several labels of an id the smallest holds); other columns are ignored, and of rows of ``docs`` that repeat an
+    id the text with the least hash counts.  A hash of the id deals the sample's rows in halves: one makes the
+    dictionaries, of which every text gets an even share, the other the calibration, whose whole texts the executors
+    measure.  The sample's texts are written once to the shared folder.  The driver sees two class counts, at most
+    two dictionaries of pieces, and one row of numbers a sampled text; the join broadcasts at most 2 * rows ids.
     """
-    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
+    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     totals = {int(r["label"]): int(r["n"]) for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     first = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    sample = F.broadcast(first[0].unionByName(first[1]))
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)
-    found = docs.select("doc_id", text.alias("text")).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows)
-    return train([(r["text"], r["label"]) for r in found.collect()], totals)
+    ids = F.broadcast(first[0].unionByName(first[1]))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    mark = F.xxhash64("doc_id", F.lit(5))
+    sample = written(found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "label", "text", F.shiftright(mark, 1).alias("mark"), (F.pmod(mark, F.lit(2)) == 0).alias("content")))
+
+    content = sample.where("content")
+    lengths: dict[int, list[int]] = {0: [], 1: []}
+    for r in content.select("label", F.octet_length("text").alias("n")).collect():
+        lengths[r["label"]].append(int(r["n"]))
+    share = {k: even_share(v) if v else 1 for k, v in lengths.items()}
+
+    def cut():
+        def row(label, text, mark):
+            yield label, mark, piece(text.encode("utf-8", "replace"), share[label], mark)
+
+        return row
+
+    pieces = sorted((r["label"], r["mark"], bytes(r["piece"])) for r in map_rows(content.select("label", "text", "mark"), cut, "label int, mark long, piece binary").collect())
+    good, bad = (b"\n".join(x for label, _, x in pieces if label == k)[:DICTIONARY] for k in (1, 0))
+
+    def measured():
+        measure = Measure(good, bad)
+
+        def row(label, text):
+            yield label, list(measure(text))
+
+        return row
+
+    features: dict[int, list[tuple[float, ...]]] = {0: [], 1: []}
+    for r in sorted(map_rows(sample.where("not content").select("label", "text"), measured, "label int, x array<double>").collect()):
+        features[r["label"]].append(tuple(r["x"]))
+    return calibrated(good, bad, features, totals)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
