@@ -13,7 +13,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .bpe import Units, Vocabulary, pre_tokens, vocabulary
+from .bpe import Vocabulary, Words, pre_tokens, vocabulary
 from .common import map_rows, project
 
 
@@ -28,12 +28,13 @@ class SuffixAutomaton:
             for byte in text:
                 last = self._extend(moves, last, byte)
             self.token[last] = token
-        # the nearest state on the way of suffix links that is a token
+        # the tokens, as (length, token) by falling length, on the way of suffix links above each state, and from it on
         order = sorted(range(1, len(moves)), key=self.length.__getitem__)
-        self.shorter = [-1] * len(moves)
+        self.above: list[tuple] = [()] * len(moves)
+        self.ending: list[tuple] = [()] * len(moves)
         for s in order:
-            up = self.link[s]
-            self.shorter[s] = up if up > 0 and self.token[up] >= 0 else self.shorter[up] if up > 0 else -1
+            self.above[s] = self.ending[self.link[s]]
+            self.ending[s] = ((self.length[s], self.token[s]), *self.above[s]) if self.token[s] >= 0 else self.above[s]
         self.moves = moves
 
     def _new(self, moves: list, length: int, move: dict) -> int:
@@ -73,17 +74,16 @@ class Encoder:
         self.vocab = vocab
         self.automaton = SuffixAutomaton([(vocab.bytes_of[i], i) for i in vocab.plain])
         self.sizes = [len(b) for b in vocab.bytes_of]
-        self.known: dict[int, bool] = {}
+        #: by the first token: second token -> compatible
+        self.known: list[dict[int, bool]] = [{} for _ in range(vocab.size)]
+        self.pairs = 0
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b ends in exactly these two tokens.
+        """Whether merging the bytes of a and b ends in exactly these two tokens; remembered.
 
         Undo merges from the last to the first; whenever the tokens on both sides of the border stand side by side,
         a merge of the two of a lower rank than the merge that ends this state would have come before it.
         """
-        key = a << 20 | b
-        if (known := self.known.get(key)) is not None:
-            return known
         merges, parts = self.vocab.merges, self.vocab.parts
         until, x, y = 1 << 40, a, b
         while True:
@@ -99,37 +99,38 @@ class Encoder:
                 until, x = px[2], px[1]
             else:  # on equal ranks the left one is merged first, so undo the right one; it loses a tie to the border
                 until, y = py[2] + 1, py[0]
-        if len(self.known) >= self.PAIRS:
-            self.known.clear()
-        self.known[key] = ok
+        if self.pairs >= self.PAIRS:
+            self.pairs = 0
+            for found in self.known:
+                found.clear()
+        self.pairs += 1
+        self.known[a][b] = ok
         return ok
 
     def encode_word(self, word: bytes) -> list[int]:
-        auto, sizes = self.automaton, self.sizes
-        moves, length, link, token, shorter = auto.moves, auto.length, auto.link, auto.token, auto.shorter
-        known, test = self.known, self.compatible
-        last = [-1] * (len(word) + 1)
-        state = matched = 0
-        for i, byte in enumerate(word, 1):
+        auto, sizes, known, test = self.automaton, self.sizes, self.known, self.compatible
+        moves, length, link, ending, above = auto.moves, auto.length, auto.link, auto.ending, auto.above
+        last = [-1]
+        state = matched = i = 0
+        for byte in word:
             while (to := moves[state].get(byte)) is None:
                 state = link[state]
                 matched = length[state]
-            state, matched = to, matched + 1
-            at = state if matched == length[state] and token[state] >= 0 else shorter[state]
-            while True:
-                t = token[at]
-                j = i - length[at]
-                if not j:
+            state = to
+            matched += 1
+            i += 1
+            for n, t in ending[state] if matched == length[state] else above[state]:
+                if n == i:
                     break
-                ok = known.get(last[j] << 20 | t)
-                if test(last[j], t) if ok is None else ok:
+                before = last[i - n]
+                ok = known[before].get(t)
+                if test(before, t) if ok is None else ok:
                     break
-                at = shorter[at]
-            last[i] = t
-        ids, i = [], len(word)
+            last.append(t)
+        ids = []
         while i:
-            ids.append(last[i])
-            i -= sizes[last[i]]
+            ids.append(t := last[i])
+            i -= sizes[t]
         ids.reverse()
         return ids
 
@@ -148,12 +149,13 @@ def codec(path: str):
     """(encode, decode): from text to its ids as decimal strings, and back from these to text."""
     enc = encoder(path)
     vocab = enc.vocab
-    units = Units(lambda word: ",".join(map(str, enc.encode_word(word.encode()))), ",".join)
-    bytes_of = {str(i): b for i, b in enumerate(vocab.bytes_of)}
+    name = [str(i) for i in range(vocab.size)]
+    words = Words(lambda word: ",".join(map(name.__getitem__, enc.encode_word(word.encode()))))
+    bytes_of = dict(zip(name, vocab.bytes_of, strict=True))
 
     def encode(text: str) -> str:
         """Ids joined by commas."""
-        parts = [str(vocab.special[part]) if special else ",".join(units.of(part)) for part, special in vocab.segments(text)]
+        parts = [str(vocab.special[part]) if special else ",".join(words.of(part)) for part, special in vocab.segments(text)]
         return ",".join(parts)
 
     def decode(ids: str) -> str:

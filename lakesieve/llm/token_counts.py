@@ -11,7 +11,7 @@ import heapq
 
 from pyspark.sql import DataFrame
 
-from .bpe import Units, Vocabulary, vocabulary
+from .bpe import Vocabulary, Words, vocabulary
 from .common import map_rows, project
 
 
@@ -51,10 +51,10 @@ def count_merged(word: bytes, vocab: Vocabulary) -> int:
 def counter(path: str):
     """A function from text to its number of tokens."""
     vocab = vocabulary(path)
-    units = Units(lambda word: count_merged(word.encode(), vocab), sum)
+    words = Words(lambda word: count_merged(word.encode(), vocab))
 
     def count(text: str) -> int:
-        return sum(1 if special else sum(units.of(part)) for part, special in vocab.segments(text))
+        return sum(1 if special else sum(words.of(part)) for part, special in vocab.segments(text))
 
     return count
 
