@@ -40,6 +40,28 @@ def slices(items: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.slice(items, i, size))
 
 
+def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    """Plain replacements, one after another."""
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def decimals(value: Column, places: int = 2) -> Column:
+    """A number with a fixed number of decimals, as in ``{:.2f}``."""
+    return F.format_string(f"%.{places}f", value.cast("double"))
+
+
+def exponent(value: Column, places: int = 0) -> Column:
+    """A number in scientific notation, as in ``{:.0e}``."""
+    return F.format_string(f"%.{places}e", value.cast("double"))
+
+
+def ceil_div(a: Column, b: int) -> Column:
+    """How many parts of ``b`` hold ``a``: the quotient rounded up, in whole numbers."""
+    return (F.floor((a.cast("bigint") - 1) / b) + 1).cast("bigint")
+
+
 def article(title: Column, abstract: Column, text: Column) -> Column:
     """Title, abstract and text with blank lines between; null if any is null."""
     return F.concat(title, F.lit("\n\n"), abstract, F.lit("\n\n"), text)

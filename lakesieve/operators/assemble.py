@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import row_index, seeded_shuffle
+from .rows import first_rows, row_index, seeded_shuffle
 
 
 def rethreshold(verdicts: DataFrame, threshold: float, compat: bool = False) -> DataFrame:
@@ -91,4 +91,10 @@ def assembly_stats(base: DataFrame, verdicts: DataFrame, result: DataFrame, deci
 
 
 def appended_sources(appended: DataFrame) -> DataFrame:
+    """Documents by source."""
     return appended.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def counterfactual_sources(kept: DataFrame, appended: DataFrame, order_by: str = "id") -> DataFrame:
+    """The sources of as many retained documents, the first in the order, as were appended: what the appended ones are held against."""
+    return first_rows(kept, order_by, appended.count()).groupBy("source").agg(F.count("*").alias("n"))

@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lists longer than this are scanned by a Python loop that stops at the threshold, shorter ones by an expression.
-INLINE_KEYWORDS = 30
-
 
 def refine(blocklist: DataFrame, pos_ratio: float | None = 0.4) -> DataFrame:
     """Distinct keywords with pos_ratio above the threshold (null and NaN never are; no threshold: all) that, if the list says so, are relevant."""
@@ -38,31 +35,37 @@ def keyword_list(refined: DataFrame) -> list[str]:
 def hits(text: Column, keywords: list[str], most: int) -> Column:
     """The first ``most`` keywords, in order, that occur in ``text`` whatever the case; null texts have none.
 
-    Every distinct raw keyword counts, also inside words and inside other keywords.
+    Every distinct raw keyword counts, also inside words and inside other keywords.  All keywords are looked for at
+    once: one automaton, made once a task, reads each text once, however long the list is.  (Built-in functions would
+    read it once for each keyword.)  The text is lower-cased before it leaves the JVM, and only it travels.
     """
-    if len(keywords) > INLINE_KEYWORDS:
-        lowered = [(k, k.lower()) for k in keywords]
-
-        @F.pandas_udf("array<string>")
-        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            def one(text: str | None) -> list[str]:
-                found: list[str] = []
-                low = (text or "").lower()
-                for k, small in lowered:
-                    if len(found) >= most:
-                        break
-                    if text is not None and small in low:
-                        found.append(k)
-                return found
-
-            for batch in batches:
-                yield batch.map(one)
-
-        return scan(text)
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k.lower()).alias("low")) for k in keywords]) if keywords else F.array().cast("array<struct<k:string,low:string>>")
-    # the text is lower-cased once: bound by an outer array, not inside the keywords' lambda
-    found = F.transform(F.array(F.lower(text)), lambda t: F.filter(pairs, lambda p: F.coalesce(F.contains(t, p["low"]), F.lit(False))))[0]
-    return F.slice(F.transform(found, lambda p: p["k"]), 1, max(most, 1))
+    if not keywords:
+        return F.array().cast("array<string>")
+    most = max(most, 1)
+
+    @F.pandas_udf("array<string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from ahocorasick import Automaton
+
+        by_word: dict[str, list[int]] = {}
+        for k, word in enumerate(keywords):
+            by_word.setdefault(word.lower(), []).append(k)
+        everywhere = by_word.pop("", [])  # the empty word is in every text
+        automaton = Automaton()
+        for word, places in by_word.items():
+            automaton.add_word(word, places)
+        automaton.make_automaton()
+
+        def one(low: str | None) -> list[str]:
+            if low is None:
+                return []
+            seen = {id(places): places for _, places in automaton.iter(low)} if by_word else {}
+            return [keywords[k] for k in sorted([*everywhere, *(k for places in seen.values() for k in places)])[:most]]
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return scan(F.lower(text))
 
 
 def verdict(text: Column, keywords: list[str], threshold: int = 2) -> Column:

@@ -28,22 +28,33 @@ def weak(keywords: list[str], classifier: Stage, threshold: int = 2) -> list[Sta
 def cascade(docs: DataFrame, stages: list[Stage | str | None]) -> DataFrame:
     """``docs`` (text and anything else) with ``<name>``, ``<name>_metadata`` for each stage and ``combined_filter``.
 
-    Documents are split at each gate: the stage reads the escalated part only, the others get false and the default
-    metadata, and both parts are put together again by a union.  So no key, no join and no shuffle is needed, and a
-    costly stage never sees a row that isn't its own (``when(gate, udf)`` would call it for all).  The union reads the
-    stages before the gate once for each part; these are cheap expressions, and ``checkpointed`` says how to cut that.
+    One narrow pass without a key, a join or a shuffle.  A stage whose ``gated`` is true, as all of this package are,
+    takes the gate and judges the other rows' place only: null goes to its model, which isn't called for nulls
+    (``when(gate, udf)`` would call it for all).  So each model sees an escalated row once, however many stages follow.
+
+    Documents are split at the gate of any other stage, which reads the escalated part; both parts are put together
+    again by a union.  As the union reads what is before it once for each part, it is checkpointed first if a model
+    has judged it.
     """
     stages = chosen(stages)
-    previous = None
+    previous, modelled = None, False
     for stage in stages:
-        gate = F.lit(True) if previous is None else F.coalesce(F.col(previous), F.lit(False))
         kept = docs.columns
-        own = docs if previous is None else docs.where(gate)
-        judged = stage.judge(own).select(*kept, F.col("_should").alias(stage.name), F.col("_metadata").alias(f"{stage.name}_metadata"))
-        if previous is not None:
+        verdict = [F.col("_should").alias(stage.name), F.col("_metadata").alias(f"{stage.name}_metadata")]
+        if previous is None:
+            docs = stage.judge(docs).select(*kept, *verdict)
+        elif getattr(stage, "gated", False):
+            docs = stage.judge(docs, F.coalesce(F.col(previous), F.lit(False))).select(*kept, *verdict)
+        else:
+            if modelled:
+                from ..sources.shared import pinned
+
+                docs = pinned(docs)
+            gate = F.coalesce(F.col(previous), F.lit(False))
+            judged = stage.judge(docs.where(gate)).select(*kept, *verdict)
             passed = docs.where(~gate).select(*kept, F.lit(False).alias(stage.name), stage.default_metadata().cast(judged.schema[f"{stage.name}_metadata"].dataType).alias(f"{stage.name}_metadata"))
-            judged = judged.unionByName(passed)
-        docs, previous = judged, stage.name
+            docs = judged.unionByName(passed)
+        previous, modelled = stage.name, modelled or getattr(stage, "costly", True)
     return docs.withColumn("combined_filter", F.col(previous) if previous else F.lit(False))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StructField
 
 from ..functions.text import choice_list
 from ..functions.vectors import argmax
+from .rows import row_index
 
 #: Of a sample log's rows.
 LOG_SCHEMA = (
@@ -31,6 +32,46 @@ def from_log(log: DataFrame) -> DataFrame:
     return scored(rows, "loglik", "target", None)
 
 
+def selected(items: DataFrame, subset: str | None = None, split: str | None = None, category: str | None = None) -> DataFrame:
+    """The items of a subset, a split and a category, as far as they are named; columns of these names."""
+    for column, value in (("subset", subset), ("split", split), ("category", category)):
+        items = items if value is None else items.where(F.col(column) == value)
+    return items
+
+
+def inherited(templates: dict[str, dict], name: str) -> dict:
+    """A task's configuration with those it includes (``include``: a name) filled in below its own; an error on a circle."""
+    seen, found = [], {}
+    while name is not None:
+        if name in seen:
+            raise ValueError(f"templates include each other: {' -> '.join([*seen, name])}")
+        seen.append(name)
+        own = dict(templates[name])
+        name = own.pop("include", None)
+        found = own | found
+    return found
+
+
+def few_shot(items: DataFrame, shots: DataFrame, prompt: str, answer: str, n: int, order_by: str, between: str = "\n\n") -> DataFrame:
+    """``items`` with n worked examples before their ``prompt``: the first n rows of ``shots`` in the order, each its prompt, a space and its answer.
+
+    n rows come to the driver; with 0 the items stay as they are.
+    """
+    if not n:
+        return items
+    worked = [f"{r[prompt]} {r[answer]}" for r in shots.orderBy(order_by).limit(n).select(prompt, answer).collect()]
+    return items.withColumn(prompt, F.concat(F.lit(between.join(worked) + between), F.col(prompt)))
+
+
+def limited(items: DataFrame, most: int | None, order_by: str, by: list[str] | None = None) -> DataFrame:
+    """The first ``most`` items in the order, of all or of each task of ``by``; None: all."""
+    if most is None:
+        return items
+    if not by:
+        return items.orderBy(order_by).limit(most)
+    return row_index(items, order_by, "_i", by).where(F.col("_i") < most).drop("_i")
+
+
 def check_choices(items: DataFrame, column: str = "choices") -> DataFrame:
     """Refuses choices that are text: indexing it would show single characters."""
     field: StructField = items.schema[column]

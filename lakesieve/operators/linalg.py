@@ -9,32 +9,46 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 
+#: Cells of a Gram matrix that leave a task in one batch.
+CELLS = 1 << 20
+
+
 def gram(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
     """layer, i, j, g: the sum of x_i * x_j over the layer's rows, uncentred, in long form.
 
-    Partial sums happen before the shuffle, so it moves d * d values a layer and task, whatever the number of rows.
-    Rows whose vector is null fall out.
+    Each task multiplies Arrow batches as matrices and emits one d * d sum a layer, so the shuffle moves d * d values a
+    layer and task, whatever the number of rows, and a row costs d * d multiplications but no d * d cells.  Rows whose
+    vector is null or empty fall out; a null component counts as zero.  Vectors of several lengths add up where both
+    have a component.
     """
-    both = F.transform(vector, lambda a, i: F.transform(vector, lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a.cast("double") * b.cast("double")).alias("p"))))
-    return df.select(layer, F.inline(F.flatten(both))).groupBy(layer, "i", "j").agg(F.sum("p").alias("g"))
-
-
-def gram_blocks(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
-    """The same as ``gram`` for wide vectors: each task multiplies Arrow batches as matrices and emits one d * d sum a layer."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         sums: dict = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
-            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            for name in set(names.tolist()):
-                x = rows[names == name]
-                sums[name] = sums.get(name, 0) + x.T @ x
-        for name, g in sums.items():
-            i, j = np.indices(g.shape)
-            yield pa.RecordBatch.from_pydict({layer: [name] * g.size, "i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "p": g.ravel()})
-
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                codes = part.column(0).dictionary_encode()
+                sizes, names = part.column(1).value_lengths().to_numpy(zero_copy_only=False), codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                flat = pc.fill_null(part.column(1).flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                for code, d in sorted(set(zip(names.tolist(), sizes.tolist(), strict=True))):
+                    if d:
+                        rows = np.flatnonzero((names == code) & (sizes == d))
+                        x = flat[(ends[rows] - d)[:, None] + np.arange(d)]
+                        key = (None if code < 0 else codes.dictionary[code].as_py(), d)
+                        sums[key] = sums.get(key, 0) + x.T @ x
+        for (name, d), g in sums.items():
+            for top in range(0, d, max(1, CELLS // d)):
+                slab = g[top : top + max(1, CELLS // d)]
+                i, j = np.indices(slab.shape, dtype=np.int32)
+                label = pa.array([name], type=layer_type)
+                yield pa.RecordBatch.from_arrays([label.take(pa.array(np.zeros(slab.size, dtype=np.int32))), pa.array((i + top).ravel()), pa.array(j.ravel()), pa.array(slab.ravel())], names=[layer, "i", "j", "p"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    layer_type = to_arrow_type(df.schema[layer].dataType)
     kind = df.schema[layer].dataType.simpleString()
     part = df.where(F.col(vector).isNotNull()).select(layer, vector).mapInArrow(run, f"`{layer}` {kind}, i int, j int, p double")
     return part.groupBy(layer, "i", "j").agg(F.sum("p").alias("g"))
@@ -47,24 +61,42 @@ def singular_values(matrix: np.ndarray) -> list[float]:
     return np.sqrt(np.clip(np.linalg.eigvalsh(matrix), 0, None))[::-1].tolist()
 
 
+def solved(grams: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, hidden_dim, singular_values of Gram matrices in long form: each matrix's d * d cells are one group."""
+    schema = grams.select(*by).schema
+
+    def solve(pdf):
+        d = int(pdf["i"].max()) + 1
+        m = np.zeros((d, d))
+        m[pdf["i"], pdf["j"]] = pdf["g"]
+        return pdf[by].head(1).assign(hidden_dim=d, singular_values=[singular_values(m)])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return grams.groupBy(*by).applyInPandas(solve, f"{kinds}, hidden_dim int, singular_values array<double>")
+
+
+def described(spectra: DataFrame) -> DataFrame:
+    """With condition_number (largest / smallest; null if that is zero) and top5."""
+    last = F.element_at("singular_values", -1)
+    return spectra.withColumn("condition_number", F.try_divide(F.col("singular_values")[0], last)).withColumn("top5", F.slice("singular_values", 1, 5))
+
+
 def spectrum(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
     """layer, n_samples, hidden_dim, singular_values, condition_number, top5.
 
     Each layer's d * d sums are one group; rows and vectors never are.
     """
-    g = gram(df, vector, layer)
     n = df.where(F.col(vector).isNotNull()).groupBy(layer).agg(F.count("*").alias("n_samples"))
-    kind = df.schema[layer].dataType.simpleString()
+    return described(n.join(solved(gram(df, vector, layer), [layer]), layer))
 
-    def solve(pdf):
-        d = int(pdf["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["i"], pdf["j"]] = pdf["g"]
-        return pdf[[layer]].head(1).assign(hidden_dim=d, singular_values=[singular_values(m)])
 
-    values = g.groupBy(layer).applyInPandas(solve, f"`{layer}` {kind}, hidden_dim int, singular_values array<double>")
-    last = F.element_at("singular_values", -1)
-    return n.join(values, layer).withColumn("condition_number", F.try_divide(F.col("singular_values")[0], last)).withColumn("top5", F.slice("singular_values", 1, 5))
+def checkpointed_spectrum(df: DataFrame, batch: str, points: list[int], vector: str = "x", layer: str = "layer") -> DataFrame:
+    """checkpoint, layer, n_samples, hidden_dim, singular_values, condition_number, top5 of all rows up to and with each checkpoint's batch; the rows are read once for the sums and once for the counts."""
+    values = solved(checkpointed_grams(df, batch, points, vector, layer), ["checkpoint", layer])
+    at = F.element_at(F.filter(F.array(*map(F.lit, sorted(points))), lambda p: p >= F.col(batch)), 1)
+    steps = df.where(F.col(vector).isNotNull() & (F.col(batch) <= max(points))).groupBy(layer, at.alias("_c")).agg(F.count("*").alias("_n"))
+    upto = steps.withColumn("checkpoint", F.explode(F.array(*map(F.lit, sorted(points))))).where(F.col("checkpoint") >= F.col("_c"))
+    return described(upto.groupBy("checkpoint", layer).agg(F.sum("_n").alias("n_samples")).join(values, ["checkpoint", layer]))
 
 
 def checkpoint_schedule(last: int) -> list[int]:
@@ -83,8 +115,9 @@ def checkpointed_grams(df: DataFrame, batch: str, points: list[int], vector: str
     """
     at = F.element_at(F.filter(F.array(*map(F.lit, sorted(points))), lambda p: p >= F.col(batch)), 1)
     known = df.withColumn("_c", F.when(F.col(batch) <= max(points), at)).where(F.col("_c").isNotNull())
-    step = known.withColumn("_l", F.struct(F.col(layer), F.col("_c")))
-    sums = gram(step, vector, "_l").select(F.col(f"_l.{layer}").alias(layer), F.col("_l._c").alias("checkpoint"), "i", "j", "g")
+    step = known.withColumn("_l", F.to_json(F.struct(F.col(layer).alias("layer"), F.col("_c").alias("c")), {"ignoreNullFields": "false"}))
+    back = F.from_json("_l", f"layer {df.schema[layer].dataType.simpleString()}, c int")
+    sums = gram(step, vector, "_l").withColumn("_k", back).select(F.col("_k.layer").alias(layer), F.col("_k.c").alias("checkpoint"), "i", "j", "g")
     parts = sums.groupBy(layer, "i", "j").agg(F.collect_list(F.struct("checkpoint", "g")).alias("_parts"))  # one for each point at most
     each = parts.withColumn("checkpoint", F.explode(F.array(*map(F.lit, sorted(points)))))
     upto = F.filter("_parts", lambda p: p["checkpoint"] <= F.col("checkpoint"))

@@ -5,40 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many rows an unpartitioned window is quicker than two passes.
-PLAIN_WINDOW_ROWS = 2_000_000
+from ..functions.text import percent_label
 
+#: Bits of a row's place within its partition, in ``numbered``.
+PLACE_BITS = 33
 
-def running_sum(df: DataFrame, value: Column, order_by: list[str], name: str, two_level: bool | None = None) -> DataFrame:
-    """``df`` with the running total of ``value`` (this row included) in the total order ``order_by``.
 
-    Plain: one window over everything, which puts all rows into one task.  Two-level: rows are dealt by ranges of the
-    order and sorted there; each partition's total is a row of a small table whose own running sum gives the offsets;
-    partition numbers are pinned by a checkpoint.  Unless told, the choice follows the number of rows.
+def numbered(df: DataFrame, order_by: list[str], name: str = "_row") -> DataFrame:
+    """``df`` dealt by ranges of the order and sorted there, with a number that rises in the order: the partition, and in the low PLACE_BITS the place within it.
+
+    Rows that tie are in any one order.  Written to the shared folder, so that the numbers stay the same however often
+    they are read, also after an executor is lost.
     """
-    df = df.withColumn("_value", value)
-    if two_level is None:
-        two_level = df.count() > PLAIN_WINDOW_ROWS
-    if not two_level:
-        whole = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum("_value").over(whole)).drop("_value")
-    from ..sources.shared import pinned
-
-    dealt = pinned(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(F.sum("_value").alias("_total"))
+    from ..sources.shared import written
+
+    return written(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(name, F.monotonically_increasing_id()))
+
+
+def _offsets(totals: DataFrame) -> DataFrame:
+    """_part, _offset from _part, _total: a row a partition, so one task adds them up and every task gets them."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.withColumn("_sum", F.sum("_value").over(inside)).join(F.broadcast(offsets), "_part")  # a row a partition
-    return out.withColumn(name, F.col("_sum") + F.col("_offset")).drop("_value", "_part", "_sum", "_offset")
+    return F.broadcast(totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("bigint").alias("_offset")))
+
+
+def running_sum(df: DataFrame, value: Column, order_by: list[str], name: str) -> DataFrame:
+    """``df`` with the running total of ``value`` (this row included) in the order ``order_by``; rows that tie are in any one order.
+
+    Two levels, whatever the number of rows: sums within the partitions of ``numbered``, and a running sum of the
+    partitions' totals, a row each.
+    """
+    return running_sum_of(numbered(df.withColumn("_value", value), order_by), "_value", name).drop("_value", "_row")
+
+
+def running_sum_of(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """The running total of a column of a frame that ``numbered`` made."""
+    dealt = rows.withColumn("_part", F.shiftright("_row", PLACE_BITS))
+    offsets = _offsets(dealt.groupBy("_part").agg(F.sum(value).alias("_total")))
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumn("_sum", F.sum(value).over(inside)).join(offsets, "_part")
+    return out.withColumn(name, F.col("_sum") + F.col("_offset")).drop("_part", "_sum", "_offset")
 
 
 def row_index(df: DataFrame, order_by: str | list[str], name: str = "id", within: list[str] | None = None) -> DataFrame:
-    """0-based place in the order, of the table or of each group of ``within``."""
+    """0-based place in the order, of the table or of each group of ``within``; no group is ever in one task."""
     order = [order_by] if isinstance(order_by, str) else order_by
-    if within:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1).cast("bigint"))
-    return running_sum(df, F.lit(1).cast("bigint"), order, name).withColumn(name, F.col(name) - 1)
+    dealt = numbered(df, [*(within or []), *order]).withColumn("_part", F.shiftright("_row", PLACE_BITS))
+    offsets = _offsets(dealt.groupBy("_part").agg(F.count("*").alias("_total")))
+    out = dealt.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_row") - F.shiftleft("_part", PLACE_BITS)).drop("_part", "_offset", "_row")
+    if not within:
+        return out
+    first = out.groupBy(*within).agg(F.min(name).alias("_first"))
+    first = first.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(within)], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(within)]
+    out = out.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
+    return out.select(*[c for c in df.columns if c != name], name)
 
 
 def ensure_id(df: DataFrame, order_by: str | list[str], split: str | None = None) -> DataFrame:
@@ -56,7 +76,7 @@ def percent_chunks(df: DataFrame, order_by: str, fraction: float, split: str = "
     n = df.count()
     size = max(1, int(n * fraction))
     start = F.col("chunk_idx") * size
-    label = F.concat(F.lit(f"{split}["), F.floor(100 * start / n).cast("string"), F.lit("%:"), F.floor(100 * F.least(start + size, F.lit(n)) / n).cast("string"), F.lit("%]"))
+    label = percent_label(split, start, F.least(start + size, F.lit(n)), F.lit(n))
     out = row_index(df, order_by, "_i").withColumn("chunk_idx", F.floor(F.col("_i") / size).cast("bigint"))
     return out.withColumn("chunk_label", label).drop("_i")
 
@@ -71,8 +91,10 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def grid(left: DataFrame, right: DataFrame, seed: int | None = None) -> DataFrame:
-    """All combinations of two small parameter tables, in seeded order if a seed is given."""
+def grid(left: DataFrame, right: DataFrame, seed: int | None = None, most: int = 100_000) -> DataFrame:
+    """All combinations of two small parameter tables (of ``most`` rows together, else an error), in seeded order if a seed is given."""
+    if left.limit(most + 1).count() * right.limit(most + 1).count() > most:
+        raise ValueError(f"a grid of over {most} combinations")
     out = left.crossJoin(right)
     return out if seed is None else out.orderBy(F.xxhash64(*out.columns, F.lit(seed)))
 

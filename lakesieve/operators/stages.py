@@ -15,7 +15,11 @@ from . import blocklist
 
 
 class Stage(Protocol):
-    """The extension point: anything with a name, a metadata default and a ``judge`` can stand in a cascade."""
+    """The extension point: anything with a name, a metadata default and a ``judge`` can stand in a cascade.
+
+    Optional: ``gated = True`` if ``judge`` takes the gate as a second argument, and ``costly = False`` if judging a
+    row twice does no harm.
+    """
 
     name: str
 
@@ -26,18 +30,34 @@ class Stage(Protocol):
         """``docs`` with ``_should`` (boolean) and ``_metadata`` added; rows stay as they are."""
 
 
+def within(judged: DataFrame, gate: Column | None, default: Column) -> DataFrame:
+    """Where the gate is shut, the verdict is false and the metadata the default."""
+    if gate is None:
+        return judged
+    kind = judged.schema["_metadata"].dataType
+    return judged.withColumn("_should", F.when(gate, F.col("_should")).otherwise(False)).withColumn("_metadata", F.when(gate, F.col("_metadata")).otherwise(default.cast(kind)))
+
+
+def opened(value: Column, gate: Column | None) -> Column:
+    """``value`` where the gate is open, else null; without a gate ``value``."""
+    return value if gate is None else F.when(gate, value)
+
+
 @dataclass
 class BlocklistStage:
     keywords: list[str]
     threshold: int = 2
     name: str = "word_filter"
 
+    gated, costly = True, False
+
     def default_metadata(self) -> Column:
         return F.struct(F.lit("").alias("keywords"))
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        judged = docs.withColumn("_v", blocklist.verdict(F.col("text"), sorted(set(self.keywords)), self.threshold))
-        return judged.withColumn("_should", F.col("_v.should_filter")).withColumn("_metadata", F.col("_v.metadata")).drop("_v")
+    def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
+        judged = docs.withColumn("_v", blocklist.verdict(opened(F.col("text"), gate), sorted(set(self.keywords)), self.threshold))
+        judged = judged.withColumn("_should", F.col("_v.should_filter")).withColumn("_metadata", F.col("_v.metadata")).drop("_v")
+        return within(judged, gate, self.default_metadata())
 
 
 def density_scorer(terms: list[str]) -> Callable[[Column], Column]:
@@ -60,13 +80,15 @@ class ClassifierStage:
     tokens: Callable[[Column], Column] = text_functions.words
     name: str = "bert_filter"
 
+    gated, costly = True, False
+
     def default_metadata(self) -> Column:
         return F.struct(F.lit(0.0).alias("highest_score"), F.lit(0.0).alias("lowest_score"), F.lit(0.0).alias("mean_score"))
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        judged = docs.withColumn("_parts", text_functions.slices(self.tokens(F.col("text")), self.context_length))
+    def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
+        judged = docs.withColumn("_parts", opened(text_functions.slices(self.tokens(F.col("text")), self.context_length), gate))
         judged = judged.withColumn("_scores", F.transform("_parts", lambda p: self.scorer(p).cast("double"))).drop("_parts")
-        return judged_by_scores(judged, self.threshold, self.default_metadata())
+        return within(judged_by_scores(judged, self.threshold, self.default_metadata()), gate, self.default_metadata())
 
 
 def judged_by_scores(docs: DataFrame, threshold: float, default: Column) -> DataFrame:
@@ -92,9 +114,11 @@ class ModelStage:
     tokens: Callable[[Column], Column] = text_functions.words
     name: str = "bert_filter"
 
+    gated, costly = True, True
+
     default_metadata = ClassifierStage.default_metadata
 
-    def judge(self, docs: DataFrame) -> DataFrame:
+    def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
         load, size = self.load, self.batch_size
 
         @F.pandas_udf("array<double>")
@@ -103,6 +127,8 @@ class ModelStage:
 
             def one(parts) -> list[float] | None:
                 nonlocal model
+                if parts is None:
+                    return None
                 try:
                     model = model or load()
                     parts = list(parts)
@@ -114,7 +140,8 @@ class ModelStage:
                 yield batch.map(one)
 
         parts = F.transform(text_functions.slices(self.tokens(F.col("text")), self.context_length), lambda p: F.array_join(p, " "))
-        return judged_by_scores(docs.withColumn("_scores", score(parts)), self.threshold, self.default_metadata())
+        judged = judged_by_scores(docs.withColumn("_scores", score(opened(parts, gate))), self.threshold, self.default_metadata())
+        return within(judged, gate, self.default_metadata())
 
 
 def parse_completion(completion: Column) -> Column:
@@ -132,17 +159,23 @@ def chat_messages(text: Column, prompt: str | list[dict[str, str]]) -> Column:
 
 @dataclass
 class JudgeStage:
-    """A language model as judge.  ``connect()`` runs once a task and returns messages -> completion; no default client, no network."""
+    """A language model as judge.  ``connect()`` runs once a task and returns messages -> completion; no default client, no network.
+
+    ``max_new_tokens``: given to the client as a keyword if it is set.
+    """
 
     connect: Callable[[], Callable[[list[dict[str, str]]], str]]
     prompt: str | list[dict[str, str]] = field(default="Answer [1] if the text is to be removed, else [0].")
     name: str = "lm_filter"
+    max_new_tokens: int | None = None
+
+    gated, costly = True, True
 
     def default_metadata(self) -> Column:
         return F.struct(F.lit(False).alias("judgment"), F.lit("").alias("completion"), F.lit(None).cast("string").alias("error"))
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        connect = self.connect
+    def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
+        connect, options = self.connect, {} if self.max_new_tokens is None else {"max_new_tokens": self.max_new_tokens}
 
         @F.pandas_udf("completion string, error string")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -150,14 +183,17 @@ class JudgeStage:
             for batch in batches:
                 rows = []
                 for messages in batch:
+                    if messages is None:
+                        rows.append((None, None))
+                        continue
                     try:
                         client = client or connect()
-                        rows.append((client([dict(m) for m in messages]), None))
+                        rows.append((client([dict(m) for m in messages], **options), None))
                     except Exception as e:
                         rows.append((f"Error during LM filtering: {e}", str(e)))
                 yield pd.DataFrame(rows, columns=["completion", "error"])
 
-        asked = docs.withColumn("_a", ask(chat_messages(F.col("text"), self.prompt))).withColumn("_p", parse_completion(F.col("_a.completion")))
+        asked = docs.withColumn("_a", ask(opened(chat_messages(F.col("text"), self.prompt), gate))).withColumn("_p", parse_completion(F.col("_a.completion")))
         judgment = F.when(F.col("_a.error").isNotNull(), True).otherwise(F.col("_p.judgment"))
         metadata = F.struct(judgment.alias("judgment"), F.col("_a.completion").alias("completion"), F.coalesce("_a.error", "_p.error").alias("error"))
-        return asked.withColumn("_should", judgment).withColumn("_metadata", metadata).drop("_a", "_p")
+        return within(asked.withColumn("_should", judgment).withColumn("_metadata", metadata).drop("_a", "_p"), gate, self.default_metadata())

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slices, words
-from .rows import running_sum
+from ..functions.text import article, slices, words
+from .rows import numbered, running_sum, running_sum_of
 
 
 def token_counts(docs: DataFrame, tokens: Callable[[Column], Column] = words, id_col: str = "id") -> DataFrame:
@@ -29,9 +29,9 @@ def token_counts_by(docs: DataFrame, load: Callable[[], Callable[[list[str]], li
     return docs.select(id_col, count("text").alias("num_tokens"))
 
 
-def budget_cut(counts: DataFrame, target: int, order_by: list[str], two_level: bool | None = None) -> DataFrame:
+def budget_cut(counts: DataFrame, target: int, order_by: list[str]) -> DataFrame:
     """One row: reached, final_index (0-based place of the row that reaches ``target``, else the last), num_docs, target and actual token count."""
-    total = running_sum(counts, F.col("num_tokens").cast("bigint"), order_by, "running", two_level)
+    total = running_sum(counts, F.col("num_tokens").cast("bigint"), order_by, "running")
     placed = total.groupBy().agg(
         F.min(F.when(F.col("running") >= target, F.col("running"))).alias("hit"), F.max("running").alias("all"),
         F.count_if(F.col("running") < target).alias("below"), F.count("*").alias("n"),
@@ -56,15 +56,18 @@ def chunks(docs: DataFrame, size: int, tokens: Callable[[Column], Column] = word
     return out.withColumn("text", F.array_join("tokens", " "))
 
 
-def pack(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words, two_level: bool | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words) -> DataFrame:
     """seq_id, input_ids: each document as one leading ``end`` and its tokens, concatenated in order and cut every ``length``; the incomplete tail is dropped.
 
-    Only token counts take part in the running sum.  A document's tokens are cut where sequences begin, so a row is a
-    part of a document in a sequence, never a single token, and a sequence's parts meet by its id: at most ``length``.
+    Rows whose order keys are null come first, and rows that tie are in any one order; each is packed once.  Only token
+    counts take part in the running sum, and meet their texts again by the rows' numbers.  A document's tokens are cut
+    where sequences begin, so a row is a part of a document in a sequence, never a single token, and a sequence's
+    parts meet by its id: at most ``length``.
     """
-    begun = docs.select(*order_by, F.concat(F.array(F.lit(end)), tokens(F.col("text"))).alias("_t"))
-    offsets = running_sum(begun.select(*order_by, F.size("_t").alias("_n")), F.col("_n").cast("bigint"), order_by, "_end", two_level)
-    placed = begun.join(offsets, order_by).withColumn("_start", F.col("_end") - F.col("_n"))
+    rows = numbered(docs.select(*order_by, "text"), order_by)
+    body = F.concat(F.array(F.lit(end)), tokens(F.col("text")))
+    offsets = running_sum_of(rows.select("_row", F.size(body).cast("bigint").alias("_n")), "_n", "_end").withColumnRenamed("_row", "_place")
+    placed = rows.join(offsets, F.col("_row") == F.col("_place")).select(body.alias("_t"), "_end", (F.col("_end") - F.col("_n")).alias("_start"))
     first, last = F.floor(F.col("_start") / length), F.floor((F.col("_end") - 1) / length)
     parts = placed.withColumn("seq_id", F.explode(F.sequence(first, last)))
     begin, stop = F.greatest(F.col("seq_id") * length, F.col("_start")), F.least((F.col("seq_id") + 1) * length, F.col("_end"))
@@ -79,6 +82,17 @@ def epochs(packed: DataFrame, n: int) -> DataFrame:
     return packed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def max_length_articles(docs: DataFrame, length: int, tokens: Callable[[Column], Column] = words, pad: str = "<pad>", title: str = "title", abstract: str = "abstract", text: str = "text") -> DataFrame:
+    """``docs`` with input_ids, attention_mask and labels of title, abstract and text as one article: padded on the right to ``length`` tokens, longer ones whole.
+
+    The labels are a copy of the ids, padding included; an article with a null part has null columns.
+    """
+    body = F.when(article(F.col(title), F.col(abstract), F.col(text)).isNotNull(), tokens(article(F.col(title), F.col(abstract), F.col(text))))
+    gap = F.greatest(F.lit(length) - F.size("_t"), F.lit(0))
+    out = docs.withColumn("_t", body).withColumn("input_ids", F.concat("_t", F.array_repeat(F.lit(pad), gap)))
+    return out.withColumn("attention_mask", F.concat(F.transform("_t", lambda _: F.lit(1)), F.array_repeat(F.lit(0), gap))).withColumn("labels", F.col("input_ids")).drop("_t")
+
+
 def batches(packed: DataFrame, size: int) -> DataFrame:
     return packed.withColumn("batch", F.floor(F.col("seq_id") / size))
 
@@ -88,7 +102,7 @@ def chunk_pad(docs: DataFrame, size: int = 2048, most: int = 5, pad: int = 0, id
 
     Padding goes to the right: ``pad`` in the ids, 0 in the mask, -100 in the labels; token types are 0.
     """
-    parts = docs.withColumn("_p", F.slice(slices(F.col(ids_col), size), 1, most)).select(*[c for c in docs.columns if c != ids_col], F.posexplode("_p").alias("chunk", "_c"))
+    parts = docs.withColumn("_p", slices(F.slice(F.col(ids_col), 1, size * most), size)).select(*[c for c in docs.columns if c != ids_col], F.posexplode("_p").alias("chunk", "_c"))
     gap = F.lit(size) - F.size("_c")
     fill = lambda body, value: F.concat(body, F.array_repeat(F.lit(value), gap))
     return parts.select(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
-import json
 from dataclasses import dataclass, field
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from ..sources import files, readers
 
 
 def run_id(name: str, seconds: bool = False, now: datetime.datetime | None = None) -> str:
@@ -16,17 +18,14 @@ def run_id(name: str, seconds: bool = False, now: datetime.datetime | None = Non
 
 
 class Manifest:
-    """A run's folder holds its configuration as config.json, so it can be resumed by its id."""
+    """A run's folder holds its configuration as config.json, so it can be resumed by its id; in any file system that Spark writes."""
 
-    def save(self, folder: str) -> str:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        path = Path(folder) / "config.json"
-        path.write_text(json.dumps(dataclasses.asdict(self), indent=2), encoding="utf-8")
-        return str(path)
+    def save(self, spark: SparkSession, folder: str) -> str:
+        return files.write_json(spark, f"{folder}/config.json", dataclasses.asdict(self))
 
     @classmethod
-    def load(cls, folder: str):
-        found = json.loads((Path(folder) / "config.json").read_text(encoding="utf-8"))
+    def load(cls, spark: SparkSession, folder: str):
+        found = readers.config(spark, f"{folder}/config.json")
         known = {f.name for f in dataclasses.fields(cls)}
         return cls(**{k: v for k, v in found.items() if k in known})
 
@@ -47,6 +46,12 @@ class FilterConfig(Manifest):
     splits: list[str] = field(default_factory=lambda: ["train"])
     save_every: float | None = None
     order_by: str = "id"
+    #: A judge's prompt (text, or JSON with messages), and how much it may write.
+    lm_filter_prompt_path: str | None = None
+    lm_max_new_tokens: int = 5
+    #: Also write what the judge said, and publish the verdicts to a path.
+    log_judgments: bool = False
+    publish_path: str | None = None
 
 
 @dataclass
@@ -54,6 +59,7 @@ class AssembleConfig(Manifest):
     base_dataset_path: str
     filter_results_path: str
     output_dir: str
+    output_filename: str = "retained_dataset.jsonl"
     decision_filter: str = "combined_filter"
     bert_threshold: float | None = None
     compat: bool = False

@@ -13,6 +13,7 @@ from .functions import vectors
 from .operators import assemble, blocklist, evals, linalg, report, rows, tokens
 from .operators.cascade import cascade
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
+from .sources.shared import written
 
 #: A benign blocklist: keyword, pos_ratio, is_relevant.
 BLOCKLIST = [
@@ -53,8 +54,8 @@ def stages() -> list:
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The judged corpus that assembly and reports start from."""
-    return cascade(corpus(spark, sf_dir), stages()).drop("text", "n_chars")
+    """The verdict table that assembly and reports start from: judged once and written, as they read it several times."""
+    return written(cascade(corpus(spark, sf_dir), stages()).drop("text", "n_chars"))
 
 
 def _list(items: list[str]) -> str:
@@ -250,7 +251,7 @@ def token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), id_col="doc_id")
 
 
-@query(f"WITH c AS (SELECT doc_id, sum(len({_WORDS})) OVER (ORDER BY doc_id) AS r, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), h AS (SELECT min(r) AS r, min(i) AS i FROM c WHERE r >= 100000) SELECT true AS reached_target_token_count, i AS final_index, i + 1 AS num_docs, 100000::BIGINT AS target_token_count, r::BIGINT AS actual_token_count FROM h")
+@query(f"WITH c AS (SELECT doc_id, sum(len({_WORDS})) OVER (ORDER BY doc_id) AS r, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), h AS (SELECT min(r) FILTER (WHERE r >= 100000) AS r, count(*) FILTER (WHERE r < 100000) AS below, max(r) AS total, count(*) AS n FROM c) SELECT r IS NOT NULL AS reached_target_token_count, CASE WHEN r IS NOT NULL THEN below ELSE greatest(n - 1, 0) END AS final_index, least(CASE WHEN r IS NOT NULL THEN below ELSE greatest(n - 1, 0) END + 1, n) AS num_docs, 100000::BIGINT AS target_token_count, coalesce(r, total, 0)::BIGINT AS actual_token_count FROM h")
 def token_budget_cut(spark, sf_dir):
     return tokens.budget_cut(tokens.token_counts(table(spark, sf_dir, "documents"), id_col="doc_id"), 100_000, ["doc_id"])
 
@@ -259,7 +260,7 @@ def token_budget_cut(spark, sf_dir):
 def running_tokens(spark, sf_dir):
     """The two-level running sum."""
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), id_col="doc_id")
-    return rows.running_sum(counts, F.col("num_tokens").cast("bigint"), ["doc_id"], "running", two_level=True).select("doc_id", "running")
+    return rows.running_sum(counts, F.col("num_tokens").cast("bigint"), ["doc_id"], "running").select("doc_id", "running")
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest(list_concat(['<eos>'], {_WORDS})) AS t, unnest(range(0, len({_WORDS}) + 1)) AS k FROM documents), o AS (SELECT t, row_number() OVER (ORDER BY doc_id, k) - 1 AS i FROM t), p AS (SELECT i // 2048 AS seq_id, string_agg(t, ' ' ORDER BY i) AS tokens, count(*) AS n FROM o GROUP BY 1) SELECT seq_id, md5(tokens) AS tokens_md5, 2048::INTEGER AS n FROM p WHERE n = 2048")
@@ -293,11 +294,45 @@ def checkpoint_schedule(spark, sf_dir):
     return spark.createDataFrame([(b,) for b in linalg.checkpoint_schedule(1024)], "batch int")
 
 
-@query("SELECT label AS layer, c AS checkpoint, round(sum(a::DOUBLE * a::DOUBLE), 4) AS trace FROM (SELECT vec_id % 16 + 1 AS b, label, unnest(embedding) AS a FROM embeddings) e JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(c) ON b <= c GROUP BY ALL")
+_CHECKPOINT_SQL = "SELECT label AS layer, c AS checkpoint, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) AS g FROM (SELECT vec_id % 16 + 1 AS batch, label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(c) ON batch <= c, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL"
+
+
+def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), F.col("embedding").alias("x"), (F.col("vec_id") % 16 + 1).cast("int").alias("batch"))
+
+
+@query(_CHECKPOINT_SQL)
+def checkpointed_grams(spark, sf_dir):
+    """The whole Gram matrix at each checkpoint."""
+    g = linalg.checkpointed_grams(batched(spark, sf_dir), "batch", linalg.checkpoint_schedule(16))
+    return g.select("layer", "checkpoint", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("g", 6).alias("g"))
+
+
+#: Vectors folded to two components, of which SQL can solve the spectrum: its eigenvalues are those of a 2 * 2 matrix.
+_FOLDED_SQL = """f AS (SELECT vec_id, label AS layer, vec_id % 16 + 1 AS batch, list_sum(embedding[1:32]::DOUBLE[]) AS u, list_sum(embedding[33:64]::DOUBLE[]) AS v FROM embeddings)"""
+_EIGEN_SQL = """e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS hi, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS lo FROM m)
+SELECT {keys}, n AS n_samples, 2 AS hidden_dim, round(sqrt(hi), 6) AS first, round(sqrt(greatest(lo, 0)), 6) AS second, round(sqrt(hi) / sqrt(lo), 6) AS condition_number FROM e"""
+
+
+def folded(df: DataFrame) -> DataFrame:
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return df.withColumn("x", F.array(add(F.slice("x", 1, 32)), add(F.slice("x", 33, 32))))
+
+
+def _values(spectra: DataFrame, *keys: str) -> DataFrame:
+    return spectra.select(*keys, "n_samples", "hidden_dim", F.round(F.col("top5")[0], 6).alias("first"), F.round(F.col("top5")[1], 6).alias("second"), F.round("condition_number", 6).alias("condition_number"))
+
+
+@query(f"WITH {_FOLDED_SQL}, m AS (SELECT layer, count(*) AS n, sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS c FROM f GROUP BY layer), {_EIGEN_SQL.format(keys='layer')}")
+def singular_values(spark, sf_dir):
+    """The singular values themselves, their preview and the condition number."""
+    return _values(linalg.spectrum(folded(batched(spark, sf_dir))), "layer")
+
+
+@query(f"WITH {_FOLDED_SQL}, m AS (SELECT layer, k AS checkpoint, count(*) AS n, sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS c FROM f JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(k) ON batch <= k GROUP BY layer, k), {_EIGEN_SQL.format(keys='layer, checkpoint').replace(', round(sqrt(hi) / sqrt(lo), 6) AS condition_number', '')}")
 def checkpointed_spectrum(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), F.col("embedding").alias("x"), (F.col("vec_id") % 16 + 1).cast("int").alias("batch"))
-    g = linalg.checkpointed_grams(e, "batch", linalg.checkpoint_schedule(16)).where("i = j")
-    return g.groupBy("layer", "checkpoint").agg(F.round(F.sum("g"), 4).alias("trace"))
+    """Without the condition number, which has no digits to compare where a checkpoint has a single row."""
+    return _values(linalg.checkpointed_spectrum(folded(batched(spark, sf_dir)), "batch", linalg.checkpoint_schedule(16)), "layer", "checkpoint").drop("condition_number")
 
 
 _PAIRS = "p AS (SELECT a.vec_id, a.label AS layer, a.embedding::DOUBLE[] AS student, b.embedding::DOUBLE[] AS teacher FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -320,10 +355,10 @@ def cosine_losses(spark, sf_dir):
     return out.select("layer", *[F.round(c, 8).alias(c) for c in out.columns if c != "layer"])
 
 
-@query(f"WITH {_PAIRS}, s AS (SELECT vec_id, list_transform(student[1:16], lambda x: exp(x / 2)) AS a, list_transform(teacher[1:16], lambda x: exp(x / 2)) AS b FROM p), n AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS a, list_transform(b, lambda x: x / list_sum(b)) AS b FROM s) SELECT vec_id, round(4 * list_sum(list_transform(list_zip(a, b), lambda z: z[2] * (ln(z[2]) - ln(z[1])))), 8) AS kl FROM n")
+@query(f"WITH {_PAIRS}, s AS (SELECT vec_id, list_transform(student, lambda x: exp(x / 2)) AS a, list_transform(teacher, lambda x: exp(x / 2)) AS b FROM p), n AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS a, list_transform(b, lambda x: x / list_sum(b)) AS b FROM s) SELECT vec_id, round(4 * list_sum(list_transform(list_zip(a, b), lambda z: z[2] * (ln(z[2]) - ln(z[1])))), 8) AS kl FROM n")
 def kl_divergence(spark, sf_dir):
     p = vector_pairs(spark, sf_dir)
-    return p.select("vec_id", F.round(vectors.distillation(F.slice("student", 1, 16), F.slice("teacher", 1, 16), 2.0), 8).alias("kl"))
+    return p.select("vec_id", F.round(vectors.distillation(F.col("student"), F.col("teacher"), 2.0), 8).alias("kl"))
 
 
 @query("SELECT label AS layer, i - 1 AS position, round(avg(a::DOUBLE * a::DOUBLE), 9) AS mean_square FROM (SELECT label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
@@ -420,7 +455,7 @@ def layer_names(spark, sf_dir):
     return kept.select("name", F.row_number().over(Window.orderBy(*rows.layer_order(F.col("name")))).cast("bigint").alias("place"))
 
 
-@query("SELECT m.mode, l.lr FROM (VALUES ('base'), ('filtered')) m(mode), (VALUES (0.0001), (0.0003), (0.001)) l(lr)")
+@query("SELECT m.mode, l.lr FROM (VALUES ('base'), ('filtered')) m(mode), (VALUES (0.0001::DOUBLE), (0.0003::DOUBLE), (0.001::DOUBLE)) l(lr)")
 def parameter_grid(spark, sf_dir):
     modes, rates = spark.createDataFrame([("base",), ("filtered",)], "mode string"), spark.createDataFrame([(1e-4,), (3e-4,), (1e-3,)], "lr double")
     return rows.grid(modes, rates, 42)

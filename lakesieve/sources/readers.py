@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 BLOCKLIST = "keyword string, pos_ratio double, is_relevant boolean"
 DOCUMENT = "id string, text string, source string"
 SPECTRUM = "map<string, struct<singular_values: array<double>, n_samples: bigint, hidden_dim: int>>"
 
 
-def _lists(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder of any file system that Spark reads; none if it isn't one."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) and fs.getFileStatus(where).isDirectory() else []
-
-
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A dataset by its path: .csv, .json, .jsonl, .orc or .txt files, a folder of Arrow files, else Parquet (a file, a folder or a pattern)."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -33,35 +26,46 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
         return reader.orc(path)
     if end == "txt":
         return spark.read.text(path).withColumnRenamed("value", "text")
-    if any(name.endswith(".arrow") for name in _lists(spark, path)):
+    if any(name.endswith(".arrow") for name in files.names(spark, path)):
         return arrow_folder(spark, path, schema)
     return reader.parquet(path)
 
 
 def arrow_folder(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All ``*.arrow`` files (IPC stream or file format) of a folder, in one scan: a task reads whole files, through Spark."""
+    """All ``*.arrow`` files (IPC stream or file format) of a folder, in one scan: a task reads files through Spark, and hands on their record batches one by one.
+
+    Spark's reader of binary files gives a file as one value, so a file has to fit a task.  Without a schema one task
+    reads the first file and returns its schema, a few bytes, and never its content.
+    """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path)
 
-    def open_any(raw):
-        source = pa.BufferReader(raw)
+    def opened(raw):
         try:
-            return pa.ipc.open_stream(source)
+            stream = pa.ipc.open_stream(raw)
+            return stream.schema, iter(stream)
         except pa.ArrowInvalid:
-            return pa.ipc.open_file(pa.BufferReader(raw)).read_all().to_reader()
+            whole = pa.ipc.open_file(raw)
+            return whole.schema, (whole.get_batch(k) for k in range(whole.num_record_batches))
 
     if schema is None:
-        from pyspark.sql.pandas.types import from_arrow_schema
+        def head(batches):
+            for batch in batches:
+                for raw in batch.column(0):
+                    yield pa.RecordBatch.from_pydict({"s": [opened(pa.BufferReader(raw.as_buffer()))[0].serialize().to_pybytes()]})
 
-        schema = from_arrow_schema(open_any(bytes(files.first()["content"])).schema).simpleString()[len("struct<") : -1]
+        first = found.agg(F.min("path")).first()[0]
+        known = found.where(F.col("path") == first).select("content").mapInArrow(head, "s binary").first()["s"]
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(known)))).simpleString()[len("struct<") : -1]
 
     def run(batches):
         for batch in batches:
             for raw in batch.column(0):
-                yield from open_any(raw.as_buffer())
+                yield from opened(pa.BufferReader(raw.as_buffer()))[1]
 
-    return files.mapInArrow(run, ", ".join(_top_level(schema)))
+    return found.select("content").mapInArrow(run, ", ".join(_top_level(schema)))
 
 
 def _top_level(fields: str) -> list[str]:
@@ -109,8 +113,8 @@ def verdicts(spark: SparkSession, run: str) -> DataFrame:
     return spark.read.parquet(f"{run}/verdicts")
 
 
-def config(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def config(spark: SparkSession, path: str) -> dict:
+    return json.loads(files.read_text(spark, path))
 
 
 def checkpoints(spark: SparkSession, pattern: str) -> DataFrame:
@@ -119,11 +123,19 @@ def checkpoints(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.schema(schema).json(pattern, multiLine=True).orderBy("batch_idx")
 
 
-def prompt(path: str) -> str | list[dict[str, str]]:
+def prompt(spark: SparkSession, path: str) -> str | list[dict[str, str]]:
     """A .json file's messages, else the text."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = files.read_text(spark, path)
     return json.loads(text)["messages"] if path.endswith(".json") else text
 
 
+def first_records(df: DataFrame, n: int = 100, most: int = 200) -> DataFrame:
+    """Any ``n`` records to look at: a limit that reads as few files as it takes; text and nested columns as text of ``most`` characters."""
+    shown = [F.col(c) if not kind.startswith(("string", "struct", "array", "map")) else F.col(c) if kind == "string" else F.to_json(c).alias(c) for c, kind in df.dtypes]
+    cut = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(F.col(c)).alias(c)
+    out = df.limit(n).select(*shown)
+    return out.select(*[cut(c) if kind == "string" else F.col(c) for c, kind in out.dtypes])
+
+
 def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

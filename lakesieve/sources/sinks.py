@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cascade import verdict_columns
+from . import files
 
 
 def write_verdicts(judged: DataFrame, run: str, by: tuple[str, ...] = ("split", "chunk_idx"), id_col: str = "id") -> None:
@@ -47,14 +45,19 @@ def publish(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def report(one_row: DataFrame | dict, path: str) -> dict:
-    """One row, or a dict, as a JSON file on the driver's side."""
+def report(spark: SparkSession, one_row: DataFrame | dict, path: str) -> dict:
+    """One row, or a dict, as a JSON file in any file system that Spark writes."""
     content = one_row if isinstance(one_row, dict) else one_row.first().asDict(recursive=True)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(content, indent=2, default=str), encoding="utf-8")
+    files.write_json(spark, path, content)
     return content
 
 
+def judgments(judged: DataFrame, path: str, stage: str = "lm_filter", id_col: str = "id") -> str:
+    """What the judge said, for each document that reached it, as JSON lines: id, text, judgment, completion, error."""
+    said = judged.where(F.col(f"{stage}_metadata.completion").isNotNull() & (F.col(f"{stage}_metadata.completion") != ""))
+    return write_jsonl(said.select(id_col, *[c for c in ("text",) if c in judged.columns], f"{stage}_metadata.*"), path)
+
+
 def observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, object]:
     """``df`` with counters that fill while it is written, and where to read them: a tracker's numbers without a second pass."""
     from pyspark.sql import Observation

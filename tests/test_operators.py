@@ -47,20 +47,18 @@ def test_reports_on_empty_input(spark):
 
 
 @pytest.mark.parametrize("target, index, reached", [(1, 0, True), (5, 1, True), (6, 2, True), (9, 2, True), (10, 2, False)])
-@pytest.mark.parametrize("two_level", [False, True])
-def test_budget(spark, target, index, reached, two_level):
+def test_budget(spark, target, index, reached):
     counts = spark.createDataFrame([(3, 4), (1, 2), (2, 3)], "id long, num_tokens int")
-    got = tokens.budget_cut(counts, target, ["id"], two_level).first()
+    got = tokens.budget_cut(counts, target, ["id"]).first()
     assert (got["final_index"], got["reached_target_token_count"], got["num_docs"]) == (index, reached, index + 1)
 
 
 @pytest.mark.parametrize("length", [1, 3, 4, 7, 100])
-@pytest.mark.parametrize("two_level", [False, True])
-def test_packing_is_the_token_stream(spark, length, two_level):
+def test_packing_is_the_token_stream(spark, length):
     texts = ["a b c d e f g h i", "", "j", None, "k l"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     stream = [t for x in texts for t in ["<eos>", *(x or "").split()]]
-    got = [r["input_ids"] for r in tokens.pack(df, length, ["id"], two_level=two_level).orderBy("seq_id").collect()]
+    got = [r["input_ids"] for r in tokens.pack(df, length, ["id"]).orderBy("seq_id").collect()]
     assert got == [stream[k : k + length] for k in range(0, len(stream) - length + 1, length)]
 
 
@@ -83,11 +81,10 @@ def test_epochs_batches_and_a_tokenizer_outside_sql(spark):
 def test_gram_and_spectrum_equal_numpy(spark):
     x = np.random.default_rng(0).normal(size=(40, 5))
     df = spark.createDataFrame([("l", r.tolist()) for r in x] + [("l", None)], "layer string, x array<double>")
-    for g in (linalg.gram(df), linalg.gram_blocks(df)):
-        m = np.zeros((5, 5))
-        for r in g.collect():
-            m[r["i"], r["j"]] = r["g"]
-        assert np.allclose(m, x.T @ x)
+    m = np.zeros((5, 5))
+    for r in linalg.gram(df).collect():
+        m[r["i"], r["j"]] = r["g"]
+    assert np.allclose(m, x.T @ x)
     s = linalg.spectrum(df).first()
     assert np.allclose(s["singular_values"], np.linalg.svd(x, compute_uv=False)) and s["n_samples"] == 40 and len(s["top5"]) == 5
     assert linalg.singular_values(np.zeros((0, 0))) == []

@@ -34,7 +34,7 @@ def test_readers(spark, tmp_path):
     got = readers.read(spark, f"{tmp_path}/arrow")
     assert got.columns == ["id", "tags"] and got.count() == 4
     (tmp_path / "p.json").write_text(json.dumps({"messages": [{"role": "system", "content": "c"}]}))
-    assert readers.prompt(f"{tmp_path}/p.json")[0]["role"] == "system" and readers.prompt(f"{tmp_path}/a.txt") == "line\n"
+    assert readers.prompt(spark, f"{tmp_path}/p.json")[0]["role"] == "system" and readers.prompt(spark, f"{tmp_path}/a.txt") == "line\n"
     assert readers.split_slice(got, "id", 99).count() == 4
     point = {"batch_idx": 2, "samples_processed": 5, "results": {"l": {"singular_values": [1.0], "n_samples": 5, "hidden_dim": 1}}}
     (tmp_path / "checkpoint_batch_2.json").write_text(json.dumps(point))
@@ -48,7 +48,7 @@ def test_filter_resume_and_assembly(spark, tmp_path, corpus):
     v = runs.run_filter(spark, c, stage)
     assert v.count() == 40 and v.where("combined_filter").count() == 10 and v.select("chunk_idx").distinct().count() == 4
     assert runs.finished_chunks(spark, out, "train") == {0, 1, 2, 3}
-    assert runs.run_filter(spark, config.FilterConfig.load(out), stage).count() == 40
+    assert runs.run_filter(spark, config.FilterConfig.load(spark, out), stage).count() == 40
     report = json.loads((tmp_path / "run/report.json").read_text())
     assert (report["tp"], report["fp"], report["fn"]) == (10, 0, 0)
     a = config.AssembleConfig(corpus, f"{out}/verdicts", f"{tmp_path}/assembled", replace_with_retained_docs=True, save_filtered_documents=True)
