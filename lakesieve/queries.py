@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions import text as text_functions
 from .functions import vectors
 from .operators import assemble, blocklist, evals, linalg, report, rows, tokens
-from .operators.cascade import cascade
+from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
+from .sources import readers
 from .sources.shared import written
 
 #: A benign blocklist: keyword, pos_ratio, is_relevant.
@@ -461,6 +462,104 @@ def parameter_grid(spark, sf_dir):
     return rows.grid(modes, rates, 42)
 
 
+@query(f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), f AS (SELECT doc_id, ws, len(ws) = 0 OR len(ws[1]) % 3 = 0 AS failed, len(list_filter(ws, lambda w: list_contains({_list(TERMS)}, lower(w))))::DOUBLE / len(ws) AS score FROM w) SELECT doc_id AS id, failed OR score > {SCORE} AS bert_filter, CASE WHEN failed THEN 0.0 ELSE round(score, 9) END AS highest_score FROM f")
+def fail_closed(spark, sf_dir):
+    """A classifier that fails on some texts: these are removed, with the default metadata."""
+    scorer = lambda part: F.when(F.length(F.get(part, F.lit(0))) % 3 != 0, density_scorer(TERMS)(part))
+    v = cascade(corpus(spark, sf_dir), [ClassifierStage(scorer, SCORE, 1_000_000)])
+    return v.select("id", "bert_filter", F.round("bert_filter_metadata.highest_score", 9).alias("highest_score"))
+
+
+@query(f"SELECT doc_id AS id, len({_HITS}) >= 2 AS word_filter, len({_HITS}) >= 2 AS combined_filter FROM documents")
+def stage_selection(spark, sf_dir):
+    """Stages that are skipped leave no columns."""
+    return verdict_columns(cascade(corpus(spark, sf_dir), ["skip", BlocklistStage(KEYWORDS, 2), "SKIP", None])).drop("word_filter_metadata")
+
+
+@query(f"WITH {_JUDGED} SELECT 'strong' AS policy, count(*) AS n, count(*) FILTER (WHERE word_filter) AS removed FROM v UNION ALL SELECT 'weak', count(*), count(*) FILTER (WHERE bert_filter) FROM v")
+def removal_policies(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    found = {"strong": cascade(docs, strong(KEYWORDS, 1)), "weak": cascade(docs, weak(KEYWORDS, ClassifierStage(density_scorer(TERMS), SCORE, CONTEXT), 1))}
+    parts = [v.agg(F.count("*").alias("n"), F.count_if("combined_filter").alias("removed")).select(F.lit(k).alias("policy"), "n", "removed") for k, v in found.items()]
+    return readers.union_all(parts)
+
+
+@query(f"WITH {_JUDGED}, k AS (SELECT id, source, row_number() OVER (ORDER BY id) AS i FROM v WHERE NOT bert_filter) SELECT source, count(*) AS n FROM k WHERE i <= (SELECT count(*) FROM v WHERE word_filter AND NOT bert_filter) GROUP BY source")
+def counterfactual_sources(spark, sf_dir):
+    """Sources of as many retained documents as the appended ones are."""
+    base, v = corpus(spark, sf_dir), verdicts(spark, sf_dir)
+    return assemble.counterfactual_sources(assemble.retained(base, v), assemble.approved_escalations(base, v))
+
+
+_LABELS = "l AS (SELECT 'train[' || (item_id * 7 % 100) || '%:' || (item_id * 7 % 100 + 1) || '%]' AS label, (item_id % 13)::VARCHAR AS rank FROM benchmark)"
+
+
+@query(f"WITH {_LABELS}, d AS (SELECT DISTINCT label, rank FROM l) SELECT label, rank, row_number() OVER (ORDER BY try_cast(regexp_extract(label, '\\[(\\d+)%', 1) AS INTEGER), rank::INTEGER) AS place FROM d")
+def chunk_places(spark, sf_dir):
+    """Result parts in the order of their start percent and rank, as numbers."""
+    start = F.col("item_id") * 7 % 100
+    parts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("train["), start.cast("string"), F.lit("%:"), (start + 1).cast("string"), F.lit("%]")).alias("label"), (F.col("item_id") % 13).cast("string").alias("rank")).distinct()
+    keyed = parts.select("label", "rank", *[c.alias(f"k{i}") for i, c in enumerate(rows.chunk_order(F.col("label"), F.col("rank")))])
+    return rows.row_index(keyed, ["k0", "k1"], "_i").select("label", "rank", (F.col("_i") + 1).alias("place"))
+
+
+@query(f"WITH n AS (SELECT (sum(len({_WORDS}) + 1) // 512)::BIGINT AS n FROM documents) SELECT e.epoch::INTEGER AS epoch, s.seq_id // 4 AS batch, count(*) AS n FROM n, range(0, n.n) s(seq_id), range(0, 3) e(epoch) GROUP BY ALL")
+def epoch_batches(spark, sf_dir):
+    """Sequences repeated by epoch and dealt to batches."""
+    packed = tokens.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, ["doc_id"])
+    return tokens.batches(tokens.epochs(packed, 3), 4).groupBy("epoch", "batch").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang, source, to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS json FROM documents")
+def json_round_trip(spark, sf_dir):
+    """Rows to JSON and back."""
+    d = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "source")).alias("json"))
+    return d.select(F.from_json("json", "doc_id bigint, lang string, source string").alias("r"), "json").select("r.*", "json")
+
+
+@query("SELECT doc_id, replace(replace(source, 'src', 'part-'), '1', 'one') AS name, printf('%.2f', n_chars / 7) AS ratio, printf('%.0e', n_chars::DOUBLE) AS size, ((n_chars + 99) // 100)::BIGINT AS pages FROM documents")
+def formatted(spark, sf_dir):
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text_functions.replaced(F.col("source"), ("src", "part-"), ("1", "one")).alias("name"), text_functions.decimals(n / 7).alias("ratio"),
+        text_functions.exponent(n).alias("size"), text_functions.ceil_div(n, 100).alias("pages"),
+    )
+
+
+@query(f"WITH {_ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS r FROM i WHERE subset = 'robust') SELECT doc_id, category FROM k WHERE r <= 5")
+def limited_items(spark, sf_dir):
+    """A subset's items, and of each task the first few."""
+    return evals.limited(evals.selected(items(spark, sf_dir), subset="robust"), 5, "doc_id", ["category"]).select("doc_id", "category")
+
+
+@query(f"WITH {_ITEMS}, s AS (SELECT string_agg('Question: ' || source || chr(10) || 'Answer: ' || answer, chr(10) || chr(10) ORDER BY doc_id) AS shots FROM (SELECT * FROM i WHERE subset = 'shortcut' ORDER BY doc_id LIMIT 16)) SELECT doc_id, s.shots || chr(10) || chr(10) || 'Question: ' || source || chr(10) || 'Answer:' AS prompt FROM i, s WHERE subset = 'robust'")
+def few_shot_prompts(spark, sf_dir):
+    """Sixteen worked examples before each prompt."""
+    it = items(spark, sf_dir).withColumn("prompt", text_functions.cloze_prompt(F.col("source"))).withColumn("answer", F.col("answer").cast("string"))
+    return evals.few_shot(evals.selected(it, subset="robust"), evals.selected(it, subset="shortcut"), "prompt", "answer", 16, "doc_id").select("doc_id", "prompt")
+
+
+@query(f"WITH a AS (SELECT doc_id, list_filter(string_split_regex(lang || chr(10) || chr(10) || source || chr(10) || chr(10) || text, '\\s+'), lambda w: w <> '') AS t FROM documents) SELECT doc_id, greatest(len(t), 300)::INTEGER AS n, len(t)::INTEGER AS n_real, greatest(300 - len(t), 0)::INTEGER AS n_pad FROM a")
+def padded_articles(spark, sf_dir):
+    """Articles padded to a length, longer ones whole."""
+    out = tokens.max_length_articles(table(spark, sf_dir, "documents"), 300, title="lang", abstract="source")
+    count = lambda c, value: F.size(F.filter(c, lambda x: x == value))
+    return out.select("doc_id", F.size("labels").alias("n"), count("attention_mask", 1).alias("n_real"), count("input_ids", F.lit("<pad>")).alias("n_pad"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND source = 'src1' ORDER BY doc_id LIMIT 20")
+def first_of_subset(spark, sf_dir):
+    """The first rows of a named subset."""
+    return rows.first_rows(readers.subset(table(spark, sf_dir, "documents"), lang="en", source="src1").select("doc_id", "lang"), "doc_id", 20)
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(role) > 3 THEN role[1:3] || '...' ELSE role END AS role FROM conversations UNION ALL SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
+def shown_records(spark, sf_dir):
+    """Records to look at, cut, and a union of tables."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return readers.union_all([readers.first_records(c, 10_000_000, 3), c.where("role = 'user'")])
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}

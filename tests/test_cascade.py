@@ -81,6 +81,63 @@ def test_gate_calls_the_costly_stage_for_escalated_rows_only(spark):
     assert seen.value == 2
 
 
+@pytest.mark.parametrize("gated", [True, False])
+def test_three_stages_judge_each_escalated_row_once(spark, gated):
+    models, judges = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            models.add(len(texts))
+            return [0.9 if "fig" in t else 0.1 for t in texts]
+
+        return model
+
+    def connect():
+        def client(messages):
+            judges.add(1)
+            return "[1]" if "ripe" in messages[-1]["content"] else "[0]"
+
+        return client
+
+    class Plain:  # a stage that doesn't know of gates
+        name = "lm_filter"
+
+        def __init__(self, stage):
+            self.stage = stage
+
+        def default_metadata(self):
+            return self.stage.default_metadata()
+
+        def judge(self, docs):
+            return self.stage.judge(docs)
+
+    texts = ["apple"] * 4 + ["apple fig"] * 3 + ["apple fig ripe"] * 3 + ["none", "fig", "ripe", None]
+    judge = JudgeStage(connect) if gated else Plain(JudgeStage(connect))
+    out = cascade(docs(spark, texts), [BlocklistStage(["apple"], 1), ModelStage(load), judge])
+    got = judged(out, "word_filter", "bert_filter", "lm_filter", "combined_filter", "lm_filter_metadata")
+    assert models.value == 10 and judges.value == 6
+    for i, t in enumerate(texts):
+        word = "apple" in (t or "")
+        bert = word and "fig" in t
+        lm = bert and "ripe" in t
+        assert got[i][:4] == (word, bert, lm, lm)
+        assert (got[i][4]["completion"] == "") == (not bert)
+
+
+def test_judge_options(spark):
+    def connect():
+        return lambda messages, max_new_tokens: f"[{max_new_tokens}]"
+
+    assert cascade(docs(spark, ["a"]), [JudgeStage(connect, max_new_tokens=1)]).first()["lm_filter"]
+    assert not cascade(docs(spark, ["a"]), [JudgeStage(connect, max_new_tokens=0)]).first()["lm_filter"]
+
+
+def test_keywords_that_are_empty_or_lower_alike(spark):
+    df = docs(spark, ["Fig tree", "", None, "x"])
+    found = judged(df.select("id", blocklist.hits(F.col("text"), ["", "FIG", "fig", "tree"], 9).alias("h")), "h")
+    assert found == {0: (["", "FIG", "fig", "tree"],), 1: ([""],), 2: ([],), 3: ([""],)}
+
+
 def test_model_failure_fails_closed(spark):
     def load():
         raise RuntimeError("no model")

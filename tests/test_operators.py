@@ -62,6 +62,74 @@ def test_packing_is_the_token_stream(spark, length):
     assert got == [stream[k : k + length] for k in range(0, len(stream) - length + 1, length)]
 
 
+def test_packing_keeps_rows_without_an_id_and_those_that_share_one(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (None, "g h i"), (2, "j k l")], "id long, text string")
+    got = [r["input_ids"] for r in tokens.pack(df, 4, ["id"]).orderBy("seq_id").collect()]
+    assert got[0] == ["<eos>", "g", "h", "i"] and got[3] == ["<eos>", "j", "k", "l"]
+    assert sorted(got[1:3]) == [["<eos>", "a", "b", "c"], ["<eos>", "d", "e", "f"]]
+    sums = rows.running_sum(df, F.lit(2).cast("bigint"), ["id"], "r").select("text", "r").collect()
+    assert sorted(r["r"] for r in sums) == [2, 4, 6, 8] and {r["text"]: r["r"] for r in sums}["g h i"] == 2
+    assert rows.running_sum(df.limit(0), F.lit(2).cast("bigint"), ["id"], "r").count() == 0
+
+
+def test_row_numbers_by_group(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), (None, 9), ("a", 2), (None, 4)], "g string, v int").repartition(3)
+    got = {(r["g"], r["v"]): r["id"] for r in rows.row_index(df, "v", "id", ["g"]).collect()}
+    assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 1): 0, (None, 4): 0, (None, 9): 1}
+    assert sorted(r["i"] for r in rows.row_index(df, ["v", "g"], "i").collect()) == list(range(6))
+
+
+def test_gram_of_awkward_vectors(spark):
+    data = [("l", [1.0, None, 2.0]), ("l", [3.0, 1.0]), ("l", []), (None, [2.0]), (None, [3.0])]
+    got = {(r["layer"], r["i"], r["j"]): r["g"] for r in linalg.gram(spark.createDataFrame(data, "layer string, x array<float>")).collect()}
+    assert got["l", 0, 0] == 10 and got["l", 0, 1] == 3 and got["l", 0, 2] == 2 and got["l", 1, 1] == 1 and got[None, 0, 0] == 13
+    assert linalg.gram(spark.createDataFrame([], "layer string, x array<float>")).count() == 0
+    wide = np.random.default_rng(1).normal(size=(5, 1100))
+    cells = linalg.gram(spark.createDataFrame([("w", v.tolist()) for v in wide], "layer string, x array<double>")).toPandas()
+    m = np.zeros((1100, 1100))
+    m[cells["i"], cells["j"]] = cells["g"]
+    assert len(cells) == 1100**2 and np.allclose(m, wide.T @ wide)
+
+
+def test_spectra_at_checkpoints_equal_numpy(spark):
+    x = np.random.default_rng(2).normal(size=(30, 4))
+    df = spark.createDataFrame([("l" if k % 3 else None, v.tolist(), k // 5 + 1) for k, v in enumerate(x)], "layer string, x array<double>, batch int")
+    points = linalg.checkpoint_schedule(6)
+    for r in linalg.checkpointed_spectrum(df, "batch", points).collect():
+        own = np.array([v for k, v in enumerate(x) if k // 5 + 1 <= r["checkpoint"] and ("l" if k % 3 else None) == r["layer"]])
+        s = np.linalg.svd(own, compute_uv=False)
+        assert r["n_samples"] == len(own) and np.allclose(r["singular_values"][: len(s)], s) and r["hidden_dim"] == 4
+
+
+def test_articles_padded_to_a_length(spark):
+    df = spark.createDataFrame([("t", "a b", "c"), ("t", None, "c"), ("t " * 5, "a", "b")], "title string, abstract string, text string")
+    got = [tuple(r) for r in tokens.max_length_articles(df, 5).select("input_ids", "attention_mask", "labels").collect()]
+    assert got[0] == (["t", "a", "b", "c", "<pad>"], [1, 1, 1, 1, 0], ["t", "a", "b", "c", "<pad>"]) and got[1] == (None, None, None)
+    assert got[2][0] == ["t"] * 5 + ["a", "b"] and got[2][1] == [1] * 7
+
+
+def test_templates_shots_and_limits(spark):
+    templates = {"base": {"metric": "acc", "shots": 0}, "mid": {"include": "base", "shots": 5}, "leaf": {"include": "mid", "task": "x"}, "ring": {"include": "ring"}}
+    assert evals.inherited(templates, "leaf") == {"metric": "acc", "shots": 5, "task": "x"} and evals.inherited(templates, "base") == templates["base"]
+    with pytest.raises(ValueError):
+        evals.inherited(templates, "ring")
+    df = spark.createDataFrame([(1, "Q1", "A", "s", "robust"), (2, "Q2", "B", "s", "shortcut"), (3, "Q3", "C", "t", "robust")], "id int, prompt string, answer string, category string, subset string")
+    assert [r["id"] for r in evals.selected(df, subset="robust", category="t").collect()] == [3]
+    assert evals.few_shot(df, df, "prompt", "answer", 2, "id").orderBy("id").first()["prompt"] == "Q1 A\n\nQ2 B\n\nQ1"
+    assert evals.few_shot(df, df, "prompt", "answer", 0, "id") is df and evals.limited(df, None, "id") is df
+    assert sorted(r["id"] for r in evals.limited(df, 1, "id", ["category"]).collect()) == [1, 3] and evals.limited(df, 2, "id").count() == 2
+    with pytest.raises(ValueError):
+        rows.grid(df, df, most=8)
+
+
+def test_formats(spark):
+    got = spark.range(1).select(
+        text_functions.replaced(F.lit("a/b/c"), ("/", "-"), ("b", "")).alias("r"), text_functions.decimals(F.lit(2.345), 1).alias("d"), text_functions.exponent(F.lit(1e-4)).alias("e"),
+        *[text_functions.ceil_div(F.lit(n), 4).alias(f"c{n}") for n in (0, 1, 4, 5)],
+    ).first()
+    assert tuple(got) == ("a--c", "2.3", "1e-04", 0, 1, 1, 2)
+
+
 def test_chunks_pad_and_bound(spark):
     df = spark.createDataFrame([(1, list(range(1, 8))), (2, []), (3, [9])], "id long, input_ids array<int>")
     got = [(r["id"], r["chunk"], r["input_ids"], r["attention_mask"], r["labels"], r["token_type_ids"]) for r in tokens.chunk_pad(df, 3, 2).orderBy("id", "chunk").collect()]

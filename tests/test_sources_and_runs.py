@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lakesieve import streaming
 from lakesieve.operators import linalg
-from lakesieve.operators.stages import BlocklistStage, ClassifierStage, density_scorer
+from lakesieve.operators.stages import BlocklistStage, ClassifierStage, JudgeStage, density_scorer
 from lakesieve.plans import config, runs
-from lakesieve.sources import readers, sinks
+from lakesieve.sources import files, readers, shared, sinks
 
 
 @pytest.fixture
@@ -57,6 +57,59 @@ def test_filter_resume_and_assembly(spark, tmp_path, corpus):
     assert spark.read.json(found["filtered_documents_file"]).count() == 10
 
 
+def test_a_run_goes_on_where_it_was_broken_off(spark, tmp_path, corpus):
+    out = f"file://{tmp_path}/remote"  # a path with a scheme, as any store's
+    c = config.FilterConfig(corpus, out, f"{tmp_path}/words.csv", block_words_occuring_threshold=1, save_every=0.25, publish_path=f"{tmp_path}/published", log_judgments=True)
+    (tmp_path / "prompt.txt").write_text("Is it ripe?")
+    c.lm_filter_prompt_path, c.lm_stage, c.lm_max_new_tokens = f"{tmp_path}/prompt.txt", "use", 7
+    asked = spark.sparkContext.accumulator(0)
+
+    def connect():
+        def client(messages, max_new_tokens):
+            asked.add(1)
+            assert messages[0]["content"] == "Is it ripe?" and max_new_tokens == 7
+            return "[1]"
+
+        return client
+
+    v = runs.run_filter(spark, c, judge=JudgeStage(connect))
+    assert v.count() == 40 and v.where("combined_filter").count() == 20 and asked.value == 20
+    assert spark.read.parquet(c.publish_path).count() == 40 and spark.read.json(f"{out}/judgments.jsonl").count() == 20
+    files.delete(spark, f"{out}/done/train/2.done")
+    runs.run_filter(spark, c, judge=JudgeStage(connect))
+    assert asked.value == 25  # one chunk of ten, half of it escalated, is judged again
+    assert files.names(spark, f"{out}/chunks/train") and readers.verdicts(spark, out).count() == 40
+    a = config.AssembleConfig(corpus, f"{out}/verdicts", f"{out}/assembled", output_filename="kept.jsonl")
+    assert runs.run_assemble(spark, a)["output_file"].endswith("/kept.jsonl") and spark.read.json(f"{out}/assembled/kept.jsonl").count() == 20
+    assert config.AssembleConfig.load(spark, f"{out}/assembled") == a
+
+
+def test_shared_folder(spark, monkeypatch):
+    df = shared.written(spark.range(3))
+    assert df.count() == 3 and shared.discard(spark) >= 1 and shared.discard(spark) == 0
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Session())
+
+
+def test_records_to_look_at(spark):
+    df = spark.createDataFrame([("x" * 9, [1, 2], 5)] * 3, "t string, a array<int>, n int")
+    got = readers.first_records(df, 2, 4).collect()
+    assert len(got) == 2 and tuple(got[0]) == ("xxxx...", "[1,2..." if len("[1,2]") > 4 else "[1,2]", 5)
+
+
 def test_budget_and_spectrum_runs(spark, tmp_path, corpus):
     got = runs.run_token_budget(spark, config.TokenBudgetConfig(corpus, f"{tmp_path}/budget", 10))
     assert got["reached_target_token_count"] and got["final_index"] == 4  # 2, 4, 5, 8, 10
