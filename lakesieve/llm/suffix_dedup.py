@@ -2,12 +2,16 @@
 
 Suffixes are retained where a text's content chooses: of each run of WINDOW words the GRAM-word group with the least
 hash is the minimiser, so two copies of a passage of WINDOW words always retain suffixes at the same places.  Suffixes
-whose minimiser is found once only fall out.  Each remaining suffix stands for the stretches of WINDOW words that it
-is the minimiser of, one for each shift to its left; these are sorted by content, spread over the cluster, and
-neighbours in the order are compared.  A stretch that equals a neighbour is repeated, and overlapping repeated
-stretches of a text extend each other left and right to the whole passage.  Comparing every shift, not only the
-suffix's own start, makes the result exact: a passage is found whichever neighbour shares its left and its right part.
-Texts that are equal as a whole take part once, and each copy is one passage.
+whose minimiser is found once only fall out.  Each remaining suffix goes, as one row, to the others that begin with
+the same minimiser, with the hashes of what lies on either side of it, to the left as far and to the right as far as
+one of its windows reaches.  There the suffixes are sorted by that content, neighbours in the order compared, and each
+match is extended left and right: a suffix's match is the union of its windows that a neighbour has too.  Every
+distance to the left is an order of its own, so the result is exact: a passage is found whichever neighbour shares its
+left and its right part.  Matches of a text that overlap or touch make up the passage.
+
+A minimiser of more than BLOCK suffixes is dealt to blocks; windows that are single in their block, and one of those
+that aren't, meet once more by their content, at most one a block.  Texts that are equal as a whole take part once, and
+each copy is one passage.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_rows, project, text_key, written
+from .common import map_sorted_groups, project, text_key, written
 
 #: Words of the shortest passage, and of a minimiser.
 WINDOW, GRAM = 50, 10
+#: Suffixes of one minimiser that are compared in one task.
+BLOCK = 4096
 #: Words as in ``\S+`` for space and code points 9 to 13.
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = r"[\x20\x09-\x0D]+"
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str = "text"):
@@ -58,7 +65,7 @@ def rolling(words: np.ndarray, n: int, odd: np.uint64) -> np.ndarray:
 
 def minimisers(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(the minimiser's word of every stretch of ``window`` words, the hashes of the grams)."""
-    grams = rolling(words, gram, _ODD[0])
+    grams = rolling(words, gram, _ODD)
     per = window - gram + 1
     if len(grams) < per:
         return np.zeros(0, dtype=np.int64), grams
@@ -102,36 +109,128 @@ def retained(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     return df.select("doc_id", "key", "words").mapInArrow(run, f"gram long, doc_id {kind}, key binary, places array<int>")
 
 
-def stretches(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """From (doc_id, key, text, words, places): h1, h2 (the content), doc_id, part (64 bits of the key, to tell texts of one id apart), at (word), start, stop (characters) of the stretches whose minimiser is in ``places``.  Narrow."""
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
-    def make():
-        def row(doc_id, key, text, words, places):
-            words = np.array(words, dtype=np.int64).view(np.uint64)
-            at, _ = minimisers(words, window, gram)
-            ours = np.flatnonzero(np.isin(at, np.array(places, dtype=np.int64)))
-            if not len(ours):
-                return
-            ends, part = [m.span() for m in _WORD.finditer(text)], int.from_bytes(key[:8], "big", signed=True)
-            h1, h2 = rolling(words, window, _ODD[1])[ours].view(np.int64), rolling(mixed(words), window, _ODD[2])[ours].view(np.int64)
-            for j, x, y in zip(ours.tolist(), h1.tolist(), h2.tolist(), strict=True):
-                yield x, y, doc_id, part, j, ends[j][0], ends[j + window - 1][1]
 
-        return row
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 ... base**n modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, dtype=np.uint64)], dtype=np.uint64)
 
+
+def sides(words: np.ndarray, at: np.ndarray, starts: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """32 bits each of the words of a window on the left and on the right of its minimiser ``at``; the windows begin at ``starts``.
+
+    Polynomial hashes of any stretch are read off one running sum.
+    """
+    up, down = powers(_BASE, len(words)), powers(_INVERSE, len(words))
+    total = np.r_[np.uint64(0), np.cumsum(words * down[: len(words)], dtype=np.uint64)]
+    left = mixed((total[at] - total[starts]) * up[starts])
+    right = mixed((total[starts + window] - total[at + gram]) * up[at + gram] + np.uint64(1))
+    return (left >> np.uint64(32) << np.uint64(32)) | right >> np.uint64(32)
+
+
+def suffixes(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row for each retained suffix in ``places`` (array<struct<place, blocks>>), from (doc_id, key, text, words, places).  Narrow.
+
+    gram, salt, blocks; doc_id, part (64 bits of the key, to tell texts of one id apart); l0 (words of the first of
+    its windows to the left of the minimiser), at (the first window's first word), start and stop (its characters);
+    and for each of its windows ``sides``, and how many characters further than the window before it it starts and stops.
+    """
     kind = df.schema["doc_id"].dataType.simpleString()
-    return map_rows(df, make, f"h1 long, h2 long, doc_id {kind}, part long, at int, start int, stop int")
+    schema = f"gram long, salt int, blocks int, doc_id {kind}, part long, l0 int, at int, start int, stop int, side array<bigint>, on array<int>, off array<int>"
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 256):
+                    batch = whole.slice(begin, 256)
+                    ids, keys, texts, words, places = batch.columns
+                    flat, ends = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]
+                    inner = places.flatten()
+                    place, blocks = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    last = np.r_[0, np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))]
+                    out: list[tuple] = []
+                    for r, (key, text) in enumerate(zip(keys.to_pylist(), texts.to_pylist(), strict=True)):
+                        own = flat[ends[r] : ends[r + 1]]
+                        at, grams = minimisers(own, window, gram)
+                        if not len(at):
+                            continue
+                        order = np.argsort(place[last[r] : last[r + 1]], kind="stable")
+                        mine, dealt = place[last[r] : last[r + 1]][order], blocks[last[r] : last[r + 1]][order]
+                        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # a minimiser's windows are neighbours
+                        n = np.diff(np.r_[first, len(at)])
+                        spot = np.searchsorted(mine, at[first])
+                        kept = (spot < len(mine)) & (mine[np.minimum(spot, len(mine) - 1)] == at[first])
+                        first, n, spot = first[kept], n[kept], spot[kept]
+                        if not len(first):
+                            continue
+                        begins = np.cumsum(n) - n
+                        windows = np.arange(n.sum()) - np.repeat(begins - first, n)
+                        span = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int32)
+                        on, off = span[windows, 0], span[windows + window - 1, 1]
+                        start, stop = on[begins], off[begins]
+                        on, off = np.r_[np.int32(0), np.diff(on)], np.r_[np.int32(0), np.diff(off)]
+                        on[begins] = off[begins] = 0
+                        part = int.from_bytes(key[:8], "big", signed=True)
+                        hot = dealt[spot].astype(np.int64)
+                        salt = (mixed(at[first].astype(np.uint64) + np.uint64(part & 0xFFFFFFFFFFFFFFFF)) % hot.astype(np.uint64)).astype(np.int32)
+                        out.append((np.full(len(first), r), grams[at[first]].view(np.int64), salt, hot.astype(np.int32), np.full(len(first), part), (at[first] - first).astype(np.int32), first.astype(np.int32), start, stop, n, sides(own, at[windows], windows, window, gram).view(np.int64), on, off))
+                    if not out:
+                        continue
+                    row, g, salt, hot, part, l0, first, start, stop, n, side, on, off = (np.concatenate(c) for c in zip(*out, strict=True))
+                    offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (side, on, off)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(salt), pa.array(hot), ids.take(pa.array(row)), *map(pa.array, (part, l0, first, start, stop)), *lists], names=names)
+
+    return df.select("doc_id", "key", "text", "words", "places").mapInArrow(run, schema)
+
+
+def matches(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, part, at, until (words), start, stop (characters): each suffix's match; and, with ``left`` of 0 and more, the windows of hot minimisers that go on to meet those of other blocks: left, side, and ``known`` if they are repeated in their block."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def work(key: tuple, t: dict[str, np.ndarray]):
+        n, side = t["side_n"], t["side"]
+        if len(n) < 2 and t["blocks"][0] < 2:
+            return None
+        row, begins = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        nth = np.arange(len(row)) - begins[row]
+        left = t["l0"][row] - nth
+        order = np.lexsort((side, left))
+        same = (left[order][1:] == left[order][:-1]) & (side[order][1:] == side[order][:-1])
+        again = np.zeros(len(row), dtype=bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        on, off = np.cumsum(t["on"]), np.cumsum(t["off"])  # the first of a row is 0
+        hits = np.flatnonzero(again)
+        fresh = np.flatnonzero(np.r_[True, row[hits][1:] != row[hits][:-1]]) if len(hits) else hits
+        lo, hi = hits[fresh], hits[np.r_[fresh[1:] - 1, len(hits) - 1]] if len(hits) else hits
+        if t["blocks"][0] > 1:  # every different window goes on, and those that are repeated here are known to be
+            sent = order[np.r_[True, ~same]]
+            lo, hi, known = np.r_[lo, sent], np.r_[hi, sent], np.r_[np.zeros(len(lo), dtype=bool), again[sent]]
+            marked, what = np.r_[np.full(len(lo) - len(sent), -1), left[sent]], np.r_[np.zeros(len(lo) - len(sent), dtype=np.int64), side[sent]]
+        else:
+            known, marked, what = np.zeros(len(lo), dtype=bool), np.full(len(lo), -1), np.zeros(len(lo), dtype=np.int64)
+        if not len(lo):
+            return None
+        r = row[lo]
+        start, stop = t["start"][r] + on[lo] - on[begins[r]], t["stop"][r] + off[hi] - off[begins[r]]
+        return r, t["at"][r] + nth[lo], t["at"][r] + nth[hi] + window, start, stop, np.full(len(lo), key[0]), marked, what, known
+
+    schema = f"doc_id {kind}, part long, at int, until int, start int, stop int, gram long, `left` int, side long, known boolean"
+    return map_sorted_groups(rows, ["gram", "salt"], work, schema, ragged=("side", "on", "off"), carry=("doc_id", "part"), least=1)
 
 
 def equal_neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Rows of a frame sorted within partitions by (h1, h2) that equal a neighbour.  Streams: one row is held over."""
+    """Rows of a frame sorted within partitions by its first three columns (numbers) that equal a neighbour in these.  Streams: one row is held over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None  # the row before, not yet told, and whether it equals the one before it
         last_equal = False
 
         def pair(batch: pa.RecordBatch) -> np.ndarray:
-            return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+            return np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], 1)
 
         for batch in batches:
             if not batch.num_rows:
@@ -154,8 +253,8 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
 
     ``whole``: the text is one of several equal ones (of ``window`` words or more) and counts as one passage.
     Null, empty and shorter texts have none.  Rows that repeat both id and text are copies and give a row each; null
-    ids are kept; other columns are ignored; an empty table gives no rows.  Words are compared by 64-bit hashes,
-    stretches by 128 bits.  The texts are shuffled once, and only to texts with a minimiser that is found twice.
+    ids are kept; other columns are ignored; an empty table gives no rows.  Windows are compared by 128 bits: 64 of the
+    minimiser and 32 of each side.  The texts are shuffled once, to find those with a minimiser that is found twice.
     """
     docs = project(df, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("key"), "text", word_hashes().alias("words"))
     size = F.size("words")
@@ -163,21 +262,26 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     copied = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     whole = narrow.join(copied, "key", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"), F.col("n_words").cast("int").alias("n_words"), F.lit(True).alias("whole"), part_of("key").alias("part"))
 
-    suffixes = written(retained(docs, window, gram))
+    kept = written(retained(docs, window, gram))
     more = F.max(F.size("places")) > 1
     text = F.xxhash64("key")  # numbers aggregate in place
-    again = suffixes.groupBy("gram").agg(((F.min(text) != F.max(text)) | more).alias("again")).where("again").select("gram")
-    left = suffixes.join(again, "gram", "left_semi").select("key", "doc_id", F.explode("places").alias("place"))
+    again = kept.groupBy("gram").agg(((F.min(text) != F.max(text)) | more).alias("again"), F.ceil(F.sum(F.size("places")) / BLOCK).cast("int").alias("blocks"))
+    again = written(again.where("again").select("gram", "blocks"))  # so that Spark can split the join's hot minimisers
+    left = kept.join(again, "gram").select("key", "doc_id", "blocks", F.explode("places").alias("place"))
     # equal texts retain equal suffixes: the copy with the least id goes on
-    left = left.groupBy("key", "place").agg(F.min("doc_id").alias("doc")).groupBy("key").agg(F.min("doc").alias("_id"), F.collect_list("place").alias("places"))
+    left = left.groupBy("key", "place", "blocks").agg(F.min("doc_id").alias("doc")).groupBy("key").agg(F.min("doc").alias("_id"), F.collect_list(F.struct("place", "blocks")).alias("places"))
     texts = project(df, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("key"), "text").withColumnRenamed("key", "_key")
     met = texts.join(left.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("key"))).select("doc_id", "key", "text", word_hashes().alias("words"), "places")
-    ordered = stretches(met, window, gram).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    same = equal_neighbours(ordered)
-    by_place = Window.partitionBy("doc_id", "part").orderBy("at")
-    fresh = F.coalesce(F.col("at") - F.lag("at").over(by_place) > window, F.lit(True))
-    runs = same.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + window).alias("n_words"))
+    found = written(matches(suffixes(met, window, gram), window))
+    same = found.where("`left` < 0").select("doc_id", "part", "at", "until", "start", "stop")
+    between = found.where("`left` >= 0").select("gram", "left", "side", "known", "doc_id", "part", "at", "until", "start", "stop")
+    between = equal_neighbours(between.repartition("gram", "left", "side").sortWithinPartitions("gram", "left", "side"))
+    same = same.unionByName(between.where("not known").select(*same.columns))
+
+    by_place = Window.partitionBy("doc_id", "part").orderBy("at", "until")
+    before = F.max("until").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    runs = same.withColumn("fresh", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("until") - F.min("at")).alias("n_words"))
     ours = whole.select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"))
     passages = runs.join(ours, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")), "left_anti").select("doc_id", "start", "stop", "n_words", F.lit(False).alias("whole"))
     return passages.unionByName(whole.drop("part"))
