@@ -56,25 +56,33 @@ def chunks(docs: DataFrame, size: int, tokens: Callable[[Column], Column] = word
     return out.withColumn("text", F.array_join("tokens", " "))
 
 
-def pack(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """seq_id, input_ids: each document as one leading ``end`` and its tokens, concatenated in order and cut every ``length``; the incomplete tail is dropped.
+def cut(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words, head: list[str] | None = None) -> DataFrame:
+    """seq_id, input_ids: ``head`` (fewer than ``length`` tokens that are left from before), then each document as one leading ``end`` and its tokens, concatenated in order and cut every ``length``; the last may be shorter.
 
     Rows whose order keys are null come first, and rows that tie are in any one order; each is packed once.  Only token
     counts take part in the running sum, and meet their texts again by the rows' numbers.  A document's tokens are cut
     where sequences begin, so a row is a part of a document in a sequence, never a single token, and a sequence's
     parts meet by its id: at most ``length``.
     """
+    head = head or []
     rows = numbered(docs.select(*order_by, "text"), order_by)
     body = F.concat(F.array(F.lit(end)), tokens(F.col("text")))
     offsets = running_sum_of(rows.select("_row", F.size(body).cast("bigint").alias("_n")), "_n", "_end").withColumnRenamed("_row", "_place")
+    offsets = offsets.withColumn("_end", F.col("_end") + len(head))
     placed = rows.join(offsets, F.col("_row") == F.col("_place")).select(body.alias("_t"), "_end", (F.col("_end") - F.col("_n")).alias("_start"))
     first, last = F.floor(F.col("_start") / length), F.floor((F.col("_end") - 1) / length)
     parts = placed.withColumn("seq_id", F.explode(F.sequence(first, last)))
     begin, stop = F.greatest(F.col("seq_id") * length, F.col("_start")), F.least((F.col("seq_id") + 1) * length, F.col("_end"))
     parts = parts.select("seq_id", begin.alias("_at"), F.slice("_t", (begin - F.col("_start") + 1).cast("int"), (stop - begin).cast("int")).alias("_part"))
+    if head:
+        parts = parts.unionByName(docs.sparkSession.createDataFrame([(0, 0, head)], "seq_id long, _at long, _part array<string>"))
     ordered = F.sort_array(F.collect_list(F.struct("_at", "_part")))
-    packed = parts.groupBy("seq_id").agg(F.flatten(F.transform(ordered, lambda p: p["_part"])).alias("input_ids"))
-    return packed.where(F.size("input_ids") == length).withColumn("labels", F.col("input_ids"))
+    return parts.groupBy("seq_id").agg(F.flatten(F.transform(ordered, lambda p: p["_part"])).alias("input_ids"))
+
+
+def pack(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """seq_id, input_ids, labels: ``cut`` without the incomplete tail; the labels are a copy of the ids."""
+    return cut(docs, length, order_by, end, tokens).where(F.size("input_ids") == length).withColumn("labels", F.col("input_ids"))
 
 
 def epochs(packed: DataFrame, n: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linalg
+from ..operators import linalg, tokens
 from ..operators.cascade import cascade, verdict_columns
 from ..operators.stages import Stage
-from ..sources import readers
+from ..sources import files, readers
+from ..sources.shared import written
 
 
 def stream_cascade(docs: DataFrame, stages: list[Stage], output: str, checkpoint: str):
@@ -53,4 +54,30 @@ def current_gram(spark: SparkSession, output: str, until: int | None = None, lay
     return parts.groupBy(layer, "i", "j").agg(F.sum("g").alias("g"))
 
 
-__all__ = ["current_gram", "readers", "stream_cascade", "stream_gram", "stream_retained"]
+def stream_pack(docs: DataFrame, output: str, checkpoint: str, length: int, order_by: list[str], end: str = "<eos>"):
+    """Packs what has arrived since the last call to sequences of ``length`` tokens under ``output/sequences`` (seq_id, input_ids), batch after batch; returns the finished query.
+
+    The tokens that a batch leaves, fewer than ``length``, and the next sequence's number are its state, a row under
+    ``output/tail``; the next batch begins with them.  A batch that runs again replaces its part and its tail.
+    Documents of a batch are in the order of ``order_by``.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        tails = f"{output}/tail"
+        before = spark.read.parquet(tails).where(F.col("batch") < number).orderBy(F.col("batch").desc()).limit(1).collect() if files.exists(spark, tails) else []
+        head, next_id = (before[0]["tokens"], before[0]["next_id"]) if before else ([], 0)
+        every = written(tokens.cut(batch, length, order_by, end, head=head))
+        full = every.where(F.size("input_ids") == length).select((F.col("seq_id") + next_id).alias("seq_id"), "input_ids", F.lit(number).alias("batch"))
+        full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{output}/sequences")
+        rest = every.where(F.size("input_ids") < length).first()  # one row at most
+        n = every.agg(F.count_if(F.size("input_ids") == length)).first()[0]
+        tail = spark.createDataFrame([(list(rest["input_ids"]) if rest else [], next_id + n, number)], "tokens array<string>, next_id long, batch int")
+        tail.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(tails)
+
+    query = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+__all__ = ["current_gram", "readers", "stream_cascade", "stream_gram", "stream_pack", "stream_retained"]

@@ -143,6 +143,20 @@ def test_streams(spark, tmp_path, corpus):
     assert got == {(r["layer"], r["i"], r["j"]): r["g"] for r in linalg.gram(x).collect()}
 
 
+def test_stream_packing_carries_its_tail_over(spark, tmp_path):
+    texts = ["a b c", "d", "e f g h i j k", "", "l m", "n o p q r s t u v"]
+    folder, read = f"{tmp_path}/docs", "id long, text string"
+    for start in (0, 2, 4):  # three files, so three batches
+        spark.createDataFrame([(start + k, t) for k, t in enumerate(texts[start : start + 2])], read).coalesce(1).write.mode("append").parquet(folder)
+        streaming.stream_pack(readers.stream(spark, folder, read), f"{tmp_path}/packed", f"{tmp_path}/c", 4, ["id"])
+    stream = [t for x in texts for t in ["<eos>", *x.split()]]
+    got = spark.read.parquet(f"{tmp_path}/packed/sequences").orderBy("seq_id").collect()
+    assert [r["seq_id"] for r in got] == list(range(len(stream) // 4))
+    assert [r["input_ids"] for r in got] == [stream[k : k + 4] for k in range(0, len(stream) - 3, 4)]
+    tail = spark.read.parquet(f"{tmp_path}/packed/tail").orderBy(F.col("batch").desc()).first()
+    assert tail["tokens"] == stream[len(stream) // 4 * 4 :] and tail["next_id"] == len(stream) // 4
+
+
 def test_manifest_and_run_id():
     import datetime
 
