@@ -48,13 +48,15 @@ def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def decimals(value: Column, places: int = 2) -> Column:
-    """A number with a fixed number of decimals, as in ``{:.2f}``."""
-    return F.format_string(f"%.{places}f", value.cast("double"))
+    """A number with a fixed number of decimals, as in ``{:.2f}``; halves go to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(value.cast("double"), places))
 
 
 def exponent(value: Column, places: int = 0) -> Column:
-    """A number in scientific notation, as in ``{:.0e}``."""
-    return F.format_string(f"%.{places}e", value.cast("double"))
+    """A number in scientific notation, as in ``{:.0e}``; halves go to the even digit."""
+    x = value.cast("double")
+    power = F.pow(F.lit(10.0), F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))))
+    return F.format_string(f"%.{places}e", F.bround(x / power, places) * power)
 
 
 def ceil_div(a: Column, b: int) -> Column:

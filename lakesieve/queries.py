@@ -278,10 +278,10 @@ def chunk_pad(spark, sf_dir):
     return out.select("doc_id", "chunk", add("input_ids").alias("ids_sum"), add("attention_mask").cast("int").alias("n_real"), add("labels").alias("labels_sum"))
 
 
-@query("SELECT label AS layer, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) AS g FROM (SELECT label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL")
+@query("SELECT label AS layer, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) + 0.0 AS g FROM (SELECT label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL")
 def gram_matrix(spark, sf_dir):
     g = linalg.gram(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "layer"), "embedding")
-    return g.select("layer", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("g", 6).alias("g"))
+    return g.select("layer", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), (F.round("g", 6) + 0.0).alias("g"))
 
 
 @query("SELECT label AS layer, count(DISTINCT vec_id) AS n_samples, 64 AS hidden_dim, round(sum(a::DOUBLE * a::DOUBLE), 4) AS trace FROM (SELECT vec_id, label, unnest(embedding) AS a FROM embeddings) GROUP BY label")
@@ -295,7 +295,7 @@ def checkpoint_schedule(spark, sf_dir):
     return spark.createDataFrame([(b,) for b in linalg.checkpoint_schedule(1024)], "batch int")
 
 
-_CHECKPOINT_SQL = "SELECT label AS layer, c AS checkpoint, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) AS g FROM (SELECT vec_id % 16 + 1 AS batch, label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(c) ON batch <= c, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL"
+_CHECKPOINT_SQL = "SELECT label AS layer, c AS checkpoint, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) + 0.0 AS g FROM (SELECT vec_id % 16 + 1 AS batch, label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(c) ON batch <= c, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL"
 
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +306,7 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpointed_grams(spark, sf_dir):
     """The whole Gram matrix at each checkpoint."""
     g = linalg.checkpointed_grams(batched(spark, sf_dir), "batch", linalg.checkpoint_schedule(16))
-    return g.select("layer", "checkpoint", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("g", 6).alias("g"))
+    return g.select("layer", "checkpoint", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), (F.round("g", 6) + 0.0).alias("g"))
 
 
 #: Vectors folded to two components, of which SQL can solve the spectrum: its eigenvalues are those of a 2 * 2 matrix.

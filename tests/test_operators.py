@@ -124,10 +124,10 @@ def test_templates_shots_and_limits(spark):
 
 def test_formats(spark):
     got = spark.range(1).select(
-        text_functions.replaced(F.lit("a/b/c"), ("/", "-"), ("b", "")).alias("r"), text_functions.decimals(F.lit(2.345), 1).alias("d"), text_functions.exponent(F.lit(1e-4)).alias("e"),
+        text_functions.replaced(F.lit("a/b/c"), ("/", "-"), ("b", "")).alias("r"), text_functions.decimals(F.lit(2.345), 1).alias("d"), text_functions.exponent(F.lit(1e-4)).alias("e"), text_functions.exponent(F.lit(250)).alias("h"), text_functions.exponent(F.lit(0)).alias("z"), text_functions.decimals(F.lit(0.125)).alias("t"),
         *[text_functions.ceil_div(F.lit(n), 4).alias(f"c{n}") for n in (0, 1, 4, 5)],
     ).first()
-    assert tuple(got) == ("a--c", "2.3", "1e-04", 0, 1, 1, 2)
+    assert tuple(got) == ("a--c", "2.3", "1e-04", "2e+02", "0e+00", "0.12", 0, 1, 1, 2)
 
 
 def test_chunks_pad_and_bound(spark):
