@@ -1,15 +1,16 @@
 """Secrets: fixed patterns, and strings that stay incompressible beside their surroundings.
 
-A candidate of the second kind stands behind a sensitive word.  A zstandard compressor is primed with a dictionary of
-common code and identifiers and with the text around the candidate; what the candidate adds to the compressed size,
-in bytes a character, is its novelty.  Words and names that the surroundings or the dictionary explain add little;
-random keys add about log2(alphabet) / 8.
+A candidate of the second kind stands near a sensitive word, on either side.  A zstandard compressor is primed with a
+dictionary of common code and identifiers, to which the caller may add its own, and with the text around the candidate;
+what the candidate adds to the compressed size, in bytes a character, is its novelty.  Words and names that the
+surroundings or the dictionary explain add little; random keys add about log2(alphabet) / 8.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +33,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 CONTEXT = re.compile(r"(?ai)passw|pwd|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer|signature|session[_-]?id|encryption")
 _CONTEXT_WORDS = ("passw", "pwd", "secret", "token", "key", "private", "credential", "auth", "bearer", "signature", "session", "encryption")
 _LEAST = 16
-#: A candidate begins at most so many characters behind a sensitive word.
-BEFORE = 64
+#: What a sensitive context is: a sensitive word at most so many characters before or behind the candidate, or in it.
+NEAR = 64
 #: Characters on either side of a candidate that prime the compressor.
 AROUND = 1024
-#: A digit, or a capital inside a word: plain words of one case aren't candidates.
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
-#: Least added bytes a character.
-NOVELTY = 0.6
+#: Least added bytes a character: names of several known words add up to 0.65, random keys of 24 characters and more 0.8 and more.
+NOVELTY = 0.7
 
 _IDENTIFIERS = (
     "import from return class def function public private static void string const let var if else for while try except catch throw new null None true false self this "
@@ -79,25 +78,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates that begin at most BEFORE characters behind a sensitive word and that their surroundings don't explain, outside the base spans."""
+    """Candidates in a sensitive context whose novelty is ``least`` and more, outside the base spans.
+
+    A candidate is a run of 16 and more of the characters of keys; a sensitive word in it, and what is before that, is
+    not part of it.  Its letters' case decides nothing.
+    """
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
-    found, done = [], 0
-    for m in CONTEXT.finditer(text):
-        at, limit = max(m.end(), done), m.end() + BEFORE + _LEAST
-        while c := CANDIDATE.search(text, at, limit):
-            start = c.start()
-            at = done = end = CANDIDATE.match(text, start).end()
-            word = text[start:end]
-            if MIXED.search(word) and not any(s < end and start < e for s, e, _ in base) and novelty(word, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least:
-                found.append((start, end, "novel"))
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    order = sorted((s, e) for s, e, _ in base)
+    taken, reach = [s for s, _ in order], [0]
+    for _, e in order:
+        reach.append(max(reach[-1], e))
+    found = []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        k = bisect_left(ends, start - NEAR)
+        if k == len(words) or starts[k] > end + NEAR:
+            continue
+        inside = bisect_right(ends, end) - 1
+        if inside >= 0 and ends[inside] > start:
+            start = ends[inside]
+            while start < end and text[start] in "=_-~+/":
+                start += 1
+        if end - start < _LEAST or reach[bisect_left(taken, end)] > start:
+            continue
+        if novelty(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least:
+            found.append((start, end, "novel"))
     return found
 
 
-def scanner(least: float = NOVELTY):
-    """A function from a text to (base spans, all spans), each sorted by start and then kind."""
-    novelty = Novelty()
+def scanner(least: float = NOVELTY, identifiers: str = ""):
+    """A function from a text to (base spans, all spans), each sorted by start and then kind.  ``identifiers``: more names and code that explain candidates."""
+    novelty = Novelty(identifiers)
 
     def scan(text: str) -> tuple[list, list]:
         base = base_spans(text)
@@ -110,16 +127,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NOVELTY) -> DataFrame:
+def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NOVELTY, identifiers: str = "") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row's whole text.
 
-    Spans are kind:start:end in code points, end exclusive, by start and then kind.  A null text counts as empty: no
-    spans, and the digest of the empty string.  Repeated rows are scanned each, null ids are carried, other columns
+    Spans are kind:start:end in code points, end exclusive, by start and then kind.  Novel ones stand at most NEAR
+    characters from a sensitive word, have 16 characters and more, and add ``least`` compressed bytes a character and
+    more to AROUND characters on either side and the dictionary with ``identifiers``.  A null text counts as empty:
+    no spans, and the digest of the empty string.  Repeated rows are scanned each, null ids are carried, other columns
     are ignored.  Narrow.
     """
 
     def make():
-        scan = scanner(least)
+        scan = scanner(least, identifiers)
 
         def row(doc_id, text):
             base, spans = scan(text or "")
@@ -132,14 +151,14 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(project(df, doc_id=id_col, text=text_col), make, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_documents(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", least: float = NOVELTY) -> DataFrame:
+def redact_documents(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", least: float = NOVELTY, identifiers: str = "") -> DataFrame:
     """``df`` with every found span replaced by ``mark`` (touching and overlapping spans by one) and the length column, if there, set anew.
 
     Rows, ids and other columns stay as they are; a null text stays null.  Narrow.
     """
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scan = scanner(least)
+        scan = scanner(least, identifiers)
 
         def one(text: str | None) -> str | None:
             if not text:
