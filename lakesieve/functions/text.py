@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row: bound by a lambda.  Written out it would be computed wherever it stands, in a lambda's body for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def slices(items: Column, size: int) -> Column:
-    """An array cut into consecutive arrays of ``size``, the last one shorter; none for an empty array."""
+    """An array cut into consecutive arrays of ``size``, the last one shorter; none for an empty array.
+
+    ``items`` should be a plain column: a longer expression would be computed again for each slice.
+    """
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(items, i, size))
 

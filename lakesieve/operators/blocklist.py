@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 
 def refine(blocklist: DataFrame, pos_ratio: float | None = 0.4) -> DataFrame:
     """Distinct keywords with pos_ratio above the threshold (null and NaN never are; no threshold: all) that, if the list says so, are relevant."""
@@ -70,6 +72,5 @@ def hits(text: Column, keywords: list[str], most: int) -> Column:
 
 def verdict(text: Column, keywords: list[str], threshold: int = 2) -> Column:
     """struct(should_filter, metadata struct(keywords)): true iff ``threshold`` keywords (1 or more) occur."""
-    found = hits(text, keywords, max(threshold, 1))
-    return F.transform(F.array(found), lambda h: F.struct(
-        ((F.size(h) >= threshold) & F.lit(threshold >= 1)).alias("should_filter"), F.struct(F.array_join(h, ", ").alias("keywords")).alias("metadata")))[0]
+    return once(hits(text, keywords, max(threshold, 1)), lambda h: F.struct(
+        ((F.size(h) >= threshold) & F.lit(threshold >= 1)).alias("should_filter"), F.struct(F.array_join(h, ", ").alias("keywords")).alias("metadata")))

@@ -86,8 +86,9 @@ class ClassifierStage:
         return F.struct(F.lit(0.0).alias("highest_score"), F.lit(0.0).alias("lowest_score"), F.lit(0.0).alias("mean_score"))
 
     def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
-        judged = docs.withColumn("_parts", opened(text_functions.slices(self.tokens(F.col("text")), self.context_length), gate))
-        judged = judged.withColumn("_scores", F.transform("_parts", lambda p: self.scorer(p).cast("double"))).drop("_parts")
+        judged = docs.withColumn("_tokens", opened(self.tokens(F.col("text")), gate))
+        judged = judged.withColumn("_parts", F.when(F.col("_tokens").isNotNull(), text_functions.slices(F.col("_tokens"), self.context_length)))
+        judged = judged.withColumn("_scores", F.transform("_parts", lambda p: self.scorer(p).cast("double"))).drop("_parts", "_tokens")
         return within(judged_by_scores(judged, self.threshold, self.default_metadata()), gate, self.default_metadata())
 
 
@@ -139,8 +140,10 @@ class ModelStage:
             for batch in batches:
                 yield batch.map(one)
 
-        parts = F.transform(text_functions.slices(self.tokens(F.col("text")), self.context_length), lambda p: F.array_join(p, " "))
-        judged = judged_by_scores(docs.withColumn("_scores", score(opened(parts, gate))), self.threshold, self.default_metadata())
+        score = score.asNondeterministic()  # a model's call is never moved, repeated or put into another expression
+        split = docs.withColumn("_tokens", opened(self.tokens(F.col("text")), gate))
+        parts = F.when(F.col("_tokens").isNotNull(), F.transform(text_functions.slices(F.col("_tokens"), self.context_length), lambda p: F.array_join(p, " ")))
+        judged = judged_by_scores(split.withColumn("_scores", score(parts)).drop("_tokens"), self.threshold, self.default_metadata())
         return within(judged, gate, self.default_metadata())
 
 
@@ -193,6 +196,7 @@ class JudgeStage:
                         rows.append((f"Error during LM filtering: {e}", str(e)))
                 yield pd.DataFrame(rows, columns=["completion", "error"])
 
+        ask = ask.asNondeterministic()  # see above
         asked = docs.withColumn("_a", ask(opened(chat_messages(F.col("text"), self.prompt), gate))).withColumn("_p", parse_completion(F.col("_a.completion")))
         judgment = F.when(F.col("_a.error").isNotNull(), True).otherwise(F.col("_p.judgment"))
         metadata = F.struct(judgment.alias("judgment"), F.col("_a.completion").alias("completion"), F.coalesce("_a.error", "_p.error").alias("error"))

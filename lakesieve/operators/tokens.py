@@ -52,7 +52,7 @@ def within_budget(docs: DataFrame, counts: DataFrame, target: int, order_by: lis
 
 def chunks(docs: DataFrame, size: int, tokens: Callable[[Column], Column] = words, id_col: str = "id") -> DataFrame:
     """id, chunk, tokens, text: consecutive slices of ``size`` tokens, decoded with spaces."""
-    out = docs.select(id_col, F.posexplode(slices(tokens(F.col("text")), size)).alias("chunk", "tokens"))
+    out = docs.select(id_col, tokens(F.col("text")).alias("_t")).select(id_col, F.posexplode(slices(F.col("_t"), size)).alias("chunk", "tokens"))
     return out.withColumn("text", F.array_join("tokens", " "))
 
 
@@ -110,7 +110,7 @@ def chunk_pad(docs: DataFrame, size: int = 2048, most: int = 5, pad: int = 0, id
 
     Padding goes to the right: ``pad`` in the ids, 0 in the mask, -100 in the labels; token types are 0.
     """
-    parts = docs.withColumn("_p", slices(F.slice(F.col(ids_col), 1, size * most), size)).select(*[c for c in docs.columns if c != ids_col], F.posexplode("_p").alias("chunk", "_c"))
+    parts = docs.withColumn("_first", F.slice(F.col(ids_col), 1, size * most)).withColumn("_p", slices(F.col("_first"), size)).select(*[c for c in docs.columns if c != ids_col], F.posexplode("_p").alias("chunk", "_c"))
     gap = F.lit(size) - F.size("_c")
     fill = lambda body, value: F.concat(body, F.array_repeat(F.lit(value), gap))
     return parts.select(
