@@ -5,8 +5,10 @@ their key to shards of about SHARD pieces, and each shard is packed on its own:
 
 1. full pieces are sequences by themselves;
 2. large pieces, by falling length, form groups of equal cardinality, and each counts as long as its group's longest;
-3. with so few sizes, configurations (multisets of sizes that fit) are optimised: the one that holds the largest size
-   left and fills a sequence best, among the numbers left, is taken as often as these allow;
+3. with so few sizes, the linear programme over all configurations (multisets of sizes that fit) is solved by column
+   generation: a knapsack over the sizes' prices finds the configuration that improves the solution most, until none
+   does.  Each configuration is taken the whole number of times in the optimum; what the fractions leave, fewer pieces
+   than a configuration for each size, goes by the largest size left and the fullest configuration with it;
 4. actual pieces replace the sizes, which leaves more room;
 5. small pieces, by falling length, go where the room left is least.
 
@@ -36,8 +38,11 @@ CAPACITY = 4096
 SHARD = 16_384
 #: Large pieces are longer than capacity / LARGE, so a configuration has fewer than LARGE of them.
 LARGE = 5
-#: Groups of equal cardinality.
-GROUPS = 128
+#: Numbers of groups of equal cardinality that are tried in turn, few that leave room for small pieces and many that round
+#: large ones up by little, until a packing has at most this share of sequences more than the tokens need.
+GROUPS, CLOSE = (12, 96), 0.001
+#: Improvements of the linear programme at most; what it has by then is as feasible.
+PIVOTS = 3000
 #: A configuration that leaves so few tokens is not improved on.
 SLACK = 4
 
@@ -153,11 +158,61 @@ def best_configuration(sizes: list[int], left: list[int], room: int) -> tuple[in
     return found
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
-    """The sequence (0, 1, ...) of each piece; no sequence holds more than ``capacity``."""
+def optimal_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
+    """(pieces of each size, how often): the configurations of a least fractional packing of ``demand`` pieces of the sizes, which are over capacity / LARGE."""
+    m, most = len(sizes), LARGE - 1
+    size, need = np.array(sizes), np.array(demand, dtype=np.float64)
+    basis = [np.eye(m)[i] * (capacity // sizes[i]) for i in range(m)]
+    inverse = np.diag([1.0 / (capacity // n) for n in sizes])
+    often = inverse @ need
+    for _ in range(PIVOTS):
+        price = inverse.sum(0)
+        # the dearest configuration, by the number of its pieces and the room it takes
+        value, choice = np.zeros(capacity + 1), []
+        for _ in range(most):
+            best, pick = value.copy(), np.full(capacity + 1, -1, dtype=np.int32)
+            for i in np.flatnonzero(price > 1e-12).tolist():
+                offer = value[: capacity + 1 - size[i]] + price[i]
+                better = offer > best[size[i] :] + 1e-12
+                best[size[i] :][better] = offer[better]
+                pick[size[i] :][better] = i
+            choice.append(pick)
+            value = best
+        if value[capacity] <= 1 + 1e-7:
+            break
+        enter, room = np.zeros(m), capacity
+        for pick in reversed(choice):
+            if (i := int(pick[room])) >= 0:
+                enter[i] += 1
+                room -= sizes[i]
+        move = inverse @ enter
+        up = np.flatnonzero(move > 1e-9)
+        leave = up[np.argmin(often[up] / move[up])]
+        row = inverse[leave] / move[leave]
+        inverse -= np.outer(move, row)
+        inverse[leave] = row
+        basis[leave], often = enter, inverse @ need
+    return [(c.astype(np.int64), float(x)) for c, x in zip(basis, often, strict=True) if x > 0]
+
+
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> np.ndarray:
+    """The sequence (0, 1, ...) of each piece; no sequence holds more than ``capacity``.  The best of the packings with so many groups."""
     lengths = np.asarray(lengths, dtype=np.int64)
     if lengths.size and (lengths.min() < 1 or lengths.max() > capacity):
         raise ValueError("lengths must be between 1 and the capacity")
+    best, found = None, 0
+    for n in groups:
+        where = pack_grouped(lengths, capacity, n)
+        used = int(where.max(initial=-1)) + 1
+        if best is None or used < found:
+            best, found = where, used
+        if found <= -(-int(lengths.sum()) // capacity) * (1 + CLOSE):
+            break
+    return best
+
+
+def pack_grouped(lengths: np.ndarray, capacity: int, groups: int) -> np.ndarray:
+    """``pack`` with one number of groups."""
     where = np.full(lengths.size, -1, dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     full = order[lengths[order] == capacity]
@@ -169,24 +224,29 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
     per = max(1, -(-len(large) // groups))
     members = [large[k : k + per] for k in range(0, len(large), per)]
     sizes, left, taken = [int(lengths[m[0]]) for m in members], [len(m) for m in members], [0] * len(members)
+
+    def use(configuration: dict[int, int], times: int) -> None:
+        for _ in range(times):
+            free = capacity
+            for i, n in configuration.items():
+                for item in members[i][taken[i] : taken[i] + n]:
+                    where[item] = len(room)
+                    free -= int(lengths[item])
+                taken[i] += n
+            room.append(free)
+        for i, n in configuration.items():
+            left[i] -= n * times
+
+    for counts, often in optimal_configurations(sizes, left, capacity) if members else []:
+        whole = {int(i): int(counts[i]) for i in np.flatnonzero(counts)}
+        use(whole, min(int(often + 1e-6), *(left[i] // n for i, n in whole.items())))
     for top in range(len(members)):
         while left[top]:
             left[top] -= 1
             others = best_configuration(sizes, left, capacity - sizes[top])
             left[top] += 1
             configuration = Counter((top, *others))
-            times = min(left[i] // n for i, n in configuration.items())
-            for _ in range(times):
-                free = capacity
-                for i, n in configuration.items():
-                    for _ in range(n):
-                        item = members[i][taken[i]]
-                        taken[i] += 1
-                        where[item] = len(room)
-                        free -= int(lengths[item])
-                room.append(free)
-            for i, n in configuration.items():
-                left[i] -= n * times
+            use(configuration, min(left[i] // n for i, n in configuration.items()))
     # best fit of the small ones
     by_room: dict[int, list[int]] = defaultdict(list)
     for sequence, free in enumerate(room):
