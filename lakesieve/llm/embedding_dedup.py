@@ -221,7 +221,9 @@ def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     plan = {n: (tables_for(n, turns, least), turns) for n, turns in ((n, turns_for(count, n)) for n, count in lengths.items())}
     hashed = checkpoint(_hashed(nodes, plan))
     codes = hashed.select("id", F.explode(F.array_distinct("codes")).alias("bucket"))
-    sizes = codes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "_bucket")
+    sizes = codes.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id").cast("bigint")).alias("s")).where("size > 1")
+    # of buckets with the same vectors the least is enough: it's the least that any two of them have in common
+    sizes = sizes.groupBy("size", "x", "s").agg(F.min("bucket").alias("_bucket")).select("_bucket", "size")
     met = codes.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "id", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     # only vectors that share a bucket move, each to its buckets' blocks
     vectors = nodes.select(F.col("id").alias("_id"), "copies", "v").join(hashed.withColumnRenamed("id", "_hid"), F.col("_id") == F.col("_hid")).drop("_hid")
