@@ -33,7 +33,7 @@ RUN = 3
 #: Runs of fewer lines are deleted too, where asked for, if they hold over so many words.
 WORDS = 50
 #: Places of one fingerprint that are compared in one task.
-BLOCK = 8192
+BLOCK = 256
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
