@@ -30,7 +30,7 @@ from .common import map_sorted_groups, project, text_key, written
 #: Words of the shortest passage, and of a minimiser.
 WINDOW, GRAM = 50, 10
 #: Suffixes of one minimiser that are compared in one task.
-BLOCK = 4096
+BLOCK = 256
 #: Words as in ``\S+`` for space and code points 9 to 13.
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = r"[\x20\x09-\x0D]+"
