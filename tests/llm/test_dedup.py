@@ -55,6 +55,13 @@ def brute_lines(rows, run=3):
     return {k: len(v) for k, v in gone.items()}
 
 
+@pytest.mark.parametrize("words", [None, 50])
+def test_op4_hot_fingerprints_in_blocks(spark, sf, monkeypatch, words):
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    same(line_dedup.line_dedup(docs, words=words).select("doc_id", "text", "n_lines", "n_removed"), connect(sf), line_dedup.WORDS_ORACLE_SQL if words else line_dedup.ORACLE_SQL)
+
+
 def test_op4_cases(spark):
     rows = [*texts(), (30, "\n".join(["same"] * 9)), (31, "\n".join(lines(1, 6)))]
     out = line_dedup.line_dedup(frame(spark, rows))
@@ -126,7 +133,9 @@ def test_op2_equals_brute_force(spark, sf):
     assert found_passages(docs) == brute_passages(rows)
 
 
-def test_op2_cases_and_planted_passages(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_op2_cases_and_planted_passages(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)  # 3: most minimisers are dealt to blocks
     shared = prose(77, 51)
     rows = [*texts(), *[(100 + k, f"{prose(200 + k, 30)} {shared} {prose(300 + k, 30)}") for k in range(20)], (130, prose(5, 20) + " " + " ".join(shared.split(" ")[:49])), (131, prose(500, 300))]
     got = found_passages(frame(spark, rows))
@@ -136,6 +145,13 @@ def test_op2_cases_and_planted_passages(spark):
     assert found_passages(frame(spark, [])) == Counter()
 
 
+def test_op2_repeats_inside_one_text_and_at_its_ends(spark):
+    p = prose(61, 70)
+    q = p.split(" ")
+    rows = [(1, f"{p} {p} {p}"), (2, " ".join(q[:50])), (3, " ".join(q[20:]) + " " + prose(62, 40)), (4, "la " * 300), (5, "  \t" + "  \n ".join(q[5:60]) + "  "), (None, prose(63, 10) + " " + " ".join(q[10:66]))]
+    assert found_passages(frame(spark, rows)) == brute_passages(rows)
+
+
 # --- op5
 
 
@@ -183,11 +199,104 @@ def test_op5_equals_brute_force(spark):
     assert all(r["kept"] == (r["class_id"] == i) for i, r in got.items())
 
 
-def test_op5_hot_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
-    rows = near_copies(16)
+@pytest.mark.parametrize("texts_a_block, few, most", [(4, 1, 1000), (4, 1, 1), (7, 100, 100)])
+def test_op5_hot_buckets_and_components_in_blocks(spark, monkeypatch, texts_a_block, few, most):
+    monkeypatch.setattr(minhash_dedup, "FEW_BLOCKS", few)
+    monkeypatch.setattr(minhash_dedup, "SKETCH_BLOCK", texts_a_block)
+    monkeypatch.setattr(minhash_dedup, "TEXT_BLOCK", texts_a_block)
+    monkeypatch.setattr(minhash_dedup, "MOST_BLOCKS", most)
+    rows = [*near_copies(16), *loose_family()]
     got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(frame(spark, list(enumerate(rows)))).collect()}
-    assert [got[i] for i in range(len(rows))] == classes(len(rows), links(rows))
+    want = classes(len(rows), links(rows))
+    assert [got[i] for i in range(len(rows))] == want
+    assert len(set(want[-30:])) > 3  # a candidate component of several classes
+
+
+def loose_family(n=30, words=120):
+    """Copies of one text with 0 to 7 edits apart: some pairs are links, some are candidates only."""
+    base = prose(1234, words).split(" ")
+    out = []
+    for k in range(n):
+        w = list(base)
+        for e in range(k % 8):
+            w[(29 * e + 3 * k) % len(w)] = f"own{k}x{e}"
+        out.append(" ".join(w))
+    return out
+
+
+def near_edges(texts_):
+    """Pairs of places of equal texts, and of texts that share so many shingles that they can be links and whose alignment says so."""
+    rows = list(enumerate(texts_))
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (t.split() for _, t in rows)]
+    where = defaultdict(list)
+    for i, bag in enumerate(bags):
+        for shingle in bag:
+            where[shingle].append(i)
+    shared = Counter(pair for found in where.values() for pair in itertools.combinations(found, 2))
+    edges = []
+    for (i, j), n in shared.items():
+        x, y = bags[i], bags[j]
+        total = x.total() + y.total()
+        if rows[i][1] == rows[j][1] or (x & y).total() >= 0.8 / 1.8 * total - 1e-9 and minhash_dedup.similarity(rows[i][1].split(), rows[j][1].split()) >= 0.8:
+            edges.append((i, j))
+    return edges
+
+
+def test_op5_finds_every_class_of_the_drivers_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    edges = near_edges([t for _, t in rows])
+    want = classes(len(rows), edges)
+    assert len(edges) > 50
+    linked = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in edges)
+    assert linked >= 0.99 * len(edges)  # recall over all links; 3e-4 is the chance of a miss at the threshold
+    assert all(want[[r[0] for r in rows].index(c)] == want[k] for k, (i, _) in enumerate(rows) for c in [got[i]])  # no false class
+
+
+def test_op5_tells_rows_of_one_id_apart(spark):
+    a, u = prose(41, 200), prose(42, 200)
+    near = " ".join([*a.split(" ")[:90], "edit", *a.split(" ")[91:]])
+    df = frame(spark, [(1, a), (1, u), (0, near), (1, a), (2, u), (None, u)])
+    got = Counter((r["doc_id"], r["class_id"], r["kept"], r["n_copies"]) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == Counter([(1, 0, False, 2), (1, 0, False, 2), (0, 0, True, 1), (1, 1, True, 2), (2, 1, False, 2), (None, None, True, 1)])
+    left = minhash_dedup.without_near_duplicates(df)
+    assert left.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(0, near), (1, u), (None, u)])
+
+
+def test_op5_very_long_texts(spark):
+    a = prose(43, 60_000).split(" ")
+    b = list(a)
+    for k in range(0, len(b), 60):
+        b[k] = f"edit{k}"
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[:30_000])), (4, "la " * 50_000), (5, "la " * 49_000), (6, "la " * 30_000)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), max_size=20, unique=True), min_size=1, max_size=9))
+def test_common_members_of_all_pairs(sets):
+    got = minhash_dedup.in_common([np.array(s, dtype=np.uint64) for s in sets])
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert got[i, j] == len(set(sets[i]) & set(sets[j]))
+
+
+def long_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=60), st.lists(st.integers(0, 40), max_size=60), st.lists(st.integers(0, 1), max_size=200))
+def test_alignment_by_chain_and_by_cells(a, b, c):
+    for x, y in ((a, b), (c[: len(c) // 2], c[len(c) // 2 :])):
+        x, y = np.array(x, dtype=np.uint64), np.array(y, dtype=np.uint64)
+        assert minhash_dedup.aligned(x, y, max(len(x), len(y), 1)) == long_common(x.tolist(), y.tolist())
 
 
 def test_op5_cases(spark):
@@ -226,15 +335,42 @@ def test_op6_equals_brute_force(spark, monkeypatch, block):
     assert np.mean([got[i]["component_id"] == c[i] for i in range(len(rows))]) > 0.95
 
 
-def test_op6_recall_at_the_threshold():
-    r = np.random.default_rng(0)
-    a = r.normal(size=(2000, 64))
+@pytest.mark.parametrize("dim, rows", [(64, 50_000), (64, 10**10), (16, 1000), (768, 10**6)])
+def test_op6_recall_at_the_threshold(dim, rows):
+    turns = embedding_dedup.turns_for(rows, dim)
+    tables = embedding_dedup.tables_for(dim, turns)
+    r = np.random.default_rng(11)  # other pairs than those that chose the tables
+    a = r.normal(size=(1000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     n = r.normal(size=a.shape)
     n -= (n * a).sum(1, keepdims=True) * a
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * n / np.linalg.norm(n, axis=1, keepdims=True)
-    x, y = (embedding_dedup.buckets(z).reshape(len(a), -1) for z in (a, b))
-    assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() > 0.99
+    x, y = (embedding_dedup.buckets(z, tables, turns).reshape(len(a), -1) for z in (a, b))
+    assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() > 0.98
+
+
+def test_op6_finds_links_planted_in_the_drivers_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label")
+    have = np.array([r["embedding"] for r in e.orderBy("vec_id").collect()])
+    r = np.random.default_rng(5)
+    base = have[:300] / np.linalg.norm(have[:300], axis=1, keepdims=True)
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    cosine = r.uniform(0.9, 1.0, size=(300, 1))  # about half of them links
+    new = (cosine * base + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)) * r.uniform(0.1, 30, size=(300, 1))
+    rows = np.concatenate([have, new.astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows.astype(float))], "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: x for x in embedding_dedup.near_vectors(df).collect()}
+    n, c = brute_vectors(rows)
+    assert n.sum() > 200 and sum(x["n_links"] for x in got.values()) >= 0.99 * n.sum()
+    assert all(got[i]["n_links"] <= n[i] for i in range(len(rows)))
+    assert np.mean([got[i]["component_id"] == c[i] for i in range(len(rows))]) > 0.995
+
+
+def test_op6_tells_rows_of_one_id_apart(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (0, [1.0, 0.01, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == Counter([(1, 2, 0, False), (1, 0, 1, True), (0, 2, 0, True), (2, 2, 0, False), (3, 0, 3, True)])
 
 
 def test_op6_cases(spark):

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 import zlib
 from array import array
@@ -117,6 +119,43 @@ def test_novelty_finds_keys_and_leaves_words():
     assert scan(f"{around} {key} {around}")[1] == []
 
 
+def test_novelty_by_measure_over_the_drivers_texts(spark, sf):
+    """Random keys of several alphabets, before and behind sensitive words, against invented words of the texts' own language in the same places."""
+    r, scan = random.Random(7), secret_scan.scanner()
+    docs = [row["text"] for row in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if len(row["text"] or "") > 400]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters + letters.upper() + "0123456789", letters.upper() + "0123456789", letters + letters.upper() + "0123456789+/", letters.upper()]
+    keys = caught = words = false = 0
+    for k, text in enumerate(docs):
+        before = {text[a:b] for a, b, kind in scan(text)[1] if kind == "novel"}
+        cut = text.index(" ", len(text) // 2)
+        key = "".join(r.choice(alphabets[k % 4]) for _ in range(r.choice([24, 32, 40])))
+        own = [w for w in re.findall("[a-z]+", text) if len(w) > 3]
+        word = ("".join(r.choices(own, k=8)) * 2)[: r.choice([18, 24])] if own else ""
+        for what, planted in ((key, True), (word, False)):
+            near = [f" access_key {what} ", f" {what} is the credential ", f" signature: '{what}' "][k % 3]
+            found = {x[a:b] for x in [text[:cut] + near + text[cut:]] for a, b, kind in scan(x)[1] if kind == "novel"} - before
+            if planted:
+                keys, caught = keys + 1, caught + (what in found)
+            elif what:
+                words, false = words + 1, false + (what in found)
+    assert keys > 100 and words > 100
+    assert caught / keys >= 0.95 and false / words <= 0.05
+    assert caught / (caught + false) >= 0.95
+
+
+def test_novelty_contexts_cases_and_identifiers():
+    scan = secret_scan.scanner()
+    key, around = "QWXZRTPLKJMNVBGHYTRDSAQZ", prose(6, 60)
+    novel = lambda text, scan=scan: [text[s:e] for s, e, k in scan(text)[1] if k == "novel"]
+    assert novel(f"{around} {key} was the session_id {around}") == [key]  # one case, and the word behind it
+    assert novel(f"{around} my_secret_{key} {around}") == [key]  # the word is not part of it
+    assert novel(f"{around} private {around[:100]} {key}") == []  # too far away
+    assert novel(f"{around} credential {key} {around}", secret_scan.scanner(identifiers=f"const {key} = 1")) == []
+    many = " ".join(f"token=abcdefgh{k}" for k in range(20_000)) + f" bearer {key}"
+    assert novel(many) == [key] and len(scan(many)[0]) == 20_000  # many base spans take no longer than their number
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r for r in secret_scan.redact_documents(frame(spark)).collect()}
     assert out[17]["text"] == '[SECRET]" [SECRET] [SECRET]' and out[17]["n_chars"] == len(out[17]["text"])
@@ -218,6 +257,26 @@ def test_packing_fits_and_is_close_to_the_bound(lengths):
         assert load.max() <= 4096 and load.min() > 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(821, 4000), st.integers(1, 30)), min_size=1, max_size=6, unique_by=lambda x: x[0]))
+def test_configurations_are_an_optimum_of_the_linear_programme(groups):
+    sizes, demand = [n for n, _ in groups], [k for _, k in groups]
+    found = packing.optimal_configurations(sizes, demand, 4096)
+    total = sum(x * c for c, x in found)
+    assert np.allclose(total, demand) and all(c @ np.array(sizes) <= 4096 for c, _ in found)
+    # what the optimum costs can't be beaten: prices under which every configuration costs 1 at most, and the demand as much
+    every = [np.bincount(c, minlength=len(sizes)) for k in range(1, 5) for c in itertools.combinations_with_replacement(range(len(sizes)), k) if sum(sizes[i] for i in c) <= 4096]
+    basis = [c for c, _ in found]
+    price = np.linalg.lstsq(np.array(basis, dtype=float), np.ones(len(basis)), rcond=None)[0]
+    if len(basis) == len(sizes):
+        assert max(c @ price for c in every) <= 1 + 1e-6 and np.isclose(price @ demand, sum(x for _, x in found))
+
+
+def test_op10_needs_few_sequences_more_than_its_tokens(spark):
+    got = queries.op10_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length").collect()
+    assert len({r["sequence_id"] for r in got}) <= 1.005 * sum(r["length"] for r in got) / 4096 + 1
+
+
 @pytest.mark.parametrize("low, high", [(1, 800), (1, 4096), (100, 2500)])
 def test_packing_of_many_is_tight(low, high):
     lengths = np.random.default_rng(1).integers(low, high, 20_000)
