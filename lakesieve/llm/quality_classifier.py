@@ -122,6 +122,27 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     raise RuntimeError("the calibration did not converge")
 
 
+#: Ridges that the calibration chooses from, by the loss on the folds left out of its own rows.
+RIDGES, FOLDS = (1e-2, 1e-3, 1e-4, 1e-5), 5
+
+
+def _chosen_ridge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The ridge with the least log loss in cross-validation over the rows given; a fold that would leave one class only is skipped."""
+    fold = np.empty(len(y), dtype=np.int64)
+    for k in (0, 1):  # each class is spread over the folds
+        fold[y == k] = np.arange((y == k).sum()) % FOLDS
+    losses = []
+    for ridge in RIDGES:
+        total = 0.0
+        for f in range(FOLDS):
+            seen, left = fold != f, fold == f
+            if len(np.unique(y[seen])) > 1 and left.any():
+                w = _fit(x[seen], y[seen], weight[seen], ridge)
+                total += float(weight[left] @ np.logaddexp(0, -(2 * y[left] - 1) * (x[left] @ w[:-1] + w[-1])))
+        losses.append(total)
+    return RIDGES[int(np.argmin(losses))]
+
+
 def _terms(features: np.ndarray) -> np.ndarray:
     """The features and their squares: a text's difference is largest in the middle between plain prose and pure junk."""
     return np.c_[features, features**2]
@@ -140,7 +161,8 @@ def calibrated(good: bytes, bad: bytes, features: dict[int, list[tuple[float, ..
     y = np.r_[np.zeros(n[0]), np.ones(n[1])]
     centre, scale = x.mean(0), x.std(0) + 1e-9
     each = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
-    w = _fit((x - centre) / scale, y, each * len(y) / each.sum())
+    z, weight = (x - centre) / scale, each * len(y) / each.sum()
+    w = _fit(z, y, weight, _chosen_ridge(z, y, weight))
     return Model(good, bad, tuple(w), tuple(centre), tuple(scale))
 
 
