@@ -31,12 +31,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    """Later repeats of three lines and more, and of one or two lines that hold over 50 words."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), words=line_dedup.WORDS).select("doc_id", "text", "n_lines", "n_removed")
 
 
-def op4_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also later repeats of one or two lines that hold over 50 words."""
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), words=line_dedup.WORDS).select("doc_id", "text", "n_lines", "n_removed")
+def op4_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later repeats of three lines and more only."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +66,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_quality_classifier, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op4_line_dedup_words, op5_minhash_dedup,
+        op1_quality_classifier, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op4_line_dedup_runs, op5_minhash_dedup,
         op6_embedding_dedup, op7_secret_scan, op8_bpe_codec, op9_quality_rules, op10_packing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op4_line_dedup_words": line_dedup.WORDS_ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_line_dedup": line_dedup.WORDS_ORACLE_SQL, "op4_line_dedup_runs": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
