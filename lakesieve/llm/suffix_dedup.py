@@ -259,7 +259,7 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     docs = project(df, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("key"), "text", word_hashes().alias("words"))
     size = F.size("words")
     narrow = docs.where(size >= window).select("doc_id", "key", size.alias("n_words"), F.length("text").alias("stop"))
-    copied = narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    copied = written(narrow.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # so that Spark can split the join's hot texts
     whole = narrow.join(copied, "key", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"), F.col("n_words").cast("int").alias("n_words"), F.lit(True).alias("whole"), part_of("key").alias("part"))
 
     kept = written(retained(docs, window, gram))
