@@ -128,7 +128,7 @@ def buckets(x: np.ndarray, tables: int, turns: int, probes: int = PROBES, seed:
 
 
 def _hashed(df: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
-    """From (id, v): id, codes (array<long>, tables * PROBES); all vectors are finite and not zero.  ``plan``: length -> (tables, turns).  Narrow."""
+    """From (id, v): id, codes (array<long>, tables * PROBES); all vectors are finite and not zero.  ``plan``: padded length -> (tables, turns).  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def _hashed(df: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
                 for dim in np.unique(sizes):
                     same = part.take(pa.array(np.flatnonzero(sizes == dim)))
                     x = same.column(1).flatten().to_numpy(zero_copy_only=False).reshape(same.num_rows, dim)
-                    codes = buckets(unit(x), *plan[int(dim)]).reshape(same.num_rows, -1)
+                    codes = buckets(unit(x), *plan[padded_size(int(dim))]).reshape(same.num_rows, -1)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(same.num_rows + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel()))
                     yield pa.RecordBatch.from_arrays([same.column(0), lists], names=["id", "codes"])
 
@@ -217,8 +217,12 @@ def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
     marked = rows.select("id", "good", "v", F.when(F.col("good"), F.xxhash64("v")).otherwise(F.xxhash64("id", F.lit(77))).alias("h1"), F.when(F.col("good"), F.xxhash64(F.lit(1), "v")).alias("h2"))
     nodes = marked.where("good").groupBy("h1", "h2").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
-    lengths = {int(r["n"]): int(r["rows"]) for r in nodes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).collect()}  # a row a length
-    plan = {n: (tables_for(n, turns, least), turns) for n, turns in ((n, turns_for(count, n)) for n, count in lengths.items())}
+    power = F.greatest(F.ceil(F.log2(F.size("v"))), F.lit(1)).cast("int")
+    sizes = {1 << int(r["p"]): int(r["rows"]) for r in nodes.groupBy(power.alias("p")).agg(F.count("*").alias("rows")).collect()}  # a row a power of two
+    plan = {}
+    for size, count in sizes.items():
+        turns = turns_for(count, size)
+        plan[size] = (max(tables_for(dim, turns, least) for dim in (size // 2 + 1, size)), turns)  # the shortest and the longest vectors that are padded to it
     hashed = checkpoint(_hashed(nodes, plan))
     codes = hashed.select("id", F.explode(F.array_distinct("codes")).alias("bucket"))
     sizes = codes.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id").cast("bigint")).alias("s")).where("size > 1")
