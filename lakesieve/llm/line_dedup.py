@@ -10,6 +10,9 @@ that overlap make up the whole run.
 A fingerprint of more than BLOCK places is dealt to blocks; the first place of each different window in a block meets
 those of the other blocks once more.
 
+Rows that repeat both id and text are one document: a task lets each through once, and where the copies that are left,
+one a task at most, meet at a fingerprint, all but the first fall out.
+
 With ``words``, windows of fewer lines that hold over so many words take part as well, each with its own fingerprint.
 """
 
@@ -34,6 +37,8 @@ RUN = 3
 WORDS = 50
 #: Places of one fingerprint that are compared in one task.
 BLOCK = 256
+#: Documents that a task remembers at a time, to let copies of a row through once.
+SEEN = 1 << 19
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -75,14 +80,20 @@ def anchors(df: DataFrame, run: int = RUN, words: int | None = None) -> DataFram
         return both[at, 0], at, n, back[order], size[order], side[order]
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         with np.errstate(over="ignore"):
             for whole in batches:
                 for begin in range(0, whole.num_rows, 256):
                     batch = whole.slice(begin, 256)
                     out: list[tuple] = []
-                    for r, text in enumerate(batch.column(2).to_pylist()):
+                    for r, (doc_id, key, text) in enumerate(zip(*[c.to_pylist() for c in batch.columns], strict=True)):
                         lines = [x.encode("utf-8", "replace") for x in solid_lines(text or "")]
                         if lines and (words is not None or len(lines) >= run):
+                            if (doc_id, key) in seen:
+                                continue
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add((doc_id, key))
                             fp, at, n, back, size, side = windows_of(lines)
                             out.append((np.full(len(at), r), fp.view(np.int64), at.astype(np.int32), n, back.astype(np.int32), size.astype(np.int32), side.view(np.int64)))
                     if not out:
@@ -104,6 +115,9 @@ def matches(places: DataFrame) -> DataFrame:
         if len(n) < 2 and t["blocks"][0] < 2:
             return None
         row = np.repeat(np.arange(len(n)), n)
+        new = np.r_[True, (t["place"][1:] != t["place"][:-1]) | (t["at"][1:] != t["at"][:-1])]
+        if not new.all():  # copies of a row are neighbours
+            row, back, lines, side = (x[new[row]] for x in (row, back, lines, side))
         order = np.lexsort((row, side, lines, back))  # rows are in the order of their places
         same = np.r_[False, (side[order][1:] == side[order][:-1]) & (lines[order][1:] == lines[order][:-1]) & (back[order][1:] == back[order][:-1])]
         later = np.sort(order[same])  # rising rows
@@ -127,9 +141,9 @@ def matches(places: DataFrame) -> DataFrame:
 def repeated_runs(df: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, key, runs (first and after the last of the solid lines that came earlier), for texts that have any."""
     selected = written(anchors(df, run, words))
-    again = selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    again = selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")  # also those of copies alone, which then match nothing
     again = written(again.select("fp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # so that Spark can split the join's hot fingerprints
-    places = selected.join(again, "fp").withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "at"), F.col("blocks")).cast("int"))
+    places = selected.join(again, "fp").withColumn("place", F.xxhash64("doc_id", "key", "at")).withColumn("salt", F.pmod("place", F.col("blocks")).cast("int"))
     found = written(matches(places))
     later = found.where("back < 0").select("doc_id", "key", "at", "until")
     place = Window.partitionBy("fp", "back", "lines", "side").orderBy("doc_id", "key", "at")  # one row a block
@@ -182,33 +196,36 @@ def line_dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col:
     return joined.select(*columns, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_removed").alias("n_removed"))
 
 
-ORACLE_SQL = r"""
-WITH lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-solid AS (SELECT doc_id, p, l, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM lines WHERE regexp_matches(l, '[^ \x09-\x0D]')),
-win AS (SELECT doc_id, i, string_agg(l, chr(10)) OVER w AS x, count(*) OVER w AS n FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM win WHERE n = 3) WHERE k > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.p FROM solid s JOIN later t ON s.doc_id = t.doc_id AND s.i BETWEEN t.i AND t.i + 2),
-kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_lines FROM solid GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+#: Documents are distinct pairs of id and text, numbered in the order that says which place is earlier.
+_LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text)) AS d FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+lines AS (SELECT d, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (SELECT d, string_split(text, chr(10)) AS ls FROM docs)),
+solid AS (SELECT d, p, l, len(regexp_extract_all(l, '[^ \x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY d ORDER BY p) AS i FROM lines WHERE regexp_matches(l, '[^ \x09-\x0D]')),
+"""
+_CUT_SQL = r"""
+later AS (SELECT d, i, k FROM (SELECT d, i, k, row_number() OVER (PARTITION BY k, x ORDER BY d, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT s.d, s.p FROM solid s JOIN later t ON s.d = t.d AND s.i BETWEEN t.i AND t.i + t.k - 1),
+kept AS (SELECT d, string_agg(l, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN gone USING (d, p) GROUP BY d),
+n AS (SELECT d, count(*) AS n_lines FROM solid GROUP BY d),
+g AS (SELECT d, count(*) AS n_removed FROM gone GROUP BY d),
+cut AS (SELECT docs.doc_id, docs.text AS old, coalesce(kept.text, '') AS text, n_lines, n_removed FROM docs LEFT JOIN kept USING (d) LEFT JOIN n USING (d) LEFT JOIN g USING (d))
+SELECT a.doc_id, cut.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents a LEFT JOIN cut ON a.doc_id IS NOT DISTINCT FROM cut.doc_id AND a.text = cut.old
 """
 
+ORACLE_SQL = (
+    _LINES_SQL
+    + r"""win AS (SELECT a.d, a.i, 3 AS k, a.l || chr(10) || b.l || chr(10) || c.l AS x FROM solid a JOIN solid b ON b.d = a.d AND b.i = a.i + 1 JOIN solid c ON c.d = a.d AND c.i = a.i + 2),"""
+    + _CUT_SQL
+)
+
 #: The same with WORDS: repeated windows of one and two lines of over 50 words go too.
-WORDS_ORACLE_SQL = r"""
-WITH lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-solid AS (SELECT doc_id, p, l, len(regexp_extract_all(l, '[^ \x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM lines WHERE regexp_matches(l, '[^ \x09-\x0D]')),
-win AS (
-  SELECT doc_id, i, 1 AS k, l AS x FROM solid WHERE w > 50
-  UNION ALL SELECT a.doc_id, a.i, 2, a.l || chr(10) || b.l FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 WHERE a.w + b.w > 50
-  UNION ALL SELECT a.doc_id, a.i, 3, a.l || chr(10) || b.l || chr(10) || c.l FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN solid c ON c.doc_id = a.doc_id AND c.i = a.i + 2
-),
-later AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, k, row_number() OVER (PARTITION BY k, x ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.p FROM solid s JOIN later t ON s.doc_id = t.doc_id AND s.i BETWEEN t.i AND t.i + t.k - 1),
-kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_lines FROM solid GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
-"""
+WORDS_ORACLE_SQL = (
+    _LINES_SQL
+    + r"""win AS (
+  SELECT d, i, 1 AS k, l AS x FROM solid WHERE w > 50
+  UNION ALL SELECT a.d, a.i, 2, a.l || chr(10) || b.l FROM solid a JOIN solid b ON b.d = a.d AND b.i = a.i + 1 WHERE a.w + b.w > 50
+  UNION ALL SELECT a.d, a.i, 3, a.l || chr(10) || b.l || chr(10) || c.l FROM solid a JOIN solid b ON b.d = a.d AND b.i = a.i + 1 JOIN solid c ON c.d = a.d AND c.i = a.i + 2
+),"""
+    + _CUT_SQL
+)

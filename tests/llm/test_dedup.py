@@ -2,6 +2,7 @@ import itertools
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -81,6 +82,32 @@ def test_op4_cases(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def repeated_rows():
+    """Rows that repeat id and text, of several lines, with and without an earlier copy under another id."""
+    six, other = "\n".join(lines(1, 6)), "\n".join(lines(2, 4))
+    long = " ".join(f"word{k}" for k in range(60)) + "."
+    return [
+        *[(1, six)] * 5, *[(2, six)] * 3, (3, other), (3, other), (4, other + "\n" + lines(3, 1)[0]), *[(5, f"{long}\n{long}")] * 2, (6, long), *[(None, six)] * 2, (7, "\n".join(["again"] * 7)), (7, "\n".join(["again"] * 7)),
+        (8, other), (8, six), (9, None), (9, None), (10, ""),
+    ]
+
+
+@pytest.mark.parametrize("words", [None, 50])
+@pytest.mark.parametrize("block,seen", [(256, 1 << 19), (2, 1)])
+def test_op4_rows_that_repeat_id_and_text_count_as_one_document(spark, tmp_path, monkeypatch, words, block, seen):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "SEEN", seen)
+    frame(spark, repeated_rows()).select("doc_id", "text").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = line_dedup.line_dedup(docs, words=words).select("doc_id", "text", "n_lines", "n_removed")
+    same(out, con, line_dedup.WORDS_ORACLE_SQL if words else line_dedup.ORACLE_SQL)
+    by = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in out.collect())
+    six = "\n".join(lines(1, 6))
+    assert by[None, six, 0] == 2 and by[1, "", 6] == 5 and by[2, "", 6] == 3 and by[3, "\n".join(lines(2, 4)), 0] == 2 and by[4, lines(3, 1)[0], 4] == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=3, max_size=30))
 def test_fingerprints_are_window_minima_by_content(values):
