@@ -1,13 +1,13 @@
 """Packing token pieces into sequences by linear grouping, few-size configurations and best fit.
 
 A document's ids end with one end id; only documents over the capacity are cut.  Pieces are dealt by a hash of
-their key to shards of about SHARD pieces, and each shard is packed on its own:
+their place in the table to shards of about SHARD pieces, and each shard is packed on its own:
 
 1. full pieces are sequences by themselves;
 2. large pieces, by falling length, form groups of equal cardinality, and each counts as long as its group's longest;
 3. with so few sizes, the linear programme over all configurations (multisets of sizes that fit) is solved by column
    generation: a knapsack over the sizes' prices finds the configuration that improves the solution most, until none
-   does.  Each configuration is taken the whole number of times in the optimum; what the fractions leave, fewer pieces
+   does, or PIVOTS have been tried, which is told in a warning (the packing is valid then too, only less tight).  Each configuration is taken the whole number of times in the optimum; what the fractions leave, fewer pieces
    than a configuration for each size, goes by the largest size left and the fullest configuration with it;
 4. actual pieces replace the sizes, which leaves more room;
 5. small pieces, by falling length, go where the room left is least.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import warnings
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -192,6 +193,8 @@ def optimal_configurations(sizes: list[int], demand: list[int], capacity: int) -
         inverse -= np.outer(move, row)
         inverse[leave] = row
         basis[leave], often = enter, inverse @ need
+    else:
+        warnings.warn(f"the linear programme over {m} sizes stopped after {PIVOTS} pivots", RuntimeWarning, stacklevel=2)
     return [(c.astype(np.int64), float(x)) for c, x in zip(basis, often, strict=True) if x > 0]
 
 
@@ -276,8 +279,8 @@ def pack_grouped(lengths: np.ndarray, capacity: int, groups: int) -> np.ndarray:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset added; offsets are gapless from 0.
 
-    Counts the pieces once to choose the number of shards.  A shard holds about ``shard`` rows whatever the number
-    of documents and whatever doc_id repeats, as the key is salted with the whole row.
+    Counts the pieces once to choose the number of shards.  A shard holds about ``shard`` rows whatever rows repeat, as
+    they are dealt by their places, which a checkpointed or written table keeps.
     """
     n = max(1, -(-pieces.count() // shard))
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
@@ -295,7 +298,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD)
         offset[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
         return rows.assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
-    salted = pieces.withColumn("_shard", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(n)))
+    salted = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
     return salted.groupBy("_shard").applyInPandas(one, schema)
 
 

@@ -311,3 +311,10 @@ def test_packed_sequences_hold_all_ids(spark):
     got = [r["ids"] for r in packing.packed_sequences(frame(spark, rows), WORDS).collect()]
     assert all(len(x) <= 4096 for x in got)
     assert Counter(i for x in got for i in x) == Counter(i for _, t in rows for i in [*library.encode(t, add_special_tokens=False).ids, 1])
+
+
+def test_op10_deals_equal_pieces_to_all_shards(spark):
+    pieces = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "CAST(1 AS BIGINT) AS length")
+    out = packing.pack_pieces(packing.checkpoint(pieces), 4, shard=1000)
+    shards = Counter(r["sequence_id"] >> 32 for r in out.collect())
+    assert len(shards) == 3 and max(shards.values()) < 1200
