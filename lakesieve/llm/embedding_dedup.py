@@ -74,7 +74,7 @@ def planted(dim: int, cosine: float, n: int = 1000) -> tuple[np.ndarray, np.ndar
 
 
 def tables_for(dim: int, turns: int, least: float = LEAST, recall: float = RECALL, most: int = 64) -> int:
-    """Tables that find ``recall`` of pairs planted at the threshold."""
+    """Tables that find ``recall`` of pairs planted at the threshold; an error if ``most`` don't, as for thresholds far below 0.9."""
     if dim < 2 or least >= 1:
         return 1
     a, b = planted(dim, least)
@@ -84,7 +84,7 @@ def tables_for(dim: int, turns: int, least: float = LEAST, recall: float = RECAL
         missed &= ~(x[:, :, None] == y[:, None, :]).any((1, 2))
         if missed.mean() <= 1 - recall:
             return t + 1
-    return most
+    raise ValueError(f"{most} tables find {1 - missed.mean():.4f} of the pairs at cosine {least} in {dim} dimensions, not {recall}; raise the threshold, or lower the recall that is asked for")
 
 
 def buckets(x: np.ndarray, tables: int, turns: int, probes: int = PROBES, seed: int = 7, first: int = 0) -> np.ndarray:
