@@ -114,7 +114,13 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return step.withColumn("kept", ~F.col("base_failed") & (F.col("kept_percent") >= LEAST_KEPT)).drop("line_chars", "bad_chars")
 
 
-DIGEST = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "kept_percent", "base_failed", "kept")
+DIGEST = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "kept_percent", "base_failed", "kept", "clean_chars", "clean_sha256")
+
+
+def digest(rules: DataFrame) -> DataFrame:
+    """DIGEST: the verdicts, and the cleaned text's length and SHA-256."""
+    return rules.withColumn("clean_chars", F.length("clean_text").cast("bigint")).withColumn("clean_sha256", F.sha2(F.col("clean_text").cast("binary"), 256)).select(*DIGEST)
+
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -124,19 +130,19 @@ win AS (SELECT r, i, string_agg(w, chr(1)) OVER (PARTITION BY r ORDER BY i ROWS
 rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win WHERE n = 8),
 rp AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM rep WHERE c > 1),
 rw AS (SELECT r, sum(least(8, coalesce(j - i, 8))) AS n_repeat_words FROM rp GROUP BY r),
-lines AS (SELECT r, l, length(l) AS chars, length(replace(l, ' ', '')) AS n,
+lines AS (SELECT r, p, l, length(l) AS chars, length(replace(l, ' ', '')) AS n,
   length(l) - length(regexp_replace(l, '[#*$%&|<>{}\[\]~^_=+\\]', '', 'g')) AS sy, length(l) - length(regexp_replace(l, '[!?]', '', 'g')) AS ma, length(l) - length(regexp_replace(l, '[|»›>•·]', '', 'g')) AS bars
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+  FROM (SELECT r, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 judged AS (SELECT *, (sy * 100 > n * 10 OR ma * 100 > n * 10 OR bars >= 3 OR n < 60 AND NOT regexp_matches(l, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*\z')
   OR len(list_filter([PHRASES], lambda p: contains(lower(l), p))) > 0) AS bad FROM lines),
-lc AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_bad_lines, sum(chars) AS chars, coalesce(sum(chars) FILTER (WHERE bad), 0) AS bad_chars FROM judged GROUP BY r),
+lc AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_bad_lines, sum(chars) AS chars, coalesce(sum(chars) FILTER (WHERE bad), 0) AS bad_chars, string_agg(l, chr(10) ORDER BY p) FILTER (WHERE NOT bad) AS clean FROM judged GROUP BY r),
 j AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad_lines, 0) AS n_bad_lines,
-  CASE WHEN chars > 0 THEN floor(100 * (chars - bad_chars) / chars) ELSE 0 END AS kept_percent
+  CASE WHEN chars > 0 THEN floor(100 * (chars - bad_chars) / chars) ELSE 0 END AS kept_percent, coalesce(clean, '') AS clean
   FROM d LEFT JOIN wc USING (r) LEFT JOIN rw USING (r) LEFT JOIN lc USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_lines::BIGINT AS n_lines, n_bad_lines::BIGINT AS n_bad_lines, kept_percent::BIGINT AS kept_percent,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_percent >= 60) AS kept
+  (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_percent >= 60) AS kept, length(clean)::BIGINT AS clean_chars, sha256(clean) AS clean_sha256
 FROM j
 """.replace("PHRASES", ", ".join("'" + p.replace("'", "''") + "'" for p in BOILERPLATE))
