@@ -32,12 +32,18 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """The address of a folder in the shared one that nobody has used; ``discard`` deletes it with the tables."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Written to the shared folder as Parquet and read again: smaller than a checkpoint where neighbouring rows repeat values, and later reads take only the columns they use."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
