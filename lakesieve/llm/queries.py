@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from . import (
+    bpe_codec, embedding_dedup, hard_negatives, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, record_files, secret_scan, source_divergence, suffix_dedup, token_counts,
+)
 from .common import table
 
 
@@ -64,13 +67,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files stay in the shared folder, next to the intermediate tables."""
+    return record_files.record_digests(record_files.write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op4_line_dedup_runs, op5_minhash_dedup,
-        op6_embedding_dedup, op7_secret_scan, op8_bpe_codec, op9_quality_rules, op10_packing,
+        op6_embedding_dedup, op7_secret_scan, op8_bpe_codec, op9_quality_rules, op10_packing, op11_hard_negatives, op12_record_files, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.WORDS_ORACLE_SQL, "op4_line_dedup_runs": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op4_line_dedup": line_dedup.WORDS_ORACLE_SQL, "op4_line_dedup_runs": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL,
+    }
