@@ -250,11 +250,15 @@ def write_records(df: DataFrame, path: str, end_id: int, folder: str | None = No
                     raw, stops = np.frombuffer(b"".join(own), dtype="<u4").astype(f"<u{width}").tobytes(), np.r_[0, np.cumsum(counts)] * width
                     names = batch.column(0).to_pylist()
                     records = frames([serialised(names[k], raw[stops[k] : stops[k + 1]], width) for k in range(len(names))])
-                    writer = writer or _Writer(store, base, part, len(rows))
-                    writer.add(records, counts)
-                    if writer.row[4] >= FILE_BYTES:
-                        rows.append(writer.done())
-                        writer = None
+                    at, ends = 0, np.cumsum([len(r) for r in records])
+                    while at < len(records):
+                        writer = writer or _Writer(store, base, part, len(rows))
+                        stop = 1 + int(np.searchsorted(ends, FILE_BYTES - writer.row[4] + (ends[at - 1] if at else 0)))
+                        writer.add(records[at:stop], counts[at:stop])
+                        at = stop
+                        if writer.row[4] >= FILE_BYTES:
+                            rows.append(writer.done())
+                            writer = None
             if writer is not None:
                 rows.append(writer.done())
         except BaseException:

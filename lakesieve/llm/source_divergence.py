@@ -5,7 +5,7 @@ of bytes of its path that it shares with the leaf before it, the bytes that foll
 for each source that has the term.  Tries of one language merge leaf by leaf, and are cut at any path.
 
 1. Each task counts its documents' terms in tries, and puts them out in pieces of consecutive leaves (narrow).
-2. Paths that part the pieces' leaves into even ranges are chosen by a bounded sample of the pieces; pieces that reach
+2. Paths that part the pieces' leaves into even ranges are chosen by a bounded sample of leaves; pieces that reach
    over such a path are cut there, and the pieces of a range meet and merge as they stream in.  A frequent term costs
    its range one leaf for each task, however often it occurs.
 3. Of the merged leaves those in enough documents stay, again in pieces; a row a source sums them up.
@@ -18,6 +18,7 @@ A task holds a bounded number of leaves, the leaves of one range, or the sums of
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ from .common import project, written
 TEXT_BYTES = 8 << 20
 #: Leaves that a counting task holds, and leaves of a piece.
 LEAVES, PIECE = 1 << 20, 4096
-#: Bytes of pieces that a range holds, about; ranges at most; pieces of the sample for each of them.
+#: Marks of a full piece: leaves that stand for those around them where paths are chosen.
+MARKS = 8
+#: Bytes of pieces that a range holds, about; ranges at most; marks of the sample for each of them.
 RANGE_BYTES, RANGES, DRAWN = 16 << 20, 50_000, 20
 #: Sources of a block, whose sums with another block a task holds.
 SOURCES = 1024
@@ -199,13 +202,20 @@ class _Growing:
         return out
 
 
-def _pieces(trie: Tries, langs: list[str], sources: list[str]) -> Iterator[tuple]:
-    """(lang, first, sources, leaves) of consecutive leaves of one language."""
+def _pieces(trie: Tries, langs: list[str], sources: list[str], marked: bool = False) -> Iterator[tuple]:
+    """(lang, first, sources, leaves, and if asked for marks) of consecutive leaves of one language."""
     bounds = np.flatnonzero(np.r_[True, trie.lang[1:] != trie.lang[:-1], True]) if len(trie) else np.empty(0, dtype=np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         for start in range(a, b, PIECE):
             part = trie.part(start, min(start + PIECE, b))
-            yield (langs[int(trie.lang[a])], part.term[0].as_py(), *flattened(part, sources))
+            yield (langs[int(trie.lang[a])], part.term[0].as_py(), *flattened(part, sources), *([_marks(part)] if marked else []))
+
+
+def _marks(trie: Tries) -> list[bytes]:
+    """Some leaves of a piece, MARKS of a full one, evenly apart from a place that the leaves decide."""
+    k = 1 + MARKS * len(trie) // PIECE
+    begin = zlib.crc32(trie.term[-1].as_py()) / 2**32
+    return trie.term.take(pa.array(((np.arange(k) + begin) * len(trie) / k).astype(np.int64))).to_pylist()
 
 
 _PIECE = pa.schema([("lang", pa.string()), ("first", pa.binary()), ("sources", pa.list_(pa.string())), ("leaves", pa.binary())])
@@ -223,7 +233,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 64) -> Iterat
 
 
 def term_tries(docs: DataFrame) -> DataFrame:
-    """Pieces of the tries of (lang, source, text): lang, first, sources, leaves.  Narrow."""
+    """Pieces of the tries of (lang, source, text): lang, first, sources, leaves, marks (some of the leaves' terms).  Narrow."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         langs, sources, held = _Codes(), _Codes(), _Growing()
@@ -239,24 +249,23 @@ def term_tries(docs: DataFrame) -> DataFrame:
                 held.add(part)
                 start = stop
                 if len(held) > LEAVES:
-                    yield from _pieces(held.take(), list(langs), list(sources))
+                    yield from _pieces(held.take(), list(langs), list(sources), marked=True)
         if len(held):
-            yield from _pieces(held.take(), list(langs), list(sources))
+            yield from _pieces(held.take(), list(langs), list(sources), marked=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(batches), _PIECE)
+        yield from _batches(rows(batches), _PIECE.append(pa.field("marks", pa.list_(pa.binary()))))
 
-    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, first binary, sources array<string>, leaves binary")
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, first binary, sources array<string>, leaves binary, marks array<binary>")
 
 
 def _paths(pieces: DataFrame) -> list[tuple[str, bytes]]:
-    """(lang, path) at which ranges begin, but for the first; from a sample of the pieces whose size is bounded by RANGES * DRAWN."""
-    n, size = pieces.agg(F.count("*"), F.coalesce(F.sum(F.length("leaves")), F.lit(0))).first()
-    ranges = min(RANGES, max(-(-size // RANGE_BYTES), min(2 * pieces.sparkSession.sparkContext.defaultParallelism, n)), 1 + n // 2)
-    if ranges < 2:
-        return []
+    """(lang, path) at which ranges begin, but for the first; from a sample of the pieces' marks whose size is bounded by RANGES * DRAWN."""
+    n, size = pieces.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0)), F.coalesce(F.sum(F.length("leaves")), F.lit(0))).first()
+    ranges = min(RANGES, max(-(-size // RANGE_BYTES), 2 * pieces.sparkSession.sparkContext.defaultParallelism), 1 + n // 2)
     every = max(1, n // (ranges * DRAWN))
-    drawn = sorted((r["lang"].encode(), bytes(r["first"])) for r in pieces.where(F.pmod(F.xxhash64("lang", "first", F.length("leaves")), F.lit(every)) == 0).select("lang", "first").limit(2 * RANGES * DRAWN).collect())
+    marks = pieces.select("lang", F.posexplode("marks").alias("k", "mark"), F.crc32("leaves").alias("of")).where(F.pmod(F.xxhash64("lang", "k", "mark", "of"), F.lit(every)) == 0)
+    drawn = sorted((r["lang"].encode(), bytes(r["mark"])) for r in marks.select("lang", "mark").limit(2 * RANGES * DRAWN).collect())
     chosen = {drawn[k * len(drawn) // ranges] for k in range(1, ranges)} if drawn else set()
     return [(lang.decode(), path) for lang, path in sorted(chosen)]
 
@@ -316,7 +325,7 @@ def merged_tries(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
         yield from _batches(rows(), out_schema)
 
-    dealt = pieces.mapInArrow(cut, "range int, lang string, first binary, sources array<string>, leaves binary")
+    dealt = pieces.select(*_PIECE.names).mapInArrow(cut, "range int, lang string, first binary, sources array<string>, leaves binary")
     # pieces of several languages at a time come in the order of their paths, so equal leaves follow each other closely
     return dealt.repartition(len(paths) + 1, "range").sortWithinPartitions("range", "lang", "first").mapInArrow(merge, schema)
 
@@ -370,9 +379,11 @@ def _scored(pieces: DataFrame, groups: dict[str, tuple[list[str], np.ndarray, in
             value = (own - q) * (own - q) // q
             fits = (own > q) & (value >= self.mark[source])
             leaf, source, value = leaf[fits], source[fits], value[fits]
+            if not len(leaf):
+                return
             order = np.lexsort((leaf, -value, source))
             leaf, source, value = leaf[order], source[order], value[order]
-            first = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]) if len(source) else []
+            first = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
             for a, b in zip(first, [*first[1:], len(source)], strict=True):
                 few = slice(a, min(b, a + TOLD))
                 more = list(zip((-value[few]).tolist(), trie.term.take(pa.array(leaf[few])).to_pylist(), strict=True))
