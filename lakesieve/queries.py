@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions import vectors
-from .operators import assemble, blocklist, evals, linalg, report, rows, tokens
+from .operators import assemble, blocklist, evals, joins, linalg, report, rows, tokens
 from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
 from .sources import readers
@@ -560,6 +560,48 @@ def shown_records(spark, sf_dir):
     return readers.union_all([readers.first_records(c, 10_000_000, 3), c.where("role = 'user'")])
 
 
+#: Orders as if placed in the month of the events, with a time of their own, and held open for as many minutes as they cost hundreds.
+_PLACED = "o AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS placed, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000 + (o_totalprice // 100)::BIGINT * 60) AS closed, o_totalprice FROM orders)"
+
+
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = (F.col("o_orderkey") * 7919) % 2592000
+    at = lambda s: F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + s)
+    minutes = F.floor(F.col("o_totalprice") / 100).cast("bigint")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), at(seconds).alias("placed"), at(seconds + minutes * 60).alias("closed"), "o_totalprice")
+
+
+@query(f"WITH {_PLACED}, j AS (SELECT e.event_id, o.o_orderkey, o.o_totalprice, row_number() OVER (PARTITION BY e.event_id ORDER BY o.placed DESC, o.o_orderkey DESC) AS r FROM events e LEFT JOIN o ON o.user_id = e.user_id AND o.placed <= e.ts) SELECT event_id, o_orderkey, o_totalprice FROM j WHERE r = 1")
+def events_last_order(spark, sf_dir):
+    """Each event with the last order of its user before it."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return joins.asof_join(e, placed_orders(spark, sf_dir), ["user_id"], "ts", "placed", tie=["o_orderkey"]).select("event_id", "o_orderkey", "o_totalprice")
+
+
+@query("WITH c AS (SELECT event_id AS click_id, user_id, ts AS clicked FROM events WHERE event_type = 'click'), j AS (SELECT e.event_id, c.click_id, row_number() OVER (PARTITION BY e.event_id ORDER BY c.clicked, c.click_id DESC) AS r FROM events e JOIN c ON c.user_id = e.user_id AND c.clicked > e.ts AND epoch_us(c.clicked) - epoch_us(e.ts) <= 86400000000 WHERE e.event_type = 'view') SELECT e.event_id, j.click_id FROM events e LEFT JOIN j ON j.event_id = e.event_id AND j.r = 1 WHERE e.event_type = 'view'")
+def views_next_click(spark, sf_dir):
+    """Each view with the first later click of its user, if that is within a day."""
+    e = table(spark, sf_dir, "events")
+    clicks = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("clicked"))
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return joins.asof_join(views, clicks, ["user_id"], "ts", "clicked", "forward", exact=False, tolerance=86_400_000_000, tie=["click_id"]).select("event_id", "click_id")
+
+
+@query(f"WITH {_PLACED} SELECT e.event_id, o.o_orderkey FROM events e LEFT JOIN o ON o.user_id = e.user_id AND o.placed <= e.ts AND e.ts < o.closed")
+def events_in_orders(spark, sf_dir):
+    """Each event with the orders of its user that are open then."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return joins.interval_join(e, placed_orders(spark, sf_dir), ["user_id"], "ts", "placed", "closed", "left").select("event_id", "o_orderkey")
+
+
+@query(f"WITH {_PLACED} SELECT a.o_orderkey AS first_key, b.o_orderkey AS second_key FROM o a JOIN o b ON a.user_id = b.user_id AND a.o_orderkey < b.o_orderkey AND a.placed < b.closed AND b.placed < a.closed AND a.placed < a.closed AND b.placed < b.closed")
+def overlapping_orders(spark, sf_dir):
+    """Pairs of a user's orders that are open at the same time."""
+    a = placed_orders(spark, sf_dir).select("user_id", F.col("o_orderkey").alias("first_key"), F.col("placed").alias("p1"), F.col("closed").alias("c1"))
+    b = placed_orders(spark, sf_dir).select("user_id", F.col("o_orderkey").alias("second_key"), F.col("placed").alias("p2"), F.col("closed").alias("c2"))
+    return joins.overlap_join(a, b, ["user_id"], ("p1", "c1"), ("p2", "c2")).where("first_key < second_key").select("first_key", "second_key")
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}
