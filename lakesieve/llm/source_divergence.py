@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import project, written
 
 #: Bytes of text that are counted at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Leaves that a counting task holds, and leaves of a piece.
-LEAVES, PIECE = 1 << 20, 4096
+LEAVES, PIECE = 1 << 19, 4096
 #: Marks of a full piece: leaves that stand for those around them where paths are chosen.
 MARKS = 8
 #: Bytes of pieces that a range holds, about; ranges at most; marks of the sample for each of them.
-RANGE_BYTES, RANGES, DRAWN = 16 << 20, 50_000, 20
+RANGE_BYTES, RANGES, DRAWN = 4 << 20, 50_000, 20
 #: Sources of a block, whose sums with another block a task holds.
 SOURCES = 1024
 #: Groups of language and source at most: their pairs alone are a table of the square of their number.
@@ -147,6 +147,13 @@ def unflattened(blob: bytes, lang: int, codes: np.ndarray) -> Tries:
     return Tries(np.full(n, lang, dtype=np.int64), pa.array(term, pa.binary()), docs.astype(np.int64), np.repeat(np.arange(n), width), codes[code], count.astype(np.int64))
 
 
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 16) -> Iterator[tuple]:
+    """Rows of large values, few in memory at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, most):
+            yield from zip(*[c.to_pylist() for c in whole.slice(start, most).columns], strict=True)
+
+
 class _Codes(dict):
     """name -> code, given out as names come."""
 
@@ -221,7 +228,7 @@ def _marks(trie: Tries) -> list[bytes]:
 _PIECE = pa.schema([("lang", pa.string()), ("first", pa.binary()), ("sources", pa.list_(pa.string())), ("leaves", pa.binary())])
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 16) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for row in rows:
         out.append(row)
@@ -276,21 +283,20 @@ def merged_tries(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for lang, first, sources, leaves in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    name = lang.encode()
-                    low = bisect.bisect_right(paths, (name, first))
-                    if low == len(paths) or paths[low][0] != name:  # nothing parts it
-                        yield low, lang, first, sources, leaves
-                        continue
-                    trie = unflattened(leaves, 0, np.arange(len(sources)))
-                    term = trie.term.to_pylist()
-                    start = 0
-                    while start < len(term):
-                        stop = bisect.bisect_left(term, paths[low][1], start) if low < len(paths) and paths[low][0] == name else len(term)
-                        if stop > start:
-                            yield (low, lang, term[start], *flattened(trie.part(start, stop), sources)) if stop - start < len(term) else (low, lang, first, sources, leaves)
-                        start, low = stop, low + 1
+            for lang, first, sources, leaves in _rows(batches):
+                name = lang.encode()
+                low = bisect.bisect_right(paths, (name, first))
+                if low == len(paths) or paths[low][0] != name:  # nothing parts it
+                    yield low, lang, first, sources, leaves
+                    continue
+                trie = unflattened(leaves, 0, np.arange(len(sources)))
+                term = trie.term.to_pylist()
+                start = 0
+                while start < len(term):
+                    stop = bisect.bisect_left(term, paths[low][1], start) if low < len(paths) and paths[low][0] == name else len(term)
+                    if stop > start:
+                        yield (low, lang, term[start], *flattened(trie.part(start, stop), sources)) if stop - start < len(term) else (low, lang, first, sources, leaves)
+                    start, low = stop, low + 1
 
         yield from _batches(rows(), pa.schema([("range", pa.int32()), *_PIECE]))
 
@@ -313,13 +319,12 @@ def merged_tries(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             now, held, langs, sources = None, _Growing(), _Codes(), _Codes()
-            for batch in batches:
-                for at, lang, _, names, leaves in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if at != now and len(held):
-                        yield from done(held, langs, sources)
-                    if at != now:
-                        now, held, langs, sources = at, _Growing(), _Codes(), _Codes()
-                    held.add(unflattened(leaves, langs[lang], sources.of(names)))
+            for at, lang, _, names, leaves in _rows(batches):
+                if at != now and len(held):
+                    yield from done(held, langs, sources)
+                if at != now:
+                    now, held, langs, sources = at, _Growing(), _Codes(), _Codes()
+                held.add(unflattened(leaves, langs[lang], sources.of(names)))
             if len(held):
                 yield from done(held, langs, sources)
 
@@ -404,13 +409,12 @@ def _scored(pieces: DataFrame, groups: dict[str, tuple[list[str], np.ndarray, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             block = None
-            for batch in batches:
-                for lang, i, j, names, leaves in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if block is None or (block.lang, block.i, block.j) != (lang, i, j):
-                        if block is not None:
-                            yield from block.done()
-                        block = Block(lang, i, j)
-                    block.add(unflattened(leaves, 0, np.array([block.code[x] for x in names], dtype=np.int64)))
+            for lang, i, j, names, leaves in _rows(batches):
+                if block is None or (block.lang, block.i, block.j) != (lang, i, j):
+                    if block is not None:
+                        yield from block.done()
+                    block = Block(lang, i, j)
+                block.add(unflattened(leaves, 0, np.array([block.code[x] for x in names], dtype=np.int64)))
             if block is not None:
                 yield from block.done()
 
