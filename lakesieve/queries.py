@@ -15,6 +15,7 @@ from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
 from .sources import readers
 from .sources.shared import written
+from .streaming import events as event_streams
 
 #: A benign blocklist: keyword, pos_ratio, is_relevant.
 BLOCKLIST = [
@@ -602,6 +603,58 @@ def overlapping_orders(spark, sf_dir):
     return joins.overlap_join(a, b, ["user_id"], ("p1", "c1"), ("p2", "c2")).where("first_key < second_key").select("first_key", "second_key")
 
 
+#: Events come in eight batches in the order of their ids, but every 50th at the very end, after two batches with the last event.
+_ARRIVAL = "CASE WHEN event_id % 50 = 0 AND event_id < n THEN 11 WHEN event_id = n THEN 8 ELSE event_id * 8 // (n + 1) END"
+_LATE = f"t AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, {_ARRIVAL} AS batch FROM events, (SELECT max(event_id) AS n FROM events)), m AS (SELECT max(us) // 1000 * 1000 - 86400000000 AS mark FROM t WHERE batch < 11)"
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    n = e.agg(F.max("event_id")).first()[0] or 0
+    batch = F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") < n), 11).when(F.col("event_id") == n, 8).otherwise(F.floor(F.col("event_id") * 8 / (n + 1)))
+    last = e.where(F.col("event_id") == n).select("event_id", "user_id", F.lit(None).cast("string").alias("event_type"), "ts")
+    more = [last.withColumn("arrival", F.lit(k)) for k in (9, 10)]  # of no type: they only bring the time forward
+    return event_streams.arrivals(readers.union_all([e.withColumn("arrival", batch.cast("int")), *more]), F.col("arrival"))
+
+
+@query(f"""WITH {_LATE}, w AS (SELECT event_type, batch, us, unnest([us // 21600000000 * 21600000000 - k * 21600000000 for k in [0, 1, 2, 3]]) AS start_us FROM t)
+SELECT start_us, event_type, count(*) FILTER (WHERE batch < 11 OR start_us + 86400000000 > mark) AS n, count(*) FILTER (WHERE batch = 11 AND start_us + 86400000000 <= mark) AS n_late FROM w, m GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    """Windows of a day every six hours, by type, over a stream whose last batch is late for most of them."""
+    output, checkpoint = event_streams.run_folder(spark)
+    event_streams.stream_windows(arriving_events(spark, sf_dir), output, checkpoint, "ts", "1 day", "6 hours", "1 day", ["event_type"])
+    found = event_streams.current_windows(spark, output, ["event_type"]).where("event_type IS NOT NULL")
+    return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n", "n_late")
+
+
+@query(f"""WITH {_LATE}, o AS (SELECT user_id, us FROM t, m WHERE batch < 11 OR us + 21600000000 > mark),
+g AS (SELECT user_id, us, sum(coalesce(us - before > 21600000000, false)::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, us, lag(us) OVER (PARTITION BY user_id ORDER BY us) AS before FROM o)),
+s AS (SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM g GROUP BY user_id, k)
+SELECT user_id, start_us, end_us, n FROM s, m WHERE end_us <= mark""")
+def event_sessions(spark, sf_dir):
+    """The users' sessions that are over, by gaps of six hours; events that come too late for a session are in none."""
+    output, checkpoint = event_streams.run_folder(spark)
+    events = arriving_events(spark, sf_dir).where("event_type IS NOT NULL")
+    event_streams.stream_sessions(events, output, checkpoint, "ts", "6 hours", "1 day", ["user_id"])
+    found = spark.read.schema("start timestamp, end timestamp, user_id long, n long").parquet(output)
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(f"""WITH t AS (SELECT source, doc_id, doc_id % 3 AS shard, unnest(list_concat(['<eos>'], {_WORDS})) AS t, unnest(range(0, len({_WORDS}) + 1)) AS k FROM documents),
+o AS (SELECT source, shard, t, row_number() OVER (PARTITION BY source, shard ORDER BY doc_id, k) - 1 AS i FROM t),
+p AS (SELECT source, shard, i // 512 AS seq_id, string_agg(t, ' ' ORDER BY i) AS tokens, count(*) AS n FROM o GROUP BY ALL)
+SELECT source, shard, seq_id, md5(tokens) AS tokens_md5 FROM p WHERE n = 512""")
+def source_sequences(spark, sf_dir):
+    """Sequences of each source, packed from a stream of documents by one buffer for each source and shard."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", (F.col("doc_id") % 3).alias("shard"))
+    n = docs.agg(F.max("doc_id")).first()[0] or 0
+    output, checkpoint = event_streams.run_folder(spark)
+    event_streams.stream_pack_by(event_streams.arrivals(docs, F.floor(F.col("doc_id") * 4 / (n + 1))), ["source", "shard"], output, checkpoint, 512, ["doc_id"])
+    packed = spark.read.schema("source string, shard long, seq_id long, input_ids array<string>").parquet(output)
+    return packed.select("source", "shard", "seq_id", F.md5(F.array_join("input_ids", " ").cast("binary")).alias("tokens_md5"))
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}
