@@ -32,9 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..sources.shared import new_folder
-from .bpe import RARE
 from .common import project, written
-from .packing import WordIds
+from .packing import word_ids
 
 #: A file ends with the record that reaches this.
 FILE_BYTES = 256 << 20
@@ -138,48 +137,6 @@ def parsed(payload: bytes) -> tuple[str | None, np.ndarray]:
     return None if n < 0 else payload[5:at].decode(), np.frombuffer(payload, dtype=f"<u{width}", offset=at)
 
 
-class ChunkIds(WordIds):
-    """WordIds that remembers what stands between white space as a whole, punctuation and all, so that known text isn't searched for words."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.chunks: dict[str, bytes] = {}
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        parts = [None if RARE.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        every = set().union(*filter(None, parts))
-        if len(self.chunks) > self.MOST:
-            self.chunks = {}
-        new = list(every.difference(self.chunks))
-        words = [self.WORDS.findall(c) for c in new]
-        ids = dict(zip(fresh := list(set().union(*words)), self._each(fresh), strict=True))
-        self.chunks |= {c: b"".join([ids[w] for w in own]) for c, own in zip(new, words, strict=True)}
-        out = [self._ids(t) if p is None else b"".join(map(self.chunks.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-        for c in new:
-            if len(c) > 64:
-                del self.chunks[c]
-        return out
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of words, those that were met before from memory."""
-        missing = [w for w in words if w not in self.known]
-        found = self._learn(missing) if missing else {}
-        out = [found[w] if w in found else self.known[w] for w in words]
-        if len(self.known) + len(found) > self.MOST:
-            self.known = {}
-        self.known |= {w: i for w, i in found.items() if len(w) <= 64}
-        return out
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkIds:
-    """Once a Python worker."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkIds(path)
-
-
 def _store(folder: str):
     """The file system of a folder (a path, or an address that pyarrow knows) and the folder's path there."""
     from pyarrow import fs
@@ -242,7 +199,7 @@ def write_records(df: DataFrame, path: str, end_id: int, folder: str | None = No
                 for start in range(0, whole.num_rows, TEXTS):
                     batch = whole.slice(start, TEXTS)
                     if encoder is None:
-                        encoder, (store, base) = _encoder(path), _store(folder)
+                        encoder, (store, base) = word_ids(path), _store(folder)
                         store.create_dir(base, recursive=True)
                     width = 2 if len(encoder.ends) <= 1 << 16 and end_id < 1 << 16 else 4
                     own = [x + end for x in encoder.many([t or "" for t in batch.column(1).to_pylist()])]

@@ -192,25 +192,6 @@ def test_checksums_and_frames(messages):
     assert record_files.checksums([b"123456789"]).tolist() == [0xE3069283]  # the public check value
 
 
-PARTS = ["a", "B", " ", "  ", "\n", "'s", "é", "1", "!", ".", "日", "\x1d", "\xa0", "\x85", "<|endoftext|>", "ing", " the", "İ", "Σ", "́", "🙂"]
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=20).map("".join), min_size=1, max_size=4))
-def test_chunk_ids_equal_the_library(sample):
-    encoder = record_files._encoder(WORDS)
-    library = encoder.tokenizer
-    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.many(sample)] == [library.encode(t, add_special_tokens=False).ids for t in sample]
-
-
-def test_chunk_ids_forget(monkeypatch):
-    encoder = record_files.ChunkIds(WORDS)
-    monkeypatch.setattr(encoder, "MOST", 5, raising=False)
-    for k in range(6):
-        sample = [prose(k, 12), prose(3, 12), "x" * 200, f"{prose(k, 3)}, and-so (on)"]
-        assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.many(sample)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
-
-
 # --- op13
 
 
