@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, StructField
 
 from ..functions.text import choice_list
 from ..functions.vectors import argmax
-from .rows import row_index
+from .rows import first_rows, row_index
 
 #: Of a sample log's rows.
 LOG_SCHEMA = (
@@ -68,7 +68,7 @@ def limited(items: DataFrame, most: int | None, order_by: str, by: list[str] | N
     if most is None:
         return items
     if not by:
-        return items.orderBy(order_by).limit(most)
+        return first_rows(items, order_by, most)
     return row_index(items, order_by, "_i", by).where(F.col("_i") < most).drop("_i")
 
 

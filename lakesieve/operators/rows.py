@@ -2,63 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.text import percent_label
+from ..sources.shared import written
 
-#: Bits of a row's place within its partition, in ``numbered``.
-PLACE_BITS = 33
-
-
-def numbered(df: DataFrame, order_by: list[str], name: str = "_row") -> DataFrame:
-    """``df`` dealt by ranges of the order and sorted there, with a number that rises in the order: the partition, and in the low PLACE_BITS the place within it.
-
-    Rows that tie are in any one order.  Written to the shared folder, so that the numbers stay the same however often
-    they are read, also after an executor is lost.
-    """
-    from ..sources.shared import written
+#: Rows at most that an ordered limit takes; more are taken by their number.
+FEW = 10_000
 
-    return written(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(name, F.monotonically_increasing_id()))
 
+def _content(df: DataFrame) -> DataFrame:
+    """With _h1 and _h2, 128 bits that stand for all that a row holds, nulls and where they are included."""
+    parts: list[Column] = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts += [F.to_json(F.struct(c), {"ignoreNullFields": "false"})] if isinstance(f.dataType, (ArrayType, MapType, StructType)) else [c, c.isNull()]
+    return df.withColumns({"_h1": F.xxhash64(F.lit(1), *parts), "_h2": F.xxhash64(F.lit(2), *parts)})
 
-def _offsets(totals: DataFrame) -> DataFrame:
-    """_part, _offset from _part, _total: a row a partition, so one task adds them up and every task gets them."""
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("bigint").alias("_offset")))
 
+def places(df: DataFrame, order_by: list[str], value: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """A narrow table, a row for each different row of ``df``: _h1 and _h2 (its content), _c (how often it is there), _v (its ``value``, a whole number), _first and _before (rows, and values' sum, before it in the order), and the columns ``keep``.
 
-def running_sum(df: DataFrame, value: Column, order_by: list[str], name: str) -> DataFrame:
-    """``df`` with the running total of ``value`` (this row included) in the order ``order_by``; rows that tie are in any one order.
-
-    Two levels, whatever the number of rows: sums within the partitions of ``numbered``, and a running sum of the
-    partitions' totals, a row each.
+    Rows that tie in the order go by their content, so that they are as many ranges as others.  Only keys, hashes and
+    counts are dealt, sorted and written; a broadcast row a partition makes places within partitions places in the whole.
     """
-    return running_sum_of(numbered(df.withColumn("_value", value), order_by), "_value", name).drop("_value", "_row")
+    order = [f"_o{k}" for k in range(len(order_by))]
+    kept = [f"_k{k}" for k in range(len(keep or []))]
+    narrow = _content(df).select(
+        *[F.col(c).alias(o) for c, o in zip(order_by, order, strict=True)], *[F.col(c).alias(k) for c, k in zip(keep or [], kept, strict=True)], "_h1", "_h2", (F.lit(0) if value is None else value).cast("bigint").alias("_v"),
+    )
+    known = narrow.groupBy(*order, *kept, "_h1", "_h2").agg(F.count("*").alias("_c"), F.max(F.coalesce("_v", F.lit(0))).alias("_v"))
+    dealt = known.repartitionByRange(*order, "_h1", "_h2").sortWithinPartitions(*order, "_h1", "_h2").select(*kept, "_h1", "_h2", "_c", "_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("_c").to_numpy()
+                sums = np.cumsum(n), np.cumsum(n * batch.column("_v").to_numpy())
+                before = [np.r_[start, start + x[:-1]] for start, x in zip((rows, total), sums, strict=True)]
+                rows, total = rows + int(sums[0][-1]), total + int(sums[1][-1])
+                columns = [pa.array(np.full(batch.num_rows, part, dtype=np.int32)), *map(pa.array, before)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_part", "_n", "_s"])
+
+    table = written(dealt.mapInArrow(run, StructType([*dealt.schema.fields, *StructType.fromDDL("_part int, _n long, _s long").fields])))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = table.groupBy("_part").agg(F.sum("_c").alias("_rows"), F.sum(F.col("_c") * F.col("_v")).alias("_sum"))
+    before = parts.select("_part", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0") for c in ("_rows", "_sum")])
+    out = table.join(F.broadcast(before), "_part").withColumns({"_first": F.col("_n") + F.col("_rows0"), "_before": F.col("_s") + F.col("_sum0")})
+    return out.select("_h1", "_h2", "_c", "_v", "_first", "_before", *[F.col(k).alias(c) for c, k in zip(keep or [], kept, strict=True)])
+
+
+def _placed(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``places`` and _k, which counts rows that are the same: each row meets its place by its content."""
+    same = Window.partitionBy("_h1", "_h2").orderBy("_h1")
+    return _content(df).join(found, ["_h1", "_h2"]).withColumn("_k", F.row_number().over(same) - 1)
 
 
-def running_sum_of(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """The running total of a column of a frame that ``numbered`` made."""
-    dealt = rows.withColumn("_part", F.shiftright("_row", PLACE_BITS))
-    offsets = _offsets(dealt.groupBy("_part").agg(F.sum(value).alias("_total")))
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.withColumn("_sum", F.sum(value).over(inside)).join(offsets, "_part")
-    return out.withColumn(name, F.col("_sum") + F.col("_offset")).drop("_part", "_sum", "_offset")
+def running_sum(df: DataFrame, value: Column, order_by: list[str], name: str) -> DataFrame:
+    """``df`` with the running total of ``value`` (whole numbers; this row included; null counts as 0) in the order ``order_by``; rows that tie go by a hash of what they hold."""
+    placed = _placed(df, places(df, order_by, value))
+    return placed.withColumn(name, F.col("_before") + (F.col("_k") + 1) * F.col("_v")).select(*[c for c in df.columns if c != name], name)
 
 
 def row_index(df: DataFrame, order_by: str | list[str], name: str = "id", within: list[str] | None = None) -> DataFrame:
-    """0-based place in the order, of the table or of each group of ``within``; no group is ever in one task."""
+    """0-based place in the order, of the table or of each group of ``within``; no group is ever in one task.  Rows that tie go by a hash of what they hold."""
     order = [order_by] if isinstance(order_by, str) else order_by
-    dealt = numbered(df, [*(within or []), *order]).withColumn("_part", F.shiftright("_row", PLACE_BITS))
-    offsets = _offsets(dealt.groupBy("_part").agg(F.count("*").alias("_total")))
-    out = dealt.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_row") - F.shiftleft("_part", PLACE_BITS)).drop("_part", "_offset", "_row")
-    if not within:
-        return out
-    first = out.groupBy(*within).agg(F.min(name).alias("_first"))
-    first = first.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(within)], "_first")
-    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(within)]
-    out = out.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
-    return out.select(*[c for c in df.columns if c != name], name)
+    found = places(df, [*(within or []), *order], keep=within)
+    if within:
+        first = found.groupBy(*within).agg(F.min("_first").alias("_least"))
+        first = first.select(*[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)], "_least")
+        same = [F.col(c).eqNullSafe(F.col(f"_w{k}")) for k, c in enumerate(within)]
+        found = found.join(first, same).withColumn("_first", F.col("_first") - F.col("_least"))
+    placed = _placed(df, found.select("_h1", "_h2", "_first"))
+    return placed.withColumn(name, F.col("_first") + F.col("_k")).select(*[c for c in df.columns if c != name], name)
 
 
 def ensure_id(df: DataFrame, order_by: str | list[str], split: str | None = None) -> DataFrame:
@@ -67,8 +91,9 @@ def ensure_id(df: DataFrame, order_by: str | list[str], split: str | None = None
 
 
 def first_rows(df: DataFrame, order_by: str | list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of the order, or all if there are fewer."""
-    return df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(n)
+    """The first ``n`` rows of the order, or all if there are fewer.  Over FEW rows are taken by their number, so that no task holds them all."""
+    order = [order_by] if isinstance(order_by, str) else order_by
+    return df.orderBy(*order).limit(n) if n <= FEW else row_index(df, order, "_place").where(F.col("_place") < n).drop("_place")
 
 
 def percent_chunks(df: DataFrame, order_by: str, fraction: float, split: str = "train") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import article, slices, words
-from .rows import numbered, running_sum, running_sum_of
+from .rows import places, running_sum
 
 
 def token_counts(docs: DataFrame, tokens: Callable[[Column], Column] = words, id_col: str = "id") -> DataFrame:
@@ -31,16 +31,21 @@ def token_counts_by(docs: DataFrame, load: Callable[[], Callable[[list[str]], li
 
 def budget_cut(counts: DataFrame, target: int, order_by: list[str]) -> DataFrame:
     """One row: reached, final_index (0-based place of the row that reaches ``target``, else the last), num_docs, target and actual token count."""
-    total = running_sum(counts, F.col("num_tokens").cast("bigint"), order_by, "running")
-    placed = total.groupBy().agg(
-        F.min(F.when(F.col("running") >= target, F.col("running"))).alias("hit"), F.max("running").alias("all"),
-        F.count_if(F.col("running") < target).alias("below"), F.count("*").alias("n"),
-    )
-    reached = F.col("hit").isNotNull()
-    index = F.when(reached, F.col("below")).otherwise(F.greatest(F.col("n") - 1, F.lit(0)))
+    # a row of ``places`` stands for _c equal ones, of which the k-th brings the sum to _before + k * _v
+    found = places(counts, order_by, F.col("num_tokens"))
+    reaches = (F.col("_before") < target) & (F.col("_before") + F.col("_c") * F.col("_v") >= target)
+    k = F.expr(f"(CAST({target} AS BIGINT) - _before + _v - 1) div nullif(_v, 0)")
+    if target > 0:
+        place = F.when(reaches, F.struct((F.col("_first") + k - 1).alias("index"), (F.col("_before") + k * F.col("_v")).alias("total")))
+    else:
+        place = F.when(F.col("_first") == 0, F.struct(F.col("_first").alias("index"), F.col("_v").alias("total")))
+    placed = found.groupBy().agg(F.min(place).alias("hit"), F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_v")).alias("all")).select("hit.*", "n", "all")
+    reached = F.col("index").isNotNull()
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    index = F.coalesce("index", F.greatest(n - 1, F.lit(0))).cast("bigint")
     return placed.select(
-        reached.alias("reached_target_token_count"), index.alias("final_index"), F.least(index + 1, F.col("n")).alias("num_docs"),
-        F.lit(target).cast("bigint").alias("target_token_count"), F.coalesce("hit", "all", F.lit(0)).cast("bigint").alias("actual_token_count"),
+        reached.alias("reached_target_token_count"), index.alias("final_index"), F.least(index + 1, n).alias("num_docs"),
+        F.lit(target).cast("bigint").alias("target_token_count"), F.coalesce("total", "all", F.lit(0)).cast("bigint").alias("actual_token_count"),
     )
 
 
@@ -59,17 +64,16 @@ def chunks(docs: DataFrame, size: int, tokens: Callable[[Column], Column] = word
 def cut(docs: DataFrame, length: int, order_by: list[str], end: str = "<eos>", tokens: Callable[[Column], Column] = words, head: list[str] | None = None) -> DataFrame:
     """seq_id, input_ids: ``head`` (fewer than ``length`` tokens that are left from before), then each document as one leading ``end`` and its tokens, concatenated in order and cut every ``length``; the last may be shorter.
 
-    Rows whose order keys are null come first, and rows that tie are in any one order; each is packed once.  Only token
-    counts take part in the running sum, and meet their texts again by the rows' numbers.  A document's tokens are cut
+    Rows whose order keys are null come first, and rows that tie go by a hash of what they hold; each is packed once.
+    Only keys and token counts take part in the running sum, and meet their texts again.  A document's tokens are cut
     where sequences begin, so a row is a part of a document in a sequence, never a single token, and a sequence's
     parts meet by its id: at most ``length``.
     """
     head = head or []
-    rows = numbered(docs.select(*order_by, "text"), order_by)
+    docs = docs.select(*order_by, "text")
     body = F.concat(F.array(F.lit(end)), tokens(F.col("text")))
-    offsets = running_sum_of(rows.select("_row", F.size(body).cast("bigint").alias("_n")), "_n", "_end").withColumnRenamed("_row", "_place")
-    offsets = offsets.withColumn("_end", F.col("_end") + len(head))
-    placed = rows.join(offsets, F.col("_row") == F.col("_place")).select(body.alias("_t"), "_end", (F.col("_end") - F.col("_n")).alias("_start"))
+    ends = running_sum(docs, F.size(body), order_by, "_end").withColumn("_end", F.col("_end") + len(head))
+    placed = ends.select(body.alias("_t"), "_end").withColumn("_start", F.col("_end") - F.size("_t"))
     first, last = F.floor(F.col("_start") / length), F.floor((F.col("_end") - 1) / length)
     parts = placed.withColumn("seq_id", F.explode(F.sequence(first, last)))
     begin, stop = F.greatest(F.col("seq_id") * length, F.col("_start")), F.least((F.col("seq_id") + 1) * length, F.col("_end"))

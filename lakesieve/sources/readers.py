@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rows import first_rows
 from . import files
 
 BLOCKLIST = "keyword string, pos_ratio double, is_relevant boolean"
@@ -84,7 +85,7 @@ def _top_level(fields: str) -> list[str]:
 
 def split_slice(df: DataFrame, order_by: str, n: int | None) -> DataFrame:
     """The first ``n`` rows by the order (None: all; more than there are: all)."""
-    return df if n is None else df.orderBy(order_by).limit(n)
+    return df if n is None else first_rows(df, order_by, n)
 
 
 def subset(df: DataFrame, **equal: str) -> DataFrame:

@@ -79,6 +79,46 @@ def test_row_numbers_by_group(spark):
     assert sorted(r["i"] for r in rows.row_index(df, ["v", "g"], "i").collect()) == list(range(6))
 
 
+def test_rows_that_tie_or_repeat_are_numbered_each_and_no_text_is_written(spark):
+    from lakesieve.sources import shared
+
+    data = [(None, "x", None), (1, None, "x"), (1, "x", None), (1, "x", None), (1, "x", None), (1, "y", None), (2, "long text " * 50, "z")] + [(3, f"tie {k}", "s") for k in range(40)]
+    df = spark.createDataFrame(data, "k int, text string, other string").repartition(5)
+    shared.discard(spark)
+    got = [(r["k"], r["text"], r["other"], r["i"]) for r in rows.row_index(df, "k", "i").collect()]
+    tables = shared._TABLES[spark.sparkContext.applicationId]
+    assert len(tables) == 1 and not {"text", "other"} & set(spark.read.parquet(tables[0]).columns) and "string" not in dict(spark.read.parquet(tables[0]).dtypes).values()
+    assert sorted((r[:3] for r in got), key=repr) == sorted(data, key=repr) and sorted(r[3] for r in got) == list(range(len(data)))
+    by = sorted(got, key=lambda r: r[3])
+    assert [r[0] for r in by] == sorted((r[0] for r in data), key=lambda x: (x is not None, x or 0)) and sorted(r[3] for r in got if r[:3] == (1, "x", None)) == [r[3] for r in by if r[:3] == (1, "x", None)]
+    sums = sorted((r["s"], r["k"]) for r in rows.running_sum(df, F.coalesce("k", F.lit(5)), ["k"], "s").collect())
+    assert sums[0] == (5, None) and sums[-1][0] == 5 + 5 + 2 + 120 and sums[1:6] == [(6, 1), (7, 1), (8, 1), (9, 1), (10, 1)]
+
+
+def test_large_limits_go_by_number(spark, monkeypatch):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("id"), F.lit("t").alias("text")).repartition(6)
+    want = list(range(30))
+    for few in (10_000, 5):
+        monkeypatch.setattr(rows, "FEW", few)
+        assert sorted(r["id"] for r in rows.first_rows(df, "id", 30).collect()) == want and rows.first_rows(df, "id", 30).columns == ["id", "text"]
+        assert rows.first_rows(df, "id", 1000).count() == 100 and rows.first_rows(df.limit(0), "id", 30).count() == 0
+
+
+@pytest.mark.parametrize("target", [0, 1, 7, 8, 9, 40, 41, 1000])
+def test_budget_cut_with_repeated_and_empty_counts(spark, target):
+    data = [(1, 0), (2, 4), (2, 4), (2, 4), (3, 0), (3, 0), (4, 9), (5, 20), (6, None)]
+    counts = spark.createDataFrame(data, "id int, num_tokens int").repartition(4)
+    running, hit = 0, None
+    for k, (_, n) in enumerate(data):
+        running += n or 0
+        if hit is None and running >= target:
+            hit = (k, running)
+    got = tokens.budget_cut(counts, target, ["id"]).first()
+    assert (got["final_index"], got["actual_token_count"], got["reached_target_token_count"]) == ((*hit, True) if hit else (8, 41, False))
+    none = tokens.budget_cut(counts.limit(0), target, ["id"]).first()
+    assert tuple(none) == (False, 0, 0, target, 0)
+
+
 def test_gram_of_awkward_vectors(spark):
     data = [("l", [1.0, None, 2.0]), ("l", [3.0, 1.0]), ("l", []), (None, [2.0]), (None, [3.0])]
     got = {(r["layer"], r["i"], r["j"]): r["g"] for r in linalg.gram(spark.createDataFrame(data, "layer string, x array<float>")).collect()}
