@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once
 
+#: Keywords that built-in functions look for before a text leaves the JVM.
+FIRST = 32
+
 
 def refine(blocklist: DataFrame, pos_ratio: float | None = 0.4) -> DataFrame:
     """Distinct keywords with pos_ratio above the threshold (null and NaN never are; no threshold: all) that, if the list says so, are relevant."""
@@ -39,7 +44,8 @@ def hits(text: Column, keywords: list[str], most: int) -> Column:
 
     Every distinct raw keyword counts, also inside words and inside other keywords.  All keywords are looked for at
     once: one automaton, made once a task, reads each text once, however long the list is.  (Built-in functions would
-    read it once for each keyword.)  The text is lower-cased before it leaves the JVM, and only it travels.
+    read it once for each keyword.)  The text is lower-cased before it leaves the JVM, and only it travels; of a list of
+    at most FIRST keywords, only texts that hold one do, which built-in functions find out.
     """
     if not keywords:
         return F.array().cast("array<string>")
@@ -67,7 +73,10 @@ def hits(text: Column, keywords: list[str], most: int) -> Column:
         for batch in batches:
             yield batch.map(one)
 
-    return scan(F.lower(text))
+    if len(keywords) > FIRST:
+        return scan(F.lower(text))
+    low = F.lower(text)
+    return scan(F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in sorted({w.lower() for w in keywords})]), low))
 
 
 def verdict(text: Column, keywords: list[str], threshold: int = 2) -> Column:

@@ -100,12 +100,18 @@ def group_accuracy(tasks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nested_accuracy(items: DataFrame, subset: str = "subset", category: str = "category", metric: str = "acc") -> DataFrame:
-    """Leaves, subsets and the total in one table: subset, category (null: all), n, acc, stderr (of groups: pooled), level."""
-    leaves = task_accuracy(items, [subset, category], metric)
-    order = [subset, category, "n", "acc", "stderr", "level"]
-    subsets = _pooled(leaves, [subset]).withColumn(category, F.lit(None).cast("string")).withColumn("level", F.lit(1))
-    total = _pooled(leaves, []).withColumn(subset, F.lit(None).cast("string")).withColumn(category, F.lit(None).cast("string")).withColumn("level", F.lit(2))
-    return leaves.withColumn("level", F.lit(0)).select(*order).unionByName(subsets.select(*order)).unionByName(total.select(*order))
+    """Leaves, subsets and the total in one table: subset, category (null: all), n, acc, stderr (of groups: pooled), level.
+
+    The items are read and shuffled once, as counts, means and squared deviations of each leaf.  These moments add up:
+    grouping sets over the leaves' rows give every level, the error of a leaf being that of a group of one.
+    """
+    n, spread = F.sum("_n"), F.sum("_m2")
+    leaves = items.groupBy(subset, category).agg(F.count(metric).alias("_n"), F.avg(metric).alias("_mean"), (F.var_pop(metric) * F.count(metric)).alias("_m2"))
+    sets = leaves.groupingSets([[F.col(subset), F.col(category)], [F.col(subset)], []], F.col(subset), F.col(category)).agg(
+        n.alias("n"), F.try_divide(F.sum(F.col("_n") * F.col("_mean")), n).alias("acc"), F.sqrt(F.try_divide(spread, (n - F.count("*")) * n)).alias("stderr"),
+        (F.grouping(subset).cast("int") + F.grouping(category).cast("int")).alias("level"),
+    )
+    return sets.select(subset, category, "n", "acc", "stderr", "level").where((F.col("level") < 2) | (F.col("n") > 0))
 
 
 def without_shortcuts(items: DataFrame, guesses: DataFrame, models: int = 3, key: str = "item") -> DataFrame:

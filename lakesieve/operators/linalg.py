@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..functions import vectors
 
 #: Cells of a Gram matrix that leave a task in one batch.
 CELLS = 1 << 20
+#: Triangles that one task folds into one.
+FAN = 16
 
 
 def gram(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
@@ -54,49 +57,137 @@ def gram(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
     return part.groupBy(layer, "i", "j").agg(F.sum("p").alias("g"))
 
 
-def singular_values(matrix: np.ndarray) -> list[float]:
-    """Square roots of the Gram matrix's eigenvalues, those below zero taken as zero, falling; none for an empty one."""
-    if not matrix.size:
-        return []
-    return np.sqrt(np.clip(np.linalg.eigvalsh(matrix), 0, None))[::-1].tolist()
+def described(spectra: DataFrame) -> DataFrame:
+    """With condition_number (largest / smallest; null if that is zero) and top5."""
+    first, last = F.get("singular_values", F.lit(0)), F.try_element_at("singular_values", F.lit(-1))
+    return spectra.withColumn("condition_number", F.try_divide(first, last)).withColumn("top5", F.slice("singular_values", 1, 5))
 
 
-def solved(grams: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, hidden_dim, singular_values of Gram matrices in long form: each matrix's d * d cells are one group."""
-    schema = grams.select(*by).schema
+def _packed(r: np.ndarray) -> bytes:
+    return r[np.triu_indices(len(r))].astype("<f8").tobytes()
 
-    def solve(pdf):
-        d = int(pdf["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["i"], pdf["j"]] = pdf["g"]
-        return pdf[by].head(1).assign(hidden_dim=d, singular_values=[singular_values(m)])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return grams.groupBy(*by).applyInPandas(solve, f"{kinds}, hidden_dim int, singular_values array<double>")
+def _unpacked(raw: bytes, d: int, width: int) -> np.ndarray:
+    """A triangle as a square of ``width``; the columns that it lacks are zero."""
+    out = np.zeros((width, width))
+    i, j = np.triu_indices(d)
+    out[i, j] = np.frombuffer(raw, dtype="<f8")
+    return out
 
 
-def described(spectra: DataFrame) -> DataFrame:
-    """With condition_number (largest / smallest; null if that is zero) and top5."""
-    last = F.element_at("singular_values", -1)
-    return spectra.withColumn("condition_number", F.try_divide(F.col("singular_values")[0], last)).withColumn("top5", F.slice("singular_values", 1, 5))
+def _triangle(rows: list[np.ndarray]) -> np.ndarray:
+    """R of the QR decomposition of stacked rows, as a square: what lies below it is of no account for the spectrum."""
+    stack = np.vstack(rows)
+    r = np.linalg.qr(stack, mode="r")
+    return r if len(r) == r.shape[1] else np.vstack([r, np.zeros((r.shape[1] - len(r), r.shape[1]))])
+
+
+def triangles(df: DataFrame, by: list[str], vector: str = "x") -> DataFrame:
+    """``by``, n, d and r (the upper triangle of R, row by row): the R of the QR decomposition of each group's rows.
+
+    Each task folds its Arrow batches into one R a group; R's of FAN tasks are folded into one, and so on in a tree, so
+    that no task sees more than FAN of them.  A null vector falls out, an empty one counts only where there are others; a
+    null component counts as zero, and so do those that a shorter vector lacks.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from ..sources.shared import written
+
+    schema = StructType([df.schema[c] for c in by] + StructType.fromDDL("slot long, n long, d int, r binary").fields)
+    out_schema = to_arrow_schema(schema)
+    k = len(by)
+
+    def fold(held: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        if held is None:
+            return _triangle([x])
+        width = max(held.shape[1], x.shape[1])
+        return _triangle([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (held, x)])
+
+    def batch_of(key: tuple, slot: int, n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((*key, slot, n, r.shape[1], _packed(r)), out_schema, strict=True)], schema=out_schema)
+
+    def first(batches):
+        held: dict[tuple, list] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                part = whole.slice(start, 4096)
+                keys = list(zip(*[c.to_pylist() for c in part.columns[:k]], strict=True)) if k else [()] * part.num_rows
+                sizes = part.column(k).value_lengths().to_numpy(zero_copy_only=False)
+                flat = pc.fill_null(part.column(k).flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+                ends, groups = np.cumsum(sizes), {}
+                for row, (key, d) in enumerate(zip(keys, sizes.tolist(), strict=True)):
+                    groups.setdefault((key, d), []).append(row)
+                for (key, d), rows in groups.items():
+                    own = held.setdefault(key, [0, None])
+                    own[0] += len(rows)
+                    if d:
+                        own[1] = fold(own[1], flat[(ends[rows] - d)[:, None] + np.arange(d)])
+        for key, (n, r) in held.items():
+            yield batch_of(key, TaskContext.get().partitionId(), n, np.zeros((0, 0)) if r is None else r)
+
+    def merge(batches):
+        now, n, r, slot = None, 0, None, 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                *key, own_slot, m, d, raw = [c[row].as_py() for c in batch.columns]
+                if now is not None and now != (*key, own_slot):
+                    yield batch_of(now[:-1], slot, n, r)
+                    n, r = 0, None
+                now, slot, n = (*key, own_slot), own_slot, n + m
+                square = _unpacked(raw, d, d)
+                r = square if r is None else r if not d else fold(r, square)
+        if now is not None:
+            yield batch_of(now[:-1], slot, n, r)
+
+    out = written(df.where(F.col(vector).isNotNull()).select(*by, vector).mapInArrow(first, schema))
+    most = out.agg(F.max("slot")).first()[0] or 0
+    while most > 0:
+        most //= FAN
+        out = out.withColumn("slot", F.expr(f"slot div {FAN}"))
+        out = out.repartition(*by, "slot").sortWithinPartitions(*by, "slot").mapInArrow(merge, schema)
+    return out.drop("slot")
+
+
+def _values(factors: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, n_samples, hidden_dim and the singular values of the triangles, one row at a time."""
+    @F.pandas_udf("array<double>")
+    def solve(d: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.svd(_unpacked(raw, n, n), compute_uv=False).tolist() if n else [] for n, raw in zip(d, r, strict=True)])
+
+    return factors.select(*by, F.col("n").alias("n_samples"), F.col("d").alias("hidden_dim"), solve("d", "r").alias("singular_values"))
 
 
 def spectrum(df: DataFrame, vector: str = "x", layer: str = "layer") -> DataFrame:
-    """layer, n_samples, hidden_dim, singular_values, condition_number, top5.
+    """layer, n_samples, hidden_dim, singular_values, condition_number, top5, by tall-skinny QR.
 
-    Each layer's d * d sums are one group; rows and vectors never are.
+    The singular values are those of each layer's rows themselves, not square roots of a Gram matrix's eigenvalues, so
+    values far below the largest keep their digits; a layer is one triangle, never d * d rows.
     """
-    n = df.where(F.col(vector).isNotNull()).groupBy(layer).agg(F.count("*").alias("n_samples"))
-    return described(n.join(solved(gram(df, vector, layer), [layer]), layer))
+    return described(_values(triangles(df, [layer], vector), [layer]))
 
 
 def checkpointed_spectrum(df: DataFrame, batch: str, points: list[int], vector: str = "x", layer: str = "layer") -> DataFrame:
-    """checkpoint, layer, n_samples, hidden_dim, singular_values, condition_number, top5 of all rows up to and with each checkpoint's batch; the rows are read once for the sums and once for the counts."""
-    values = solved(checkpointed_grams(df, batch, points, vector, layer), ["checkpoint", layer])
+    """checkpoint, layer, n_samples, hidden_dim, singular_values, condition_number, top5 of all rows up to and with each checkpoint's batch.
+
+    The rows are read once: those between two checkpoints are one triangle a layer, and a checkpoint's is folded from these.
+    """
     at = F.element_at(F.filter(F.array(*map(F.lit, sorted(points))), lambda p: p >= F.col(batch)), 1)
-    steps = df.where(F.col(vector).isNotNull() & (F.col(batch) <= max(points))).groupBy(layer, at.alias("_c")).agg(F.count("*").alias("_n"))
+    steps = triangles(df.where(F.col(batch) <= max(points)).withColumn("_c", at), [layer, "_c"], vector)
     upto = steps.withColumn("checkpoint", F.explode(F.array(*map(F.lit, sorted(points))))).where(F.col("checkpoint") >= F.col("_c"))
-    return described(upto.groupBy("checkpoint", layer).agg(F.sum("_n").alias("n_samples")).join(values, ["checkpoint", layer]))
+    kind = df.schema[layer].dataType.simpleString()
+
+    def fold(pdf):
+        width = int(pdf["d"].max())
+        squares = [_unpacked(raw, d, width) for d, raw in zip(pdf["d"], pdf["r"], strict=True)]
+        r = _triangle(squares) if width else np.zeros((0, 0))
+        return pdf[["checkpoint", layer]].head(1).assign(n=pdf["n"].sum(), d=width, r=[_packed(r)])
+
+    folded = upto.select("checkpoint", layer, "n", "d", "r").groupBy("checkpoint", layer).applyInPandas(fold, f"checkpoint int, `{layer}` {kind}, n long, d int, r binary")  # a row a step
+    return described(_values(folded, ["checkpoint", layer]))
 
 
 def checkpoint_schedule(last: int) -> list[int]:

@@ -10,23 +10,17 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions import vectors
-from .operators import assemble, blocklist, evals, joins, linalg, report, rows, tokens
+from .operators import assemble, blocklist, evals, joins, linalg, report, rows, sketches, tokens
 from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
 from .sources import readers
 from .sources.shared import written
 from .streaming import events as event_streams
 
-#: A benign blocklist: keyword, pos_ratio, is_relevant.
-BLOCKLIST = [
-    ("password", 0.9, True), ("License", 0.8, True), ("license", 0.6, True), ("idiot", 0.95, True), ("moron", 0.7, True), ("trash", 0.55, True), ("stupid", 0.41, True),
-    ("the", 0.4, True), ("and", 0.1, True), ("token", float("nan"), True), ("rights", None, True), ("clown", 0.9, None), ("hate", 0.85, False), ("Apache", 0.77, True), ("License", 0.8, True),
-]
-#: What the default threshold leaves of it, in order.
+#: A benign blocklist, in order.
 KEYWORDS = ["Apache", "License", "idiot", "license", "moron", "password", "stupid", "trash"]
 TERMS = ["the", "of", "and", "die", "que", "le", "un", "und", "el", "that"]
 CONTEXT, SCORE = 64, 0.15
-COMPLETIONS = ["[1]", "[0]", "a [0] b [1", "12", "no digit", "", "0", "[x] 1 [y", "[2]"]
 
 _REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -47,10 +41,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
 
 
-def inline_blocklist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BLOCKLIST, "keyword string, pos_ratio double, is_relevant boolean")
-
-
 def stages() -> list:
     return [BlocklistStage(KEYWORDS, 1), ClassifierStage(density_scorer(TERMS), SCORE, CONTEXT)]
 
@@ -64,8 +54,6 @@ def _list(items: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
-_BLOCKLIST_SQL = "(VALUES " + ", ".join(
-    f"('{k}', {'NULL' if r is None else repr(r) if r == r else chr(39) + 'NaN' + chr(39)}::DOUBLE, {'NULL' if v is None else v}::BOOLEAN)" for k, r, v in BLOCKLIST) + ") b(keyword, pos_ratio, is_relevant)"
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 _HITS = f"list_filter({_list(KEYWORDS)}, lambda k: contains(lower(text), lower(k)))"
 _JUDGED = f"""
@@ -80,14 +68,25 @@ v AS (SELECT id, lang, source, text, n_chars, len(hits) >= 1 AS word_filter, arr
 """
 
 
-@query(f"SELECT DISTINCT keyword FROM {_BLOCKLIST_SQL} WHERE pos_ratio > 0.4 AND NOT isnan(pos_ratio) AND is_relevant")
+#: A blocklist from the labelled documents: of each word the share of toxic ones among its documents, and whether it is in three and more (unknown for a single one).
+_RATED = r"""r AS (SELECT w AS keyword, avg(toxic) AS pos_ratio, CASE WHEN count(*) > 1 THEN count(*) >= 3 END AS is_relevant
+  FROM (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w FROM documents) JOIN labels USING (doc_id) GROUP BY w)"""
+
+
+def rated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text_functions.words(F.col("text")))).alias("keyword"))
+    n = F.count("*")
+    return words.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("keyword").agg(F.avg("toxic").alias("pos_ratio"), F.when(n > 1, n >= 3).alias("is_relevant"))
+
+
+@query(f"WITH {_RATED} SELECT keyword FROM r WHERE pos_ratio > 0.4 AND is_relevant")
 def blocklist_refine(spark, sf_dir):
-    return blocklist.refine(inline_blocklist(spark))
+    return blocklist.refine(rated_words(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS n_before, count(*) FILTER (WHERE ok) AS n_after, count(DISTINCT keyword) FILTER (WHERE ok) AS n_keywords FROM (SELECT keyword, coalesce(pos_ratio > 0.4 AND NOT isnan(pos_ratio) AND is_relevant, false) AS ok FROM {_BLOCKLIST_SQL})")
+@query(f"WITH {_RATED} SELECT count(*) AS n_before, count(*) FILTER (WHERE ok) AS n_after, count(DISTINCT keyword) FILTER (WHERE ok) AS n_keywords FROM (SELECT keyword, coalesce(pos_ratio > 0.4 AND is_relevant, false) AS ok FROM r)")
 def blocklist_refine_counts(spark, sf_dir):
-    return blocklist.refine_counts(inline_blocklist(spark))
+    return blocklist.refine_counts(rated_words(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, len(h) >= 2 AS word_filter, array_to_string(h[1:2], ', ') AS keywords FROM (SELECT doc_id, {_HITS} AS h FROM documents)")
@@ -113,7 +112,7 @@ _MANY = [f"w{i}" for i in range(60)] + KEYWORDS
 
 @query(f"SELECT doc_id, len(list_filter({_list(sorted(_MANY))}, lambda k: contains(lower(text), lower(k)))) >= 1 AS word_filter FROM documents")
 def blocklist_large(spark, sf_dir):
-    """A list long enough for the scanning loop."""
+    """A list of 68 keywords, which go to the automaton without being looked for first."""
     return table(spark, sf_dir, "documents").select("doc_id", blocklist.verdict(F.col("text"), sorted(_MANY), 1)["should_filter"].alias("word_filter"))
 
 
@@ -291,9 +290,11 @@ def layer_spectrum_trace(spark, sf_dir):
     return s.select("layer", "n_samples", "hidden_dim", F.round(vectors.dot(F.col("singular_values"), F.col("singular_values")), 4).alias("trace"))
 
 
-@query("SELECT DISTINCT floor(pow(2, i / 2.0))::INTEGER AS batch FROM range(0, 21) r(i)")
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT DISTINCT batch::INTEGER AS batch FROM (SELECT floor(pow(2, i / 2.0)) AS batch FROM range(0, 80) r(i), n WHERE floor(pow(2, i / 2.0)) <= n UNION ALL SELECT n FROM n WHERE n > 0)")
 def checkpoint_schedule(spark, sf_dir):
-    return spark.createDataFrame([(b,) for b in linalg.checkpoint_schedule(1024)], "batch int")
+    """At which of the vectors a running spectrum is saved."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return spark.createDataFrame([(b,) for b in linalg.checkpoint_schedule(n)], "batch int")
 
 
 _CHECKPOINT_SQL = "SELECT label AS layer, c AS checkpoint, i - 1 AS i, j - 1 AS j, round(sum(a::DOUBLE * b::DOUBLE), 6) + 0.0 AS g FROM (SELECT vec_id % 16 + 1 AS batch, label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS i, embedding FROM embeddings) x JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(c) ON batch <= c, LATERAL (SELECT unnest(x.embedding) AS b, generate_subscripts(x.embedding, 1) AS j) y GROUP BY ALL"
@@ -331,6 +332,35 @@ def singular_values(spark, sf_dir):
     return _values(linalg.spectrum(folded(batched(spark, sf_dir))), "layer")
 
 
+@query("""WITH c AS (SELECT label AS layer, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+g AS (SELECT a.layer, a.i AS i, b.i AS j, sum(a.x * b.x) AS g FROM c a JOIN c b ON a.layer = b.layer AND a.vec_id = b.vec_id GROUP BY ALL),
+t AS (SELECT layer, sum(g) FILTER (WHERE i = j) AS t1, sum(g * g) AS t2 FROM g GROUP BY layer),
+h AS (SELECT a.layer, a.i, b.j, sum(a.g * b.g) AS h FROM g a JOIN g b ON a.layer = b.layer AND a.j = b.i GROUP BY ALL),
+u AS (SELECT layer, sum(g.g * h.h) AS t3, sum(h.h * h.h) AS t4 FROM g JOIN h USING (layer, i, j) GROUP BY layer)
+SELECT layer, round(t2 / t1 ** 2, 9) AS s2, round(t3 / t1 ** 3, 9) AS s3, round(t4 / t1 ** 4, 9) AS s4 FROM t JOIN u USING (layer)""")
+def spectrum_power_sums(spark, sf_dir):
+    """Sums of the fourth, sixth and eighth powers of all 64 singular values of each layer, as shares of powers of the sum of their squares; SQL has them from the Gram matrix's powers."""
+    s = linalg.spectrum(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "layer"), "embedding")
+    power = lambda k: F.aggregate("singular_values", F.lit(0.0), lambda a, v: a + F.pow(v, F.lit(2.0 * k)))
+    return s.select("layer", *[F.round(power(k) / F.pow(power(1), F.lit(float(k))), 9).alias(f"s{k}") for k in (2, 3, 4)])
+
+
+@query("SELECT source, count(*) AS n, min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high, true AS quantiles_hold, true AS distinct_holds FROM documents GROUP BY source")
+def source_sketches(spark, sf_dir):
+    """Summaries of each language merged by source, and whether they are as near to the exact quantiles and distinct counts as they promise."""
+    docs = table(spark, sf_dir, "documents")
+    told = sketches.summary(sketches.merged(written(sketches.sketched(docs, ["lang", "source"], "n_chars", "text")), ["source"]), [0.1, 0.25, 0.5, 0.75, 0.9])
+    found = F.posexplode("quantile_values").alias("k", "q")
+    asked = F.array(*map(F.lit, [0.1, 0.25, 0.5, 0.75, 0.9]))
+    each = docs.select("source", "n_chars").join(F.broadcast(told.select("source", found)), "source")  # five rows a source
+    ranks = each.groupBy("source", "k", "q").agg(F.avg((F.col("n_chars") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("n_chars") <= F.col("q")).cast("double")).alias("upto"))
+    near = (F.col("below") <= asked[F.col("k")] + sketches.QUANTILE_ERROR) & (F.col("upto") >= asked[F.col("k")] - sketches.QUANTILE_ERROR)
+    holds = ranks.groupBy("source").agg(F.bool_and(near).alias("quantiles_hold"))
+    exact = docs.groupBy("source").agg(F.count_distinct("text").alias("exact"))
+    right = F.abs(F.col("n_distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+    return told.join(holds, "source").join(exact, "source").select("source", "n", "low", "high", "quantiles_hold", right.alias("distinct_holds"))
+
+
 @query(f"WITH {_FOLDED_SQL}, m AS (SELECT layer, k AS checkpoint, count(*) AS n, sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS c FROM f JOIN (VALUES (1), (2), (4), (5), (8), (11), (16)) p(k) ON batch <= k GROUP BY layer, k), {_EIGEN_SQL.format(keys='layer, checkpoint').replace(', round(sqrt(hi) / sqrt(lo), 6) AS condition_number', '')}")
 def checkpointed_spectrum(spark, sf_dir):
     """Without the condition number, which has no digits to compare where a checkpoint has a single row."""
@@ -421,10 +451,16 @@ def without_shortcuts(spark, sf_dir):
     return evals.without_shortcuts(it.withColumnRenamed("doc_id", "item"), guesses).select(F.col("item").alias("doc_id"))
 
 
-@query("SELECT c AS completion, coalesce(try_cast(nullif(regexp_extract(list_extract(string_split(c, '['), -1), '\\d'), '') AS INTEGER) = 1, true) AS judgment, nullif(regexp_extract(list_extract(string_split(c, '['), -1), '\\d'), '') IS NULL AS failed FROM (VALUES " + ", ".join(f"('{c}')" for c in COMPLETIONS) + ") x(c)")
+_COMPLETED = "c AS (SELECT conv_id, turn, coalesce(text, '') || CASE (conv_id + turn) % 6 WHEN 0 THEN ' [1]' WHEN 1 THEN '[' || turn || '] so [' || (turn % 3) WHEN 2 THEN '[x] 12' WHEN 3 THEN '[' WHEN 4 THEN ' [' || (turn % 12) || ']' ELSE '' END AS c FROM conversations)"
+
+
+@query(f"WITH {_COMPLETED} SELECT conv_id, turn, coalesce(try_cast(nullif(regexp_extract(list_extract(string_split(c, '['), -1), '\\d'), '') AS INTEGER) = 1, true) AS judgment, nullif(regexp_extract(list_extract(string_split(c, '['), -1), '\\d'), '') IS NULL AS failed FROM c")
 def lm_parse(spark, sf_dir):
-    p = spark.createDataFrame([(c,) for c in COMPLETIONS], "completion string").withColumn("p", parse_completion(F.col("completion")))
-    return p.select("completion", F.col("p.judgment").alias("judgment"), F.col("p.error").isNotNull().alias("failed"))
+    """Judgments from turns of conversations as completions, some with brackets and digits, some without."""
+    turn, kind = F.col("turn"), (F.col("conv_id") + F.col("turn")) % 6
+    tail = F.when(kind == 0, " [1]").when(kind == 1, F.concat(F.lit("["), turn, F.lit("] so ["), turn % 3)).when(kind == 2, "[x] 12").when(kind == 3, "[").when(kind == 4, F.concat(F.lit(" ["), turn % 12, F.lit("]"))).otherwise("")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", parse_completion(F.concat(F.coalesce("text", F.lit("")), tail)).alias("p"))
+    return c.select("conv_id", "turn", F.col("p.judgment").alias("judgment"), F.col("p.error").isNotNull().alias("failed"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(text, ' the ') THEN regexp_replace(string_split(text, ' the ')[1], '^\\s+|\\s+$', '', 'g') ELSE text END AS text FROM conversations")
@@ -457,10 +493,11 @@ def layer_names(spark, sf_dir):
     return kept.select("name", F.row_number().over(Window.orderBy(*rows.layer_order(F.col("name")))).cast("bigint").alias("place"))
 
 
-@query("SELECT m.mode, l.lr FROM (VALUES ('base'), ('filtered')) m(mode), (VALUES (0.0001::DOUBLE), (0.0003::DOUBLE), (0.001::DOUBLE)) l(lr)")
+@query("SELECT d.lang, l.quality, t.event_type FROM (SELECT DISTINCT lang FROM documents) d, (SELECT DISTINCT quality FROM labels) l, (SELECT DISTINCT event_type FROM events) t")
 def parameter_grid(spark, sf_dir):
-    modes, rates = spark.createDataFrame([("base",), ("filtered",)], "mode string"), spark.createDataFrame([(1e-4,), (3e-4,), (1e-3,)], "lr double")
-    return rows.grid(modes, rates, 42)
+    """All combinations of what occurs, in a seeded order."""
+    langs, marks, kinds = (table(spark, sf_dir, t).select(c).distinct() for t, c in (("documents", "lang"), ("labels", "quality"), ("events", "event_type")))
+    return rows.grid(rows.grid(langs, marks), kinds, 42)
 
 
 @query(f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), f AS (SELECT doc_id, ws, len(ws) = 0 OR len(ws[1]) % 3 = 0 AS failed, len(list_filter(ws, lambda w: list_contains({_list(TERMS)}, lower(w))))::DOUBLE / len(ws) AS score FROM w) SELECT doc_id AS id, failed OR score > {SCORE} AS bert_filter, CASE WHEN failed THEN 0.0 ELSE round(score, 9) END AS highest_score FROM f")
@@ -554,11 +591,11 @@ def first_of_subset(spark, sf_dir):
     return rows.first_rows(readers.subset(table(spark, sf_dir, "documents"), lang="en", source="src1").select("doc_id", "lang"), "doc_id", 20)
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(role) > 3 THEN role[1:3] || '...' ELSE role END AS role FROM conversations UNION ALL SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
+@query("WITH f AS (SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100) SELECT conv_id, turn, CASE WHEN length(role) > 3 THEN role[1:3] || '...' ELSE role END AS role FROM f UNION ALL SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
 def shown_records(spark, sf_dir):
-    """Records to look at, cut, and a union of tables."""
+    """The first hundred records to look at, cut, and a union of tables."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return readers.union_all([readers.first_records(c, 10_000_000, 3), c.where("role = 'user'")])
+    return readers.union_all([readers.first_records(rows.first_rows(c, ["conv_id", "turn"], 100), 100, 3), c.where("role = 'user'")])
 
 
 #: Orders as if placed in the month of the events, with a time of their own, and held open for as many minutes as they cost hundreds.

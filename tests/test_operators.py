@@ -195,7 +195,7 @@ def test_gram_and_spectrum_equal_numpy(spark):
     assert np.allclose(m, x.T @ x)
     s = linalg.spectrum(df).first()
     assert np.allclose(s["singular_values"], np.linalg.svd(x, compute_uv=False)) and s["n_samples"] == 40 and len(s["top5"]) == 5
-    assert linalg.singular_values(np.zeros((0, 0))) == []
+    assert linalg.spectrum(df.limit(0)).collect() == [] and linalg.spectrum(spark.createDataFrame([("l", []), ("l", [])], "layer string, x array<double>")).first()["singular_values"] == []
     assert linalg.checkpoint_schedule(16) == [1, 2, 4, 5, 8, 11, 16] and linalg.checkpoint_schedule(0) == []
 
 
