@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions import vectors
-from .operators import assemble, blocklist, evals, joins, linalg, report, rows, sketches, tokens
+from .operators import assemble, blocklist, evals, joins, language, linalg, report, rows, samples, sketches, tokens
 from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
 from .sources import readers
@@ -692,6 +692,21 @@ def source_sequences(spark, sf_dir):
     return packed.select("source", "shard", "seq_id", F.md5(F.array_join("input_ids", " ").cast("binary")).alias("tokens_md5"))
 
 
+@query("SELECT doc_id, lang, quality FROM (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY md5('42:' || doc_id)) AS r FROM documents LEFT JOIN labels USING (doc_id)) WHERE r <= 20")
+def stratified_sample(spark, sf_dir):
+    """Twenty documents of each language and quality, without sorting a group."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return samples.stratified(d, ["lang", "quality"], 20, ["doc_id"])
+
+
+@query()
+def language_of_documents(spark, sf_dir):
+    """Each document's language by profiles from a sample of those whose id's checksum isn't 1 modulo 3, and whether it was held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    found = language.identify(docs, language.learn(docs.where(~F.col("held_out"))), keep=["doc_id", "lang", "held_out"])
+    return found.select("doc_id", "lang", "held_out", "language")
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}
