@@ -13,8 +13,8 @@ from .functions import vectors
 from .operators import assemble, blocklist, evals, joins, language, linalg, report, rows, samples, sketches, tokens
 from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
-from .sources import readers
-from .sources.shared import written
+from .sources import arrow, readers
+from .sources.shared import new_folder, written
 from .streaming import events as event_streams
 
 #: A benign blocklist, in order.
@@ -707,6 +707,14 @@ def language_of_documents(spark, sf_dir):
     return found.select("doc_id", "lang", "held_out", "language")
 
 
+@query("SELECT doc_id, lang, source, length(text) AS n FROM documents")
+def arrow_documents(spark, sf_dir):
+    """Documents written as Arrow files and read again, three columns of them and the texts' lengths."""
+    folder = new_folder(spark, "arrow")
+    arrow.write_arrow(table(spark, sf_dir, "documents"), folder)
+    return readers.arrow_folder(spark, folder, columns=["doc_id", "lang", "source", "text"]).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n"))
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}

@@ -51,3 +51,9 @@ def write_json(spark: SparkSession, path: str, content: dict) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     where, fs = _place(spark, path)
     fs.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    where, fs = _place(spark, path)
+    if not fs.rename(where, _place(spark, to)[0]):
+        raise OSError(f"could not move {path} to {to}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import first_rows
 from . import files
+from .arrow import known_store, read_arrow
 
 BLOCKLIST = "keyword string, pos_ratio double, is_relevant boolean"
 DOCUMENT = "id string, text string, source string"
@@ -32,12 +33,19 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return reader.parquet(path)
 
 
-def arrow_folder(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All ``*.arrow`` files (IPC stream or file format) of a folder, in one scan: a task reads files through Spark, and hands on their record batches one by one.
+def arrow_folder(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """All ``*.arrow`` files (IPC stream or file format) of a folder, split by ranges of record batches; only ``columns`` are decoded, if named.
 
-    Spark's reader of binary files gives a file as one value, so a file has to fit a task.  Without a schema one task
-    reads the first file and returns its schema, a few bytes, and never its content.
+    A store that pyarrow doesn't know itself is read through Spark, a file at a time as one binary value (2 GB at most).
     """
+    if known_store(path):
+        return read_arrow(spark, path, schema, columns)
+    out = _arrow_by_spark(spark, path, schema)
+    return out.select(*columns) if columns else out
+
+
+def _arrow_by_spark(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """``arrow_folder`` by Spark's reader of binary files.  Without a schema one task reads the first file and returns its schema, a few bytes, and never its content."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
