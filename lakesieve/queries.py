@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions import vectors
-from .operators import assemble, blocklist, evals, joins, language, linalg, report, rows, samples, sketches, tokens
+from .operators import assemble, blocklist, evals, joins, keywords, language, linalg, report, rows, samples, sketches, tokens
 from .operators.cascade import cascade, strong, verdict_columns, weak
 from .operators.stages import BlocklistStage, ClassifierStage, chat_messages, density_scorer, parse_completion
 from .sources import arrow, readers
@@ -686,8 +686,10 @@ def source_sequences(spark, sf_dir):
     """Sequences of each source, packed from a stream of documents by one buffer for each source and shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", (F.col("doc_id") % 3).alias("shard"))
     n = docs.agg(F.max("doc_id")).first()[0] or 0
-    output, checkpoint = event_streams.run_folder(spark)
-    event_streams.stream_pack_by(event_streams.arrivals(docs, F.floor(F.col("doc_id") * 4 / (n + 1))), ["source", "shard"], output, checkpoint, 512, ["doc_id"])
+    folder, (output, checkpoint) = new_folder(spark, "arrivals"), event_streams.run_folder(spark)
+    for k in range(4):  # a quarter of the ids at a time, by as many tasks as read them
+        docs.where(F.floor(F.col("doc_id") * 4 / (n + 1)) == k).write.parquet(f"{folder}/part={k}")
+        event_streams.stream_pack_by(spark.readStream.schema(docs.schema).parquet(folder), ["source", "shard"], output, checkpoint, 512, ["doc_id"])
     packed = spark.read.schema("source string, shard long, seq_id long, input_ids array<string>").parquet(output)
     return packed.select("source", "shard", "seq_id", F.md5(F.array_join("input_ids", " ").cast("binary")).alias("tokens_md5"))
 
@@ -715,6 +717,14 @@ def arrow_documents(spark, sf_dir):
     return readers.arrow_folder(spark, folder, columns=["doc_id", "lang", "source", "text"]).select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("n"))
 
 
+@query("WITH k AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS keyword FROM benchmark) SELECT doc_id, count(*) AS n, max(keyword) AS last FROM documents JOIN k ON contains(lower(text), lower(keyword)) GROUP BY doc_id")
+def benchmark_keywords(spark, sf_dir):
+    """Of each document how many words of the benchmark its text holds, and the last of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text_functions.words(F.col("text"))).alias("keyword"))
+    found = keywords.keyword_matches(table(spark, sf_dir, "documents"), words)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("keyword").alias("last"))
+
+
 @cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _REGISTERED.items()}

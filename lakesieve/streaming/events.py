@@ -47,8 +47,8 @@ def _finished(writer):
 def arrivals(df: DataFrame, batch: Column, folder: str | None = None) -> DataFrame:
     """A stream that gives ``df`` in the batches that ``batch`` (a whole number from 0 on) says, a file each, in their order; the folder is new unless named.
 
-    The rows are written once, dealt by batch.  Files are read by their time of change, which is set here, so the folder
-    has to be of a file system that can set it.
+    The rows are written once, dealt by batch: for replays whose batches a task can write.  Files are read by their time
+    of change, which is set here, so the folder has to be of a file system that can set it.
     """
     spark = df.sparkSession
     folder = folder or new_folder(spark, "arrivals")
@@ -146,7 +146,7 @@ class _Packer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
         before = self.tail.get() if self.tail.exists() else None
         held, first = (list(before[0]), int(before[1])) if before is not None else ([], 0)
-        parts = [(*order, body) for pdf in rows for *order, body in zip(*[pdf[c] for c in pdf.columns if c not in self.keys], strict=True)]
+        parts = [(*order, body.split("\0")) for pdf in rows for *order, body in zip(*[pdf[c] for c in pdf.columns if c not in self.keys], strict=True)]
         there = lambda v: v is not None and v == v  # noqa: E731 (pandas' nulls aren't equal to themselves)
         parts.sort(key=lambda x: tuple((there(v), (int(v) if whole else v) if there(v) else 0) for v, whole in zip(x[:-1], self.whole, strict=True)))
         full: list[list[str]] = []
@@ -178,7 +178,7 @@ def stream_pack_by(docs: DataFrame, by: list[str], output: str, checkpoint: str,
     """Packs what has arrived since the last call, each key of ``by`` by itself: ``by``, seq_id (from 0 for each key) and input_ids of ``length`` tokens, appended to ``output``.
 
     A document is ``end`` and its tokens; a key's documents of one batch go by ``order_by`` (nulls first), batch after
-    batch.  What doesn't fill a sequence waits in the key's state; with ``flush_ms`` a key to which nothing has been added
+    batch.  No token holds a NUL.  What doesn't fill a sequence waits in the key's state; with ``flush_ms`` a key to which nothing has been added
     for so long gives it out as a shorter sequence (in the next batch that runs).  A task holds a key's documents of one
     batch: a key that many documents share should have a shard of them beside it in ``by``.
     """
@@ -192,7 +192,7 @@ def stream_pack_by(docs: DataFrame, by: list[str], output: str, checkpoint: str,
     places = [(number(c).cast("string") if w else F.col(c)).alias(f"_o{k}") for k, (c, w) in enumerate(zip(order_by, whole, strict=True))]
     # timers of processing time would keep a query that ends with its data going for ever by batches without any
     with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__noDataMicroBatches__enabled="false"):
-        grouped = docs.select(*by, *places, body.alias("_body")).groupBy(*by)
+        grouped = docs.select(*by, *places, F.array_join(body, "\0").alias("_body")).groupBy(*by)  # shuffled as one text
         packed = grouped.transformWithStateInPandas(_Packer(by, whole, length, flush_ms), schema, "append", "none" if flush_ms is None else "processingtime")
         _finished(packed.writeStream.format("parquet").outputMode("append").option("path", output).option("checkpointLocation", checkpoint))
 
