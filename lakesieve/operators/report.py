@@ -57,5 +57,16 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def failures(judged: DataFrame) -> DataFrame:
-    """How many verdicts of the judge come from an error rather than an answer."""
-    return judged.agg(F.count_if(F.col("lm_filter_metadata.error").isNotNull()).alias("n_errors"), F.count("*").alias("n"))
+    """n_errors (verdicts of classifier and judge that come from an error rather than an answer) and n."""
+    known = [c for c in ("bert_filter_metadata", "lm_filter_metadata") if c in judged.columns and "error" in judged.schema[c].dataType.names]
+    wrong = sum((F.col(f"{c}.error").isNotNull().cast("int") for c in known), F.lit(0))
+    return judged.agg(F.coalesce(F.sum(wrong), F.lit(0)).cast("bigint").alias("n_errors"), F.count("*").alias("n"))
+
+
+def failures_by_kind(judged: DataFrame) -> DataFrame:
+    """stage, kind, n: failed verdicts of classifier and judge by the error's kind, which is what stands before the first colon: a model that never loads shows as one kind with all rows."""
+    known = [c for c in ("bert_filter_metadata", "lm_filter_metadata") if c in judged.columns and "error" in judged.schema[c].dataType.names]
+    cells = F.array(*[F.struct(F.lit(c.removesuffix("_metadata")).alias("stage"), F.substring_index(F.col(f"{c}.error"), ":", 1).alias("kind")) for c in known])
+    if not known:
+        return judged.sparkSession.createDataFrame([], "stage string, kind string, n long")
+    return judged.select(F.inline(cells)).where("kind IS NOT NULL").groupBy("stage", "kind").agg(F.count("*").alias("n"))

@@ -71,7 +71,7 @@ class ClassifierStage:
     """Scores every slice of ``context_length`` tokens; true iff any score is above the threshold.
 
     ``scorer``: array<string> of a slice's tokens -> double.  Texts without tokens and texts whose scoring yields a
-    null fail closed: true with zero metadata.  A NaN score is above nothing.
+    null fail closed: true with zero metadata and an error that says so.  A NaN score is above nothing.
     """
 
     scorer: Callable[[Column], Column]
@@ -83,7 +83,7 @@ class ClassifierStage:
     gated, costly = True, False
 
     def default_metadata(self) -> Column:
-        return F.struct(F.lit(0.0).alias("highest_score"), F.lit(0.0).alias("lowest_score"), F.lit(0.0).alias("mean_score"))
+        return F.struct(F.lit(0.0).alias("highest_score"), F.lit(0.0).alias("lowest_score"), F.lit(0.0).alias("mean_score"), F.lit(None).cast("string").alias("error"))
 
     def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
         judged = docs.withColumn("_tokens", opened(self.tokens(F.col("text")), gate))
@@ -92,21 +92,23 @@ class ClassifierStage:
         return within(judged_by_scores(judged, self.threshold, self.default_metadata()), gate, self.default_metadata())
 
 
-def judged_by_scores(docs: DataFrame, threshold: float, default: Column) -> DataFrame:
-    """Verdict and metadata from ``_scores`` (array<double>; null, empty or with a null: failed)."""
+def judged_by_scores(docs: DataFrame, threshold: float, default: Column, error: Column | None = None) -> DataFrame:
+    """Verdict and metadata from ``_scores`` (array<double>; null, empty or with a null: failed); ``error``: what a failure is told as, if that is known."""
     failed = F.col("_scores").isNull() | (F.size("_scores") == 0) | F.exists("_scores", lambda s: s.isNull())
     metadata = F.struct(
         F.array_max("_scores").alias("highest_score"), F.array_min("_scores").alias("lowest_score"),
-        (F.aggregate("_scores", F.lit(0.0), lambda a, s: a + s) / F.size("_scores")).alias("mean_score"),
+        (F.aggregate("_scores", F.lit(0.0), lambda a, s: a + s) / F.size("_scores")).alias("mean_score"), F.lit(None).cast("string").alias("error"),
     )
     over = F.exists("_scores", lambda s: ~F.isnan(s) & (s > threshold))
+    why = F.when(F.size("_scores") == 0, "no tokens").otherwise("no score")
+    told = default.withField("error", why if error is None else F.coalesce(error, why))
     out = docs.withColumn("_should", F.when(failed, True).otherwise(over))
-    return out.withColumn("_metadata", F.when(failed, default).otherwise(metadata)).drop("_scores")
+    return out.withColumn("_metadata", F.when(failed, told).otherwise(metadata)).drop("_scores")
 
 
 @dataclass
 class ModelStage:
-    """A classifier outside SQL: ``load()`` runs once a task and returns texts -> scores; an exception fails closed."""
+    """A classifier outside SQL: ``load()`` runs once a task and returns texts -> scores; an exception fails closed, and its kind and words are the verdict's error."""
 
     load: Callable[[], Callable[[list[str]], list[float]]]
     threshold: float = 0.5
@@ -122,29 +124,30 @@ class ModelStage:
     def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
         load, size = self.load, self.batch_size
 
-        @F.pandas_udf("array<double>")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf("scores array<double>, error string")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = None
 
-            def one(parts) -> list[float] | None:
+            def one(parts) -> tuple[list[float] | None, str | None]:
                 nonlocal model
                 if parts is None:
-                    return None
+                    return None, None
                 try:
                     model = model or load()
                     parts = list(parts)
-                    return [float(s) for k in range(0, len(parts), size) for s in model(parts[k : k + size])]
-                except Exception:
-                    return None
+                    return [float(s) for k in range(0, len(parts), size) for s in model(parts[k : k + size])], None
+                except Exception as e:
+                    return None, f"{type(e).__name__}: {e}"
 
             for batch in batches:
-                yield batch.map(one)
+                yield pd.DataFrame([one(parts) for parts in batch], columns=["scores", "error"])
 
         score = score.asNondeterministic()  # a model's call is never moved, repeated or put into another expression
         split = docs.withColumn("_tokens", opened(self.tokens(F.col("text")), gate))
         parts = F.when(F.col("_tokens").isNotNull(), F.transform(text_functions.slices(F.col("_tokens"), self.context_length), lambda p: F.array_join(p, " ")))
-        judged = judged_by_scores(split.withColumn("_scores", score(parts)).drop("_tokens"), self.threshold, self.default_metadata())
-        return within(judged, gate, self.default_metadata())
+        scored = split.withColumn("_s", score(parts)).drop("_tokens").withColumns({"_scores": F.col("_s.scores"), "_e": F.col("_s.error")})
+        judged = judged_by_scores(scored, self.threshold, self.default_metadata(), F.col("_e"))
+        return within(judged.drop("_s", "_e"), gate, self.default_metadata())
 
 
 def parse_completion(completion: Column) -> Column:
@@ -164,13 +167,15 @@ def chat_messages(text: Column, prompt: str | list[dict[str, str]]) -> Column:
 class JudgeStage:
     """A language model as judge.  ``connect()`` runs once a task and returns messages -> completion; no default client, no network.
 
-    ``max_new_tokens``: given to the client as a keyword if it is set.
+    ``max_new_tokens`` and ``options`` (such as model, address and temperature) are given to the client as keywords, as far
+    as they are set.  An exception fails closed, and its kind and words are the verdict's error.
     """
 
     connect: Callable[[], Callable[[list[dict[str, str]]], str]]
     prompt: str | list[dict[str, str]] = field(default="Answer [1] if the text is to be removed, else [0].")
     name: str = "lm_filter"
     max_new_tokens: int | None = None
+    options: dict = field(default_factory=dict)
 
     gated, costly = True, True
 
@@ -178,7 +183,7 @@ class JudgeStage:
         return F.struct(F.lit(False).alias("judgment"), F.lit("").alias("completion"), F.lit(None).cast("string").alias("error"))
 
     def judge(self, docs: DataFrame, gate: Column | None = None) -> DataFrame:
-        connect, options = self.connect, {} if self.max_new_tokens is None else {"max_new_tokens": self.max_new_tokens}
+        connect, options = self.connect, self.options | ({} if self.max_new_tokens is None else {"max_new_tokens": self.max_new_tokens})
 
         @F.pandas_udf("completion string, error string")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -193,7 +198,7 @@ class JudgeStage:
                         client = client or connect()
                         rows.append((client([dict(m) for m in messages], **options), None))
                     except Exception as e:
-                        rows.append((f"Error during LM filtering: {e}", str(e)))
+                        rows.append((f"Error during LM filtering: {e}", f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=["completion", "error"])
 
         ask = ask.asNondeterministic()  # see above

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakesieve.operators import blocklist
+from lakesieve.operators import blocklist, report
 from lakesieve.operators.cascade import cascade, chosen, strong, verdict_columns, weak
 from lakesieve.operators.stages import BlocklistStage, ClassifierStage, JudgeStage, ModelStage, chat_messages, judged_by_scores, parse_completion
 
@@ -130,6 +130,8 @@ def test_judge_options(spark):
 
     assert cascade(docs(spark, ["a"]), [JudgeStage(connect, max_new_tokens=1)]).first()["lm_filter"]
     assert not cascade(docs(spark, ["a"]), [JudgeStage(connect, max_new_tokens=0)]).first()["lm_filter"]
+    warm = JudgeStage(lambda: lambda messages, temperature, model: f"{model} [{temperature}]", options={"temperature": 0, "model": "m1"})
+    assert cascade(docs(spark, ["a"]), [warm]).first()["lm_filter_metadata"]["completion"] == "m1 [0]"
 
 
 def test_keywords_that_are_empty_or_lower_alike(spark):
@@ -146,6 +148,37 @@ def test_model_failure_fails_closed(spark):
     assert got["bert_filter"] and got["bert_filter_metadata"]["highest_score"] == 0.0
 
 
+def test_failures_are_counted_by_kind(spark):
+    def load():
+        def model(parts):
+            if "bad" in parts[0]:
+                raise KeyError("word")
+            return [0.9 if "flag" in p else 0.1 for p in parts]
+
+        return model
+
+    def broken():
+        raise OSError("no weights: none")
+
+    def connect():
+        def client(messages):
+            if "down" in messages[-1]["content"]:
+                raise TimeoutError("late")
+            return "maybe"
+
+        return client
+
+    texts = ["fine", "bad one", "", None, "flag down", "flag", "bad down"]
+    out = cascade(docs(spark, texts), [ModelStage(load), JudgeStage(connect)])
+    kinds = {(r["stage"], r["kind"]): r["n"] for r in report.failures_by_kind(out).collect()}
+    assert kinds == {("bert_filter", "KeyError"): 2, ("bert_filter", "no tokens"): 2, ("lm_filter", "TimeoutError"): 2, ("lm_filter", "no digit in the completion"): 3, ("lm_filter", "TypeError"): 1}  # a null text is no text to look in
+    assert tuple(report.failures(out).first()) == (10, 7)
+    never = cascade(docs(spark, ["a", "b"]), [ModelStage(broken)])
+    assert [tuple(r) for r in report.failures_by_kind(never).collect()] == [("bert_filter", "OSError", 2)] and never.first()["bert_filter_metadata"]["error"] == "OSError: no weights: none"
+    words = cascade(docs(spark, ["a"]), [BlocklistStage(["a"], 1)])
+    assert report.failures_by_kind(words).collect() == [] and tuple(report.failures(words).first()) == (0, 1)
+
+
 def test_judge(spark):
     def connect():
         def client(messages):
@@ -159,7 +192,7 @@ def test_judge(spark):
     out = cascade(docs(spark, ["yes", "no", "boom", "odd", "yes Now that you've seen the example, no"]), [JudgeStage(connect)])
     got = judged(out, "lm_filter", "lm_filter_metadata")
     assert [got[i][0] for i in range(5)] == [True, False, True, True, True]
-    assert got[2][1]["error"] == "down" and got[0][1]["error"] is None and got[3][1]["error"]
+    assert got[2][1]["error"] == "ValueError: down" and got[0][1]["error"] is None and got[3][1]["error"]
 
 
 def test_completions(spark):
