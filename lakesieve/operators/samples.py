@@ -8,10 +8,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .rows import _content
 
 #: Rows of a group that are looked at for each that is taken, and some more.
 SPARE, MORE = 4, 40
+#: Groups up to which their sizes are broadcast, so that no row is shuffled to be compared with them.
+GROUPS = 100_000
 
 
 def draw(key: list[str], seed: int) -> Column:
@@ -34,13 +37,15 @@ def stratified(df: DataFrame, by: list[str], k: int, key: list[str], seed: int =
         return stratified(df.withColumn("_all", F.lit(0)), ["_all"], k, key, seed).drop("_all")
     group = [f"_g{i}" for i in range(len(by))]
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], "_n")
+    sizes = written(sizes)
+    near = F.broadcast if sizes.count() <= GROUPS else lambda rows: rows
     drawn = _content(df).withColumn("_draw", draw(key, seed))
     unit = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     place = Window.partitionBy(*by).orderBy("_draw", "_h1", "_h2")
     ranked = lambda rows: rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).select(*df.columns)
-    few = ranked(drawn.join(sizes, _same(by)).where(unit * F.col("_n") < SPARE * k + MORE))
+    few = ranked(drawn.join(near(sizes), _same(by)).where(unit * F.col("_n") < SPARE * k + MORE))
     found = few.groupBy(*by).agg(F.count("*").alias("_found")).select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(by)], "_found")
     known = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_f{i}")) for i, g in enumerate(group)])
     short = sizes.join(found, known, "left").where(F.coalesce("_found", F.lit(0)) < F.least(F.col("_n"), F.lit(k))).select(*group)
     whole = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, group, strict=True)]
-    return few.join(short, whole, "left_anti").unionByName(ranked(drawn.join(short, whole, "left_semi")))
+    return few.join(near(short), whole, "left_anti").unionByName(ranked(drawn.join(near(short), whole, "left_semi")))

@@ -12,8 +12,9 @@ from lakesieve import queries as q
 from lakesieve.operators import language, samples
 
 
-@pytest.mark.parametrize("spare,more", [(4, 40), (0, 1)])
-def test_stratified_equals_brute_force(spark, monkeypatch, spare, more):
+@pytest.mark.parametrize("spare,more,groups", [(4, 40, 100_000), (0, 1, 2)])
+def test_stratified_equals_brute_force(spark, monkeypatch, spare, more, groups):
+    monkeypatch.setattr(samples, "GROUPS", groups)
     monkeypatch.setattr(samples, "SPARE", spare)
     monkeypatch.setattr(samples, "MORE", more)
     r = random.Random(2)
