@@ -605,7 +605,7 @@ _PLACED = "o AS (SELECT o_orderkey, o_custkey AS user_id, TIMESTAMP '2024-01-01'
 def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = (F.col("o_orderkey") * 7919) % 2592000
     at = lambda s: F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + s)
-    minutes = F.floor(F.col("o_totalprice") / 100).cast("bigint")
+    minutes = F.rint(F.col("o_totalprice") / 100).cast("bigint")  # as the SQL's cast does, half to even: its // of doubles keeps the fraction
     return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), at(seconds).alias("placed"), at(seconds + minutes * 60).alias("closed"), "o_totalprice")
 
 

@@ -7,8 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakesieve import queries
 from lakesieve.operators import joins
 
+from .oracle import connect, same
+
 
 def points_of(n, seed, users=4, span=300, hot=0.5):
     r = random.Random(seed)
@@ -137,3 +140,25 @@ def test_asof_join_of_one_hot_key_over_many_partitions(spark):
         assert {r["q"] for r in out.collect()} == {1} and out.count() == 400
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("name", ["events_in_orders", "overlapping_orders"])
+def test_open_orders_are_open_for_rounded_minutes(spark, tmp_path, name):
+    """Prices on both sides of a half and on it; events and orders begin in the minute that rounding adds."""
+    prices = [1001.91, 1050.0, 1150.0, 1149.99, 1250.0, 1250.01, 1299.99, 75462.67]
+    zero, orders, events = dt.datetime(2024, 1, 1), [], []
+    for user, price in enumerate(prices):
+        first = 100 * user
+        orders.append((first, user, price))
+        begin = first * 7919 % 2592000
+        for minutes in (int(price // 100), int(price // 100) + 1):
+            for shift in (-1, 1):
+                events.append((len(events), zero + dt.timedelta(seconds=begin + 60 * minutes + shift), user))
+        # a later order of the same user that begins within the last minute
+        orders += [((begin + 60 * int(price // 100) + s) * pow(7919, -1, 2592000) % 2592000, user, price) for s in (1, 59)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = connect("/root/testdata/sf0.001")
+    for table in ("orders", "events"):
+        con.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    same(queries.queries()[name](spark, str(tmp_path)), con, queries.oracle_sql()[name])
