@@ -591,11 +591,11 @@ def first_of_subset(spark, sf_dir):
     return rows.first_rows(readers.subset(table(spark, sf_dir, "documents"), lang="en", source="src1").select("doc_id", "lang"), "doc_id", 20)
 
 
-@query("WITH f AS (SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100) SELECT conv_id, turn, CASE WHEN length(role) > 3 THEN role[1:3] || '...' ELSE role END AS role FROM f UNION ALL SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CASE WHEN length(role) > 3 THEN role[1:3] || '...' ELSE role END AS role FROM conversations UNION ALL SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
 def shown_records(spark, sf_dir):
-    """The first hundred records to look at, cut, and a union of tables."""
+    """All records to look at, their texts cut, and a union of tables."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return readers.union_all([readers.first_records(rows.first_rows(c, ["conv_id", "turn"], 100), 100, 3), c.where("role = 'user'")])
+    return readers.union_all([readers.first_records(c, None, 3), c.where("role = 'user'")])
 
 
 #: Orders as if placed in the month of the events, with a time of their own, and held open for as many minutes as they cost hundreds.

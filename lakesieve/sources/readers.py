@@ -138,11 +138,11 @@ def prompt(spark: SparkSession, path: str) -> str | list[dict[str, str]]:
     return json.loads(text)["messages"] if path.endswith(".json") else text
 
 
-def first_records(df: DataFrame, n: int = 100, most: int = 200) -> DataFrame:
-    """Any ``n`` records to look at: a limit that reads as few files as it takes; text and nested columns as text of ``most`` characters."""
+def first_records(df: DataFrame, n: int | None = 100, most: int = 200) -> DataFrame:
+    """Any ``n`` records to look at, a limit that reads as few files as it takes (None: all records); text and nested columns as text of ``most`` characters."""
     shown = [F.col(c) if not kind.startswith(("string", "struct", "array", "map")) else F.col(c) if kind == "string" else F.to_json(c).alias(c) for c, kind in df.dtypes]
     cut = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(F.col(c)).alias(c)
-    out = df.limit(n).select(*shown)
+    out = (df if n is None else df.limit(n)).select(*shown)
     return out.select(*[cut(c) if kind == "string" else F.col(c) for c, kind in out.dtypes])
 
 

@@ -21,6 +21,12 @@ def test_shuffle_is_a_seeded_permutation(spark, sf):
     assert first == again != sorted(first) and sorted(first) == list(range(len(first)))
 
 
+def test_shown_records_shows_every_record(spark):
+    sf = "/root/testdata/sf0.01"
+    c = q.table(spark, sf, "conversations")
+    assert c.count() > 100 and q.shown_records(spark, sf).count() == c.count() + c.where("role = 'user'").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
