@@ -640,19 +640,24 @@ def overlapping_orders(spark, sf_dir):
     return joins.overlap_join(a, b, ["user_id"], ("p1", "c1"), ("p2", "c2")).where("first_key < second_key").select("first_key", "second_key")
 
 
-#: Events come in eight batches in the order of their ids, but every 50th at the very end, after two batches with the last event.
+#: Which events come late, every 50th; of the others, which are never late, the SQL needs no more than that they come before.
 _ARRIVAL = "CASE WHEN event_id % 50 = 0 AND event_id < n THEN 11 WHEN event_id = n THEN 8 ELSE event_id * 8 // (n + 1) END"
 _LATE = f"t AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, {_ARRIVAL} AS batch FROM events, (SELECT max(event_id) AS n FROM events)), m AS (SELECT max(us) // 1000 * 1000 - 86400000000 AS mark FROM t WHERE batch < 11)"
 
 
 def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of the events."""
+    """A stream of the events: in eight batches in the order of their times, whatever their ids are, but every 50th at the very end, after two batches with the last time (these rows aren't ``real``)."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    n = e.agg(F.max("event_id")).first()[0] or 0
-    batch = F.when((F.col("event_id") % 50 == 0) & (F.col("event_id") < n), 11).when(F.col("event_id") == n, 8).otherwise(F.floor(F.col("event_id") * 8 / (n + 1)))
-    last = e.where(F.col("event_id") == n).select("event_id", "user_id", F.lit(None).cast("string").alias("event_type"), "ts")
-    more = [last.withColumn("arrival", F.lit(k)) for k in (9, 10)]  # of no type: they only bring the time forward
-    return event_streams.arrivals(readers.union_all([e.withColumn("arrival", batch.cast("int")), *more]), F.col("arrival"))
+    us, n = F.unix_micros(F.col("ts").cast("timestamp")), e.agg(F.max("event_id")).first()[0] or 0
+    late = (F.col("event_id") % 50 == 0) & (F.col("event_id") < n)
+    first, last = e.where(~late).agg(F.min(us), F.max(us)).first()
+    first, last = first or 0, last or 0
+    batch = F.when(late, 11).otherwise(F.coalesce(F.floor((us - first) / F.lit((last - first) / 8 + 1)), F.lit(0))).cast("int")
+    more = spark.range(9, 11).select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"),
+        F.timestamp_micros(F.lit(last)).cast(e.schema["ts"].dataType).alias("ts"), F.col("id").cast("int").alias("arrival"), F.lit(False).alias("real"),
+    )
+    return event_streams.arrivals(readers.union_all([e.withColumn("arrival", batch).withColumn("real", F.lit(True)), more]), F.col("arrival")).drop("arrival")
 
 
 @query(f"""WITH {_LATE}, w AS (SELECT event_type, batch, us, unnest([us // 21600000000 * 21600000000 - k * 21600000000 for k in [0, 1, 2, 3]]) AS start_us FROM t)
@@ -660,8 +665,8 @@ SELECT start_us, event_type, count(*) FILTER (WHERE batch < 11 OR start_us + 864
 def event_windows(spark, sf_dir):
     """Windows of a day every six hours, by type, over a stream whose last batch is late for most of them."""
     output, checkpoint = event_streams.run_folder(spark)
-    event_streams.stream_windows(arriving_events(spark, sf_dir), output, checkpoint, "ts", "1 day", "6 hours", "1 day", ["event_type"])
-    found = event_streams.current_windows(spark, output, ["event_type"]).where("event_type IS NOT NULL")
+    event_streams.stream_windows(arriving_events(spark, sf_dir), output, checkpoint, "ts", "1 day", "6 hours", "1 day", ["event_type", "real"])
+    found = event_streams.current_windows(spark, output, ["event_type", "real"]).where("real")
     return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n", "n_late")
 
 
@@ -672,9 +677,8 @@ SELECT user_id, start_us, end_us, n FROM s, m WHERE end_us <= mark""")
 def event_sessions(spark, sf_dir):
     """The users' sessions that are over, by gaps of six hours; events that come too late for a session are in none."""
     output, checkpoint = event_streams.run_folder(spark)
-    events = arriving_events(spark, sf_dir).where("event_type IS NOT NULL")
-    event_streams.stream_sessions(events, output, checkpoint, "ts", "6 hours", "1 day", ["user_id"])
-    found = spark.read.schema("start timestamp, end timestamp, user_id long, n long").parquet(output)
+    event_streams.stream_sessions(arriving_events(spark, sf_dir).where("real"), output, checkpoint, "ts", "6 hours", "1 day", ["user_id"])
+    found = event_streams.current_sessions(spark, output, checkpoint, {"user_id": "long"})
     return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

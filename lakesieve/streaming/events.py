@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DatetimeType, FractionalType, StringType, TimestampNTZType
@@ -120,16 +120,33 @@ def current_windows(spark: SparkSession, output: str, by: list[str], *sums: str)
 def stream_sessions(events: DataFrame, output: str, checkpoint: str, at: str, gap: str, delay: str, by: list[str]) -> None:
     """Sessions of event time that are over, as start, end (the last event and the gap), ``by`` and n, appended to ``output``: rows of a key that follow each other within the gap.
 
-    A session is over when the watermark has passed its end; those still open stay in the state for later calls.  Rows
-    with a null time have no session.  Sessions are merged within each task before the shuffle.
+    A session is over when the watermark has passed its end; those still open stay in the state for later calls.  A row is
+    late when its own time and the gap are not after the watermark, whichever task has it, so sessions are not merged
+    before the shuffle.  A row that isn't may still follow within the gap of a session that has been given out; it
+    begins another one, and ``current_sessions`` puts them together.  Rows with a null time have no session.
     """
     timed = _timed(events, at)
     found = timed.withWatermark(at, delay).groupBy(F.session_window(at, gap), *by).agg(F.count("*").alias("n"))
     flat = found.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
-    with _settings(events.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__sessionWindow__merge__sessions__in__local__partition="true"):
+    with _settings(events.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__sessionWindow__merge__sessions__in__local__partition="false"):
         _finished(flat.writeStream.format("parquet").outputMode("append").option("path", output).option("checkpointLocation", checkpoint))
 
 
+def current_sessions(spark: SparkSession, output: str, checkpoint: str, by: dict[str, str]) -> DataFrame:
+    """start, end, ``by`` (name -> type) and n of the sessions of ``stream_sessions`` that are over: those given out, put together where one begins before another's end, without those that reach into a session still in the state."""
+    kinds = ", ".join(["start timestamp", "end timestamp", *[f"`{k}` {v}" for k, v in by.items()], "n long"])
+    over = spark.read.schema(kinds).parquet(output).withColumn("_open", F.lit(False))
+    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
+        state = spark.read.format("statestore").load(checkpoint)
+    kept = state.select(F.col("value.session_window.start").alias("start"), F.col("value.session_window.end").alias("end"), *[F.col(f"value.{k}").alias(k) for k in by], F.lit(0).cast("long").alias("n"), F.lit(True).alias("_open"))
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = over.unionByName(kept).withColumn("_new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    pieces = pieces.withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = pieces.groupBy(*by, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.max("_open").alias("_open"))
+    return whole.where(~F.col("_open")).select("start", "end", *by, "n")
+
+
 class _Packer(StatefulProcessor):
     """Per key: the tokens that don't fill a sequence yet and the next sequence's number."""
 

@@ -81,6 +81,20 @@ def test_sessions(spark):
     assert got == sorted(x for x in want if x[2] <= at(1000 - 30)) and len(got) > 10
 
 
+def test_a_late_row_joins_a_session_that_has_been_given_out(spark):
+    batches = [[(1, "a", at(40), 0), (2, "a", at(115), 0), (3, "b", at(170), 0)], [(4, "z", at(230), 0)], [(5, "z", at(230), 0)], [(6, "z", at(230), 0)]]
+    batches += [[(7, "a", at(181), 0), (8, "b", at(185), 0), (9, "a", at(41), 0), (10, "a", at(60), 0)], [(11, "z", at(240), 0)], [(12, "z", at(240), 0)]]
+    output, checkpoint = ev.run_folder(spark)
+    ev.stream_sessions(stream_of(spark, batches), output, checkpoint, "t", "20 minutes", "30 minutes", ["user"])
+    # the mark is 200 when 7 to 10 come: 9 and 10 are late, 8 makes the session of 3, given out at 190, one that ends at 205
+    got = {(x["user"], x["start"], x["end"], x["n"]) for x in ev.current_sessions(spark, output, checkpoint, {"user": "string"}).collect()}
+    assert got == {("a", at(40), at(60), 1), ("a", at(115), at(135), 1), ("a", at(181), at(201), 1), ("b", at(170), at(205), 2)}
+    again, checkpoint = ev.run_folder(spark)
+    ev.stream_sessions(stream_of(spark, batches[:5]), again, checkpoint, "t", "20 minutes", "30 minutes", ["user"])
+    got = {(x["user"], x["start"], x["end"], x["n"]) for x in ev.current_sessions(spark, again, checkpoint, {"user": "string"}).collect()}
+    assert got == {("a", at(40), at(60), 1), ("a", at(115), at(135), 1)}
+
+
 def brute_packed(batches, length):
     """Of each (source, shard): the tokens of its documents, batch after batch, in the order of their ids, cut."""
     tokens = defaultdict(list)
