@@ -239,6 +239,44 @@ def test_op5_hot_buckets_and_components_in_blocks(spark, monkeypatch, texts_a_bl
     assert len(set(want[-30:])) > 3  # a candidate component of several classes
 
 
+@pytest.mark.parametrize("most", [1, 1000])
+def test_op5_large_components_compare_all_pairs(spark, monkeypatch, most):
+    """Links between texts that share no bucket, in a component of many blocks."""
+    monkeypatch.setattr(minhash_dedup, "MOST_BLOCKS", most)
+    n = 24
+
+    def pairs(t, least):
+        may, x, y = minhash_dedup.meets(t), [], []
+        for i in range(len(t["id"])):
+            for j in np.flatnonzero((t["v"] == t["v"][i]) & (t["c"] != t["c"][i]) & may(i)).tolist():
+                x.append(t["id"][i])
+                y.append(t["id"][j])
+        return (np.array(x), np.array(y)) if x else None
+
+    groups = spark.createDataFrame([(0, k, 6) for k in range(n)], "g long, id long, blocks int")
+    data = spark.createDataFrame([(k, k % 12) for k in range(n)], "id long, v long")
+    finer = spark.createDataFrame([(100 + k // 2, k, 1) for k in range(n)], "g long, id long, blocks int")
+    found = minhash_dedup.joined(groups, data, pairs, 0.8, 4, finer)
+    got = {r["id"]: r["component"] for r in minhash_dedup.connected_components(found).collect()}
+    assert got == {k: k % 12 for k in range(n)}
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_op5_hot_buckets_lose_no_candidates(spark, monkeypatch, block):
+    """Two sketches that agree in eleven buckets and in no other mark, each bucket with three more."""
+    monkeypatch.setattr(minhash_dedup, "SKETCH_BLOCK", block)
+    own = iter(range(-30_000, 30_000))
+    rows = []
+    for k in range(2 + 33):
+        marks = [next(own) for _ in range(minhash_dedup.SKETCHES)]
+        for p in range(11):
+            if k < 2 or (k - 2) // 3 == p:
+                marks[p] = p
+        rows.append((k, 100, [m * 100 + p for p, m in enumerate(marks[: minhash_dedup.BUCKETS])], marks))
+    nodes = spark.createDataFrame(rows, "id long, n int, buckets array<long>, marks array<short>")
+    assert sorted(map(tuple, minhash_dedup.candidate_components(nodes)[0].collect())) == [(0, 0), (1, 0)]
+
+
 def loose_family(n=30, words=120):
     """Copies of one text with 0 to 7 edits apart: some pairs are links, some are candidates only."""
     base = prose(1234, words).split(" ")
