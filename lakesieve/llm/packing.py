@@ -28,10 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _LETTER, _NUMBER, _WHITE, RARE
+from .bpe import _WHITE, RARE
 from .common import checkpoint, map_parts, project
 
 CAPACITY = 4096
@@ -48,18 +50,31 @@ PIVOTS = 3000
 SLACK = 4
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """0, 1, 2, 3 for each of the first 65,536 characters: white space, letter, number, other."""
+    every, kinds = "".join(map(chr, range(1 << 16))), np.full(1 << 16, 3, dtype=np.uint8)
+    for k, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        kinds[[m.start() for m in regex.finditer(pattern, every)]] = k
+    return kinds
+
+
 class WordIds:
     """A lower-casing word BPE's ids as little-endian bytes, through the tokenizers library.
 
     Its words never reach over white space and are encoded each by itself, so a text's ids are those of its words.
-    The words of many texts that are new go through the library in lots and are remembered in two generations, up to a
-    bound; each word ends with the one id that has the end-of-word mark.  Texts with rare characters (for which
-    lower case may depend on the neighbours) or with special tokens' strings go there whole.
+    The texts of a call are cut side by side, in blocks that end at white space: a cut is where the kind of character
+    changes.  Each of a block's different words is looked up once.  Words that are new go through the library in lots
+    and are remembered in two generations, up to a bound; each word ends with the one id that has the end-of-word mark.
+    Texts with rare characters (for which lower case may depend on the neighbours) or with special tokens' strings go
+    there whole.
     """
 
+    #: Words of a generation.
     MOST = 250_000
-    #: Fixed value: the public pattern of word_bpe_49k.json's words, for characters below U+0250.
-    WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
+    #: Characters of a block, about.
+    BLOCK = 1 << 21
+    WHITE = re.compile(f"[{_WHITE}]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,25 +100,69 @@ class WordIds:
         raw, starts = ids.tobytes(), [0, *(stops[:-1] * 4).tolist()]
         return {w: raw[a:b] for w, a, b in zip(words, starts, (stops * 4).tolist(), strict=True)}
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        words = [None if RARE.search(t) or any(s in t for s in self.special) else self.WORDS.findall(t.lower()) for t in texts]
-        known, older = self.known, self.older
-        new = set().union(*filter(None, words)).difference(known)
-        fresh = [w for w in new if w not in older]
-        found = {w: older[w] for w in new if w in older}
+    def _look(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; none for white space."""
+        out = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, out, strict=True) if x is None]
+        found = {w: self.older.get(w, b"") for w in new}
+        fresh = [w for w, x in found.items() if not x and not w.isspace()]
         if fresh:
             found |= self._learn(fresh)
-        if len(known) + len(found) > self.MOST and known:
-            self.older, self.known = known, {}
-            found |= {w: known[w] for w in set().union(*filter(None, words)).intersection(known)}
-            known = self.known
-        known.update(found)
-        out = [self._ids(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
-        for w in found:
-            if len(w) > 64:
-                del known[w]
-        return out
+        if len(self.known) + len(found) > self.MOST and self.known:
+            self.older, self.known = self.known, {}
+        self.known.update((w, x) for w, x in found.items() if len(w) <= 64)
+        rest = iter(found.values())
+        return [next(rest) if x is None else x for x in out]
+
+    @staticmethod
+    def _cuts(codes: np.ndarray) -> np.ndarray:
+        """Where words and white space begin, by the public pattern of word_bpe_49k.json:
+
+        's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
+        """
+        kinds = _kinds()[codes]
+        cut = np.r_[True, kinds[1:] != kinds[:-1]] | (kinds == 2)
+        quotes = np.flatnonzero((codes == ord("'")) & cut)  # a quote within a run of others begins nothing
+        after = np.append(codes, np.zeros(2, codes.dtype))
+        one, two = after[quotes + 1], after[quotes + 2]
+        short = np.isin(one, list(b"stmd"))
+        long = np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        cut[quotes[short | long] + 1] = False
+        ends = np.r_[quotes[short] + 2, quotes[long] + 3]
+        cut[ends[ends < len(cut)]] = True
+        return np.flatnonzero(cut)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of lower-case texts without rare characters."""
+        text, begins = "\n".join(texts), np.cumsum([0, *(len(t) + 1 for t in texts)])
+        parts, edges, at, total = [], np.zeros(len(begins), dtype=np.int64), 0, 0
+        while at < len(text):
+            stop = found.start() if (found := self.WHITE.search(text, at + self.BLOCK)) else len(text)
+            block = text[at:stop]
+            codes = np.frombuffer(block.encode("latin-1") if block.isascii() else block.encode("utf-16-le"), dtype="u1" if block.isascii() else "<u2")
+            starts = self._cuts(codes)
+            places = np.r_[starts, len(codes)]
+            if not block.isascii():  # bytes of UTF-8 before each character
+                places += np.r_[0, np.cumsum((codes >= 1 << 7).view("u1") + (codes >= 1 << 11).view("u1"), dtype=np.int32)][places]
+            buffers = [None, pa.py_buffer(places), pa.py_buffer(block.encode())]
+            words = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
+            ids = self._look(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size, place = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4, words.indices.to_numpy()
+            n, first = size[place], (np.cumsum(size) - size)[place]
+            ends = np.r_[0, np.cumsum(n)]
+            parts.append(np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].tobytes())
+            here = slice(*np.searchsorted(begins, (at, stop)))
+            edges[here] = total + ends[np.searchsorted(starts, begins[here] - at)]
+            at, total = stop, total + int(ends[-1])
+        edges[np.searchsorted(begins, at) :] = total
+        flat, edges = b"".join(parts), (edges * 4).tolist()
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole = [bool(RARE.search(t)) or any(s in t for s in self.special) for t in texts]
+        cut = iter(self._cut([t.lower() for t, w in zip(texts, whole, strict=True) if not w]))
+        return [self._ids(t) if w else next(cut) for t, w in zip(texts, whole, strict=True)]
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]

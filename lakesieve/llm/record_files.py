@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ from .packing import word_ids
 FILE_BYTES = 256 << 20
 #: Bytes of records that a reading task takes, about, and that it holds at a time.
 SPLIT_BYTES, READ_BYTES = 32 << 20, 4 << 20
-#: Texts that are encoded and framed at a time.
-TEXTS = 256
+#: Texts that are encoded and framed at a time, and about the bytes that they have at most.
+TEXTS, TEXT_BYTES = 512, 2 << 20
 #: The reversed polynomial of CRC-32C, and what masking adds.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 #: Bytes of a lane: a message is cut into lanes whose checksums are worked out side by side.
@@ -178,6 +179,15 @@ class _Writer:
 _MANIFEST = "part int, number int, file string, index string, n_docs long, n_ids long, n_bytes long"
 
 
+def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts that are encoded at a time."""
+    ends, at = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))], 0
+    while at < len(texts):
+        stop = min(at + TEXTS, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, side="right")) - 1)
+        yield at, max(stop - at, 1)
+        at += max(stop - at, 1)
+
+
 def write_records(df: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text with the word BPE at ``path``, ``end_id`` behind it, and writes the ids in the order of ``id_col``; returns the manifest.
 
@@ -186,7 +196,7 @@ def write_records(df: DataFrame, path: str, end_id: int, folder: str | None = No
 
     A null text counts as empty (one end id).  Null ids come first; rows that repeat an id are written each, in the order
     in which they are read.  Other columns are ignored.  An empty table gives no files.  Very long texts are records of
-    their own size; a task holds TEXTS texts at a time.
+    their own size; a task holds TEXTS texts at a time, and of texts that have TEXT_BYTES together fewer, one at least.
     """
     folder = folder or new_folder(df.sparkSession, "records")
     out_schema = to_arrow_schema(StructType.fromDDL(_MANIFEST))
@@ -196,8 +206,8 @@ def write_records(df: DataFrame, path: str, end_id: int, folder: str | None = No
         store = base = encoder = None
         try:
             for whole in batches:
-                for start in range(0, whole.num_rows, TEXTS):
-                    batch = whole.slice(start, TEXTS)
+                for start, number in _lots(whole.column(1)):
+                    batch = whole.slice(start, number)
                     if encoder is None:
                         encoder, (store, base) = word_ids(path), _store(folder)
                         store.create_dir(base, recursive=True)

@@ -175,6 +175,13 @@ def test_op12_damage_is_found_and_leftovers_are_not_read(spark, tmp_path):
     assert sorted(record_files.record_digests(manifest).collect()) == sorted(rows_before)
 
 
+def test_op12_texts_are_encoded_in_lots_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(record_files, "TEXTS", 3)
+    monkeypatch.setattr(record_files, "TEXT_BYTES", 10)
+    assert list(record_files._lots(pa.array(["a" * n for n in (4, 6, 1, 11, 50, 0, 0, 0)] + [None]))) == [(0, 2), (2, 1), (3, 1), (4, 1), (5, 3), (8, 1)]
+    assert list(record_files._lots(pa.array([], pa.string()))) == []
+
+
 def slow_checksum(message):
     register = 0xFFFFFFFF
     for byte in message:

@@ -60,6 +60,43 @@ def _words():
     return packing.WordIds(WORDS)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, "'", "'re", "ve", "l", "Ə", "Ɓ", "Ⱥ", "ş", "²"]), max_size=25).map("".join), max_size=6), st.sampled_from([1, 7, 1 << 21]))
+def test_word_ids_of_texts_cut_side_by_side(texts, block):
+    words = _words_in_blocks(block)
+    assert words.many(texts) == [array("I", _library(WORDS).encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+@cache
+def _words_in_blocks(block):
+    found = packing.WordIds(WORDS)
+    found.BLOCK, found.MOST = block, 20  # generations change
+    return found
+
+
+@pytest.mark.parametrize("text", ["Əli", "Ɓa", "aȺb"])
+def test_letters_whose_lower_case_is_beyond_the_listed_ones(text):
+    assert _words()(text) == array("I", _library(WORDS).encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def test_word_ids_look_up_different_words_only():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.n += 1
+            return super().get(key, default)
+
+    words, text = packing.WordIds(WORDS), "one two, three " * 2000
+    words.known = Counted()
+    assert words.many([text, text]) == [array("I", _library(WORDS).encode(text, add_special_tokens=False).ids).tobytes()] * 2
+    assert Counted.n < 100
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=40))
 def test_heap_and_dynamic_programming_agree(word):
